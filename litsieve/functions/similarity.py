@@ -28,22 +28,12 @@ EPS = 1e-9
 
 def char_profile(rows: DataFrame) -> DataFrame:
     """Add p0..: per letter class the lowest ``count`` bits set."""
-    norm = F.col("norm")
-    counts = rows.withColumns(
-        {f"_n{i}": F.length(norm) - F.length(F.replace(norm, F.lit(ch))) for i, ch in enumerate(LETTERS)}
-    )
-    seen = reduce(lambda x, y: x + y, [F.col(f"_n{i}") for i in range(len(LETTERS))])
-    counts = counts.withColumn(f"_n{len(LETTERS)}", F.length(norm) - seen)
-
-    def low_bits(i: int) -> str:
-        return f"(shiftleft(1L, least(_n{i}, {BITS})) - 1L)"
-
-    return counts.withColumns(
-        {
-            f"p{k}": F.expr(f"{low_bits(2 * k)} | shiftleft({low_bits(2 * k + 1)}, {BITS})")
-            for k in range(WORDS)
-        }
-    ).drop(*[f"_n{i}" for i in range(len(LETTERS) + 1)])
+    counts = [f"length(norm) - length(replace(norm, '{ch}')) AS n{i}" for i, ch in enumerate(LETTERS)]
+    seen = " - ".join(f"n{i}" for i in range(len(LETTERS)))
+    low = [f"(shiftleft(1L, least(n{i}, {BITS})) - 1L)" for i in range(len(LETTERS))]
+    low.append(f"(shiftleft(1L, least(length(norm) - {seen}, {BITS})) - 1L)")
+    words = [f"{low[2 * k]} | shiftleft({low[2 * k + 1]}, {BITS}) AS p{k}" for k in range(WORDS)]
+    return rows.selectExpr("*", *counts).selectExpr(*rows.columns, *words)
 
 
 def token_set(norm: Column) -> Column:
@@ -53,25 +43,17 @@ def token_set(norm: Column) -> Column:
 def token_profile(rows: DataFrame) -> DataFrame:
     """Add p0..: one bit per distinct word, by hash."""
     bits = F.transform(token_set(F.col("norm")), lambda w: F.pmod(F.xxhash64(w), F.lit(64 * WORDS)))
-    words = {
-        f"p{k}": F.expr(
-            "aggregate(_bits, 0L, (acc, x) -> acc | "
-            f"if(x div 64 = {k}, shiftleft(1L, cast(x % 64 as int)), 0L))"
-        )
+    words = [
+        "aggregate(bits, 0L, (acc, x) -> acc | "
+        f"if(x div 64 = {k}, shiftleft(1L, cast(x % 64 as int)), 0L)) AS p{k}"
         for k in range(WORDS)
-    }
-    return rows.withColumn("_bits", bits).withColumns(words).drop("_bits")
-
-
-def bits_missing(a: str, b: str) -> Column:
-    """Profile bits of side ``a`` that side ``b`` lacks."""
-    return reduce(
-        lambda x, y: x + y,
-        [
-            F.bit_count(F.col(f"{a}_p{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}_p{k}"))))
-            for k in range(WORDS)
-        ],
-    )
+    ]
+    return rows.withColumn("bits", bits).selectExpr(*rows.columns, *words)
+
+
+def bits_missing(a: str, b: str) -> str:
+    """Profile bits of side ``a`` that side ``b`` lacks, as SQL."""
+    return " + ".join(f"bit_count({a}_p{k} & ~{b}_p{k})" for k in range(WORDS))
 
 
 @lru_cache(maxsize=4096)

@@ -33,6 +33,7 @@ LENGTH_BAND = 20
 # Cells above this number are one cell, so that tables per cell stay tiny.
 MAX_CELL = 4095
 BLOCK_ROWS = 4096
+ROWS_PER_TASK = 256
 # Up to this many rows no look-ahead for dense groups is needed.
 PROBE_ROWS = 8192
 # Edges a prefix may be expected to have, per row that is still undecided.
@@ -58,8 +59,13 @@ def representatives(
 
 
 def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Blocks per cell; at most MAX_CELL + 1 lines."""
-    return rows.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    """Blocks per cell. At most MAX_CELL + 1 pairs of numbers, so they are
+    counted once and put into the plans as a literal table."""
+    counted = rows.groupBy("cell").count().collect()
+    lines = ", ".join(f"({r['cell']}L, {-(-r['count'] // block_rows)}L)" for r in counted)
+    if not lines:
+        return rows.sparkSession.sql("SELECT 0L AS cell, 0L AS blocks WHERE false")
+    return rows.sparkSession.sql(f"SELECT * FROM VALUES {lines} AS t(cell, blocks)")
 
 
 def _fan_out(
@@ -71,26 +77,17 @@ def _fan_out(
     from the own number up) or -1 (down to it) for the own cell of a self-join,
     so that a pair of blocks meets once; 0 meets all blocks.
     """
-    here = rows.join(F.broadcast(own), "cell").withColumn(
-        "block", F.pmod(F.xxhash64("ord"), F.col("blocks"))
+    here = rows.join(F.broadcast(own), "cell").selectExpr(
+        *rows.columns, "pmod(xxhash64(ord), blocks) AS block"
     )
-    targets = (
-        other.withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps])))
-        .select(
-            (F.col("cell") - F.col("step")).alias("cell"),
-            F.col("cell").alias("other_cell"),
-            (F.col("blocks") - 1).alias("last"),
-        )
+    targets = other.selectExpr(
+        f"explode(array({', '.join(str(s) for s in steps)})) AS step", "cell AS other_cell", "blocks"
+    ).selectExpr("other_cell - step AS cell", "other_cell", "blocks - 1 AS last")
+    first = "if(cell = other_cell, block, 0L)" if upper > 0 else "0L"
+    last = "if(cell = other_cell, block, last)" if upper < 0 else "last"
+    return here.join(F.broadcast(targets), "cell").selectExpr(
+        *here.columns, "other_cell", f"explode(sequence({first}, {last})) AS other_block"
     )
-    met = here.join(F.broadcast(targets), "cell")
-    first, last = F.lit(0).cast("bigint"), F.col("last")
-    if upper:
-        inside = F.col("cell") == F.col("other_cell")
-        if upper > 0:
-            first = F.when(inside, F.col("block")).otherwise(first)
-        else:
-            last = F.when(inside, F.col("block")).otherwise(last)
-    return met.withColumn("other_block", F.explode(F.sequence(first, last))).drop("blocks", "last")
 
 
 def _similar(
@@ -100,42 +97,38 @@ def _similar(
     threshold: float,
     band: int,
     measure: Measure,
+    n: int,
 ) -> DataFrame:
     """Similar pairs (lo, hi, similarity) of the rows that meet, lo before hi."""
     sides = ["ord", "norm", "len", "size", *[f"p{k}" for k in range(WORDS)]]
-    l = left.select(
-        *[F.col(c).alias(f"l_{c}") for c in sides],
-        F.col("cell").alias("k1"),
-        F.col("block").alias("k2"),
-        F.col("other_cell").alias("k3"),
-        F.col("other_block").alias("k4"),
+    l = left.selectExpr(
+        *[f"{c} AS l_{c}" for c in sides],
+        "cell AS k1", "block AS k2", "other_cell AS k3", "other_block AS k4",
     )
-    r = right.select(
-        *[F.col(c).alias(f"r_{c}") for c in sides],
-        F.col("other_cell").alias("k1"),
-        F.col("other_block").alias("k2"),
-        F.col("cell").alias("k3"),
-        F.col("block").alias("k4"),
+    r = right.selectExpr(
+        *[f"{c} AS r_{c}" for c in sides],
+        "other_cell AS k1", "other_block AS k2", "cell AS k3", "block AS k4",
     )
     forward = F.col("l_ord") < F.col("r_ord")
-    a = F.when(forward, F.col("l_norm")).otherwise(F.col("r_norm"))
-    b = F.when(forward, F.col("r_norm")).otherwise(F.col("l_norm"))
+    a = F.expr("if(l_ord < r_ord, l_norm, r_norm)")
+    b = F.expr("if(l_ord < r_ord, r_norm, l_norm)")
 
     need = measure.need(F.col("l_size"), F.col("r_size"))
     close = F.abs(F.col("l_len") - F.col("r_len")) <= band
     if self_join:
         same = (F.col("l.k1") == F.col("l.k3")) & (F.col("l.k2") == F.col("l.k4"))
         close = close & (~same | forward)
-    alike = (bits_missing("l", "r") <= F.col("l_size") - need) & (
-        bits_missing("r", "l") <= F.col("r_size") - need
+    alike = (F.expr(bits_missing("l", "r")) <= F.col("l_size") - need) & (
+        F.expr(bits_missing("r", "l")) <= F.col("r_size") - need
     )
     # CASE keeps the order of the tests: the optimiser moves filters into the
     # join condition and would put the costly ones first.
     passes = F.when(~close, False).when(~alike, False).otherwise(measure.screen(a, b))
 
     # A stated number of partitions, several per core: the work per byte is high
-    # and uneven here, so small partitions must not be merged.
-    parts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # and uneven here, so they must not be merged by size.
+    most = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, n // ROWS_PER_TASK))
     at = ["k1", "k2", "k3", "k4"]
     meet = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in at])
     scored = (
@@ -156,54 +149,58 @@ def _similar(
 
 
 def edges_within(
-    rows: DataFrame, threshold: float, band: int, measure: Measure, block_rows: int = BLOCK_ROWS
+    rows: DataFrame,
+    n: int,
+    threshold: float,
+    band: int,
+    measure: Measure,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Similar pairs (lo, hi, similarity) among ``rows``, lo before hi."""
+    """Similar pairs (lo, hi, similarity) among ``rows`` (about ``n`` of them)."""
     blocks = _blocks(rows, block_rows)
     left = _fan_out(rows, blocks, blocks, [0, 1], 1)
     right = _fan_out(rows, blocks, blocks, [0, -1], -1)
-    return _similar(left, right, True, threshold, band, measure)
+    return _similar(left, right, True, threshold, band, measure, n)
 
 
 def edges_between(
     kept: DataFrame,
     rest: DataFrame,
+    n: int,
     threshold: float,
     band: int,
     measure: Measure,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Similar pairs with one row in each input."""
+    """Similar pairs with one row in each input (about ``n`` rows in all)."""
     kept_blocks, rest_blocks = _blocks(kept, block_rows), _blocks(rest, block_rows)
     left = _fan_out(kept, kept_blocks, rest_blocks, [-1, 0, 1], 0)
     right = _fan_out(rest, rest_blocks, kept_blocks, [-1, 0, 1], 0)
-    return _similar(left, right, False, threshold, band, measure)
+    return _similar(left, right, False, threshold, band, measure, n)
 
 
 def leaders(edges: DataFrame) -> DataFrame:
     """Dropped rows with their leader: (hi, lo, similarity).
 
-    Each round, a row no undecided earlier row points at is kept, and the rows
-    it points at are dropped together with their other edges. ``edges`` must be
-    durable. Rounds = longest chain of dependent decisions, one for stars.
+    While some row both points and is pointed at: the rows nothing undecided
+    points at are kept, the rows they point at are dropped with all their
+    edges. Once no row does both, all pointing rows are kept. ``edges`` must be
+    durable. Rounds = longest chain of dependent decisions; stars need none.
     """
-    live, dropped = edges.select("lo", "hi"), None
-    while not live.isEmpty():
-        heads = live.select("lo").join(live.select(F.col("hi").alias("lo")), "lo", "left_anti")
-        gone = durable(
-            live.join(heads.distinct(), "lo", "left_semi").select("hi").distinct(), "dropped"
-        )
-        dropped = gone if dropped is None else dropped.union(gone)
+    live, dropped = edges.select("lo", "hi"), []
+    while True:
+        targets = live.selectExpr("hi AS lo")
+        if live.join(targets, "lo", "left_semi").isEmpty():
+            break
+        heads = live.select("lo").join(targets, "lo", "left_anti").distinct()
+        gone = durable(live.join(heads, "lo", "left_semi").select("hi").distinct(), "dropped")
+        dropped.append(gone.selectExpr("hi AS lo"))
         live = durable(
-            live.join(gone, "hi", "left_anti").join(
-                gone.select(F.col("hi").alias("lo")), "lo", "left_anti"
-            ),
-            "live",
+            live.join(gone, "hi", "left_anti").join(dropped[-1], "lo", "left_anti"), "live"
         )
-    if dropped is None:
-        return edges.select("hi", "lo", "similarity")
-    from_kept = edges.join(dropped.select(F.col("hi").alias("lo")), "lo", "left_anti")
-    return first_leader(from_kept)
+    if dropped:
+        edges = edges.join(reduce(DataFrame.union, dropped), "lo", "left_anti")
+    return first_leader(edges)
 
 
 def first_leader(edges: DataFrame) -> DataFrame:
@@ -219,7 +216,7 @@ def _prefix_end(rows: DataFrame, n: int, probe_rows: int, edges_per_row: int, jo
     """
     every = -(-n // probe_rows)
     part = rows.filter(F.pmod(F.xxhash64("ord", F.lit(7)), F.lit(every)) == 0)
-    found = join(part).groupBy(F.col("hi").alias("ord")).agg(F.count("*").alias("n"))
+    found = join(part, probe_rows).groupBy(F.col("hi").alias("ord")).agg(F.count("*").alias("n"))
     # About probe_rows lines of two numbers.
     steps = part.select("ord").join(found, "ord", "left").orderBy("ord").collect()
     total, end = 0, None
@@ -242,8 +239,8 @@ def settle(
 ) -> DataFrame:
     """Dropped representatives (hi, lo, similarity). ``reps`` must be durable."""
 
-    def within(rows: DataFrame) -> DataFrame:
-        return edges_within(rows, threshold, band, measure, block_rows)
+    def within(rows: DataFrame, size: int) -> DataFrame:
+        return edges_within(rows, size, threshold, band, measure, block_rows)
 
     found, open_rows = [], reps
     while True:
@@ -252,7 +249,7 @@ def settle(
         if n > probe_rows:
             end = _prefix_end(open_rows, n, probe_rows, edges_per_row, within)
         prefix = open_rows if end is None else open_rows.filter(F.col("ord") <= F.lit(end))
-        hits = leaders(durable(within(prefix), "edges"))
+        hits = leaders(durable(within(prefix, n), "edges"))
         if end is None:
             found.append(hits)
             break
@@ -261,7 +258,7 @@ def settle(
         rest = open_rows.filter(F.col("ord") > F.lit(end))
         kept = prefix.join(hits.select(F.col("hi").alias("ord")), "ord", "left_anti")
         covered = durable(
-            first_leader(edges_between(kept, rest, threshold, band, measure, block_rows)),
+            first_leader(edges_between(kept, rest, n, threshold, band, measure, block_rows)),
             "covered",
         )
         found.append(covered)
