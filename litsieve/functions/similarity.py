@@ -65,13 +65,19 @@ def _positions(text: str) -> dict[str, int]:
     return masks
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one row of bits at a time."""
-    masks, full = _positions(a), (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & masks.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
+def common_subsequence(a: str, b: str, need: float = 0) -> int:
+    """Length of the longest common subsequence, one row of bits at a time.
+
+    Stops early, with a value below ``need``, once ``need`` is out of reach.
+    """
+    masks, full, row = _positions(a), (1 << len(a)) - 1, (1 << len(a)) - 1
+    for start in range(0, len(b), 32):
+        for ch in b[start : start + 32]:
+            hit = row & masks.get(ch, 0)
+            row = ((row + hit) | (row - hit)) & full
+        found = len(a) - row.bit_count()
+        if found + max(len(b) - start - 32, 0) < need:
+            break
     return len(a) - row.bit_count()
 
 
@@ -90,7 +96,7 @@ def ratio_udf(threshold: float, autojunk: bool = True):
             for a, b in zip(first, second):
                 score = 0.0
                 need = threshold * (len(a) + len(b)) / 2 - EPS
-                if a and b and common_subsequence(a, b) >= need:
+                if a and b and common_subsequence(a, b, need) >= need:
                     matcher.set_seqs(a, b)
                     score = matcher.ratio()
                 scores.append(score)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from litsieve.functions.text import STOP_WORDS, noun_candidates, tag_class, word_tokens
+from litsieve.session import durable
 
 
 def token_rows(df: DataFrame, column: str = "title", order: str = "ord") -> DataFrame:
@@ -82,6 +83,9 @@ def keyword_counts(
     no part-of-speech filter and plurals fold by suffix rules.
     """
     words = vocabulary(df, column, order)
+    if lexicon is None and lemmas:
+        # Used three times below; one line per distinct word.
+        words = durable(words, "vocabulary")
     if lexicon is not None:
         found = with_lexicon(words.filter(is_keyword(F.col("word"), stop_words)), lexicon)
     elif lemmas:

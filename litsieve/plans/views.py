@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from litsieve.operators.extract import ARTICLE_PAGE, extract_records
+from litsieve.session import spread
+
+
+# Tables whose rows take much work each (text, markup).
+HEAVY = {"documents", "pages", "orders"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def document_articles(spark: SparkSession, folder: str) -> DataFrame:
