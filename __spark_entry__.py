@@ -130,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fuzzy_histogram_lev": lambda s, d: screening.score_histogram(
             _rounded(Z.fuzzy_matches(_titles(s, d), **LEV))
         ),
+        "fuzzy_scores_lev": lambda s, d: _rounded(Z.scored_pairs(_titles(s, d), **LEV)),
         "fuzzy_pairs_jaccard": lambda s, d: _pairs(s, d, JAC),
         "fuzzy_pairs_ratcliff": lambda s, d: _pairs(s, d, RAT),
         "fuzzy_dedup_ratcliff": lambda s, d: Z.fuzzy_dedup(_titles(s, d), **RAT),
@@ -466,12 +467,19 @@ def oracle_sql() -> dict[str, str]:
         "fuzzy_stats_lev": _fuzzy(
             TITLES,
             LEV_EDGES,
-            """SELECT n AS total, removed, n - removed AS kept, leaders, leaders + removed AS skipped
+            """SELECT n AS total, (
+                SELECT count(*) FROM t i JOIN t j ON i.ord < j.ord AND length(j.norm) BETWEEN length(i.norm) - 20 AND length(i.norm) + 20
+                LEFT JOIN matches m ON m.member = j.ord
+                WHERE i.ord NOT IN (SELECT member FROM matches) AND (m.leader IS NULL OR i.ord <= m.leader)) AS comparisons,
+            removed, n - removed AS kept, leaders, leaders + removed AS skipped
             FROM (SELECT count(*) AS n FROM t), (SELECT count(*) AS removed, count(DISTINCT leader) AS leaders FROM matches)""",
         ),
         "fuzzy_histogram_lev": _fuzzy(
             TITLES, LEV_EDGES, "SELECT floor(similarity * 20)::BIGINT AS step, count(*) AS pairs FROM matches GROUP BY 1"
         ),
+        "fuzzy_scores_lev": _fuzzy(
+            TITLES, LEV_EDGES, "SELECT lo, hi, round(similarity, 6) AS similarity FROM edges"
+        ),
         "fuzzy_pairs_jaccard": _fuzzy(TITLES, JAC_EDGES, PAIRS_SQL),
         "screening_lev": _fuzzy(
             SHELF_EXACT,

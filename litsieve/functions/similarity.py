@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
 from functools import lru_cache, reduce
 
@@ -115,6 +115,37 @@ class Measure:
     screen: Callable[[Column, Column], Column]
     score: Callable[[Column, Column], Column]
     decided_by_screen: bool
+    # for the shared-part route: the parts of a title, and how many of its
+    # parts a similar title can lack at most (SQL over len, size and parts)
+    parts: Callable[[Column], Column] | None = None
+    may_lack: str | None = None
+
+
+# Letters from rare to common, recoded so that text order puts
+# rare letters first. Any one order is correct; this one keeps groups small.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate "
+RECODED = "abcdefghijklmnopqrstuvwxyz{"
+
+
+def grams(q: int) -> Callable[[Column], Column]:
+    """Distinct substrings of ``q`` characters, recoded."""
+
+    def of(norm: Column) -> Column:
+        chars = F.split(F.translate(norm, RARE_FIRST, RECODED), "")
+        starts = F.when(
+            F.length(norm) >= q, F.sequence(F.lit(1), F.length(norm) - (q - 1))
+        ).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(
+            F.transform(starts, lambda i: F.array_join(F.slice(chars, i, q), ""))
+        )
+
+    return of
+
+
+def gram_size(kept_share: Callable[[int], float], least: int = 4, most: int = 6) -> int | None:
+    """The longest gram of which similar titles still share enough."""
+    fitting = [q for q in range(least, most + 1) if kept_share(q) >= 0.35]
+    return max(fitting, default=None)
 
 
 def _levenshtein_within(a: Column, b: Column, limit: Column) -> Column:
@@ -129,9 +160,23 @@ def ratcliff(threshold: float, autojunk: bool = True) -> Measure:
         return F.ceil(F.lit(threshold) * (sa + sb) / 2 - EPS)
 
     udf = ratio_udf(threshold, autojunk)
-    return Measure(
+    measure = Measure(
         F.length, char_profile, need, lambda a, b: F.lit(True), lambda a, b: udf(a, b), False
     )
+    q = gram_size(lambda q: (2 * q - 1) * threshold - 2 * (q - 1))
+    if q is None:
+        return measure
+    # A deleted letter touches q grams, an inserted one q - 1 of them; linear in
+    # the partner's length, so the worst partner is at an end of its range.
+    other = f"(2 * {q} - 1) * {threshold} / 2"
+
+    def worst(partner: str) -> str:
+        return f"len * ({q} - {other}) + ({partner}) * ({q} - 1 - {other})"
+
+    shortest = f"greatest(len - {{band}}, len * {threshold} / (2 - {threshold}) - 1)"
+    longest = f"least(len + {{band}}, len * (2 - {threshold}) / {threshold} + 1)"
+    lack = f"floor(greatest({worst(shortest)}, {worst(longest)}) + {EPS})"
+    return replace(measure, parts=grams(q), may_lack=lack)
 
 
 def levenshtein(threshold: float) -> Measure:
@@ -149,7 +194,13 @@ def levenshtein(threshold: float) -> Measure:
     def need(sa: Column, sb: Column) -> Column:
         return F.greatest(sa, sb) - limit(sa, sb)
 
-    return Measure(F.length, char_profile, need, screen, score, True)
+    measure = Measure(F.length, char_profile, need, screen, score, True)
+    q = gram_size(lambda q: 1 - q * (1 - threshold))
+    if q is None:
+        return measure
+    # An edit touches at most q grams.
+    lack = f"{q} * floor((1 - {threshold}) * least(len + {{band}}, len / {threshold}) + {EPS})"
+    return replace(measure, parts=grams(q), may_lack=lack)
 
 
 def jaccard(threshold: float) -> Measure:
@@ -165,7 +216,10 @@ def jaccard(threshold: float) -> Measure:
     def screen(a: Column, b: Column) -> Column:
         return score(a, b) >= threshold
 
-    return Measure(lambda n: F.size(token_set(n)), token_profile, need, screen, score, True)
+    lack = f"size - ceil({threshold} * size - {EPS})"
+    return Measure(
+        lambda n: F.size(token_set(n)), token_profile, need, screen, score, True, token_set, lack
+    )
 
 
 MEASURES = {"ratcliff": ratcliff, "levenshtein": levenshtein, "jaccard": jaccard}

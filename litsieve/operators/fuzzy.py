@@ -7,9 +7,11 @@ How it scales:
 
 * rows with the same normalised title collapse to their first row; they are
   put back at the end with that row's leader;
-* candidate pairs meet in cells of the length band. Every cell is cut into
-  blocks of bounded size and a task sees one pair of blocks, so a length that
-  a third of the titles share is spread over many tasks;
+* where the threshold allows it and the input is large, candidate pairs meet on
+  a shared part (a rare substring or word that similar titles must have in
+  common), hot parts cut into blocks; otherwise they meet in cells of the length
+  band, every cell cut into blocks of bounded size, so that a length a third of
+  the titles share is spread over many tasks. Both find the same pairs;
 * inside that join only pairs that pass the length band and the profile test
   come out; the edit-distance test and the score run on those;
 * when many rows resemble each other, the work goes in order-prefixes: settle a
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from litsieve.functions.similarity import MEASURES, WORDS, Measure, bits_missing
 from litsieve.functions.text import normalise_title
@@ -34,6 +36,10 @@ LENGTH_BAND = 20
 MAX_CELL = 4095
 BLOCK_ROWS = 4096
 ROWS_PER_TASK = 256
+# More meetings per row than this make the shared-part route the cheaper one.
+MEETINGS_PER_ROW = 20_000
+# Rows of one part above which its group is cut.
+HOT_PART = 65_536
 # Up to this many rows no look-ahead for dense groups is needed.
 PROBE_ROWS = 8192
 # Edges a prefix may be expected to have, per row that is still undecided.
@@ -90,6 +96,23 @@ def _fan_out(
     )
 
 
+NUMBERS = ["len", "size", *[f"p{k}" for k in range(WORDS)]]
+
+
+def _cheap_test(band: int, measure: Measure):
+    """Length band, then profile test, for sides l and r."""
+    need = measure.need(F.col("l_size"), F.col("r_size"))
+    close = F.abs(F.col("l_len") - F.col("r_len")) <= band
+    return close, F.expr(bits_missing("l", "r")) <= F.col("l_size") - need
+
+
+def _scored(pairs: DataFrame, threshold: float, measure: Measure) -> DataFrame:
+    scored = pairs.withColumn("similarity", measure.score(F.col("a"), F.col("b")))
+    if not measure.decided_by_screen:
+        scored = scored.filter(F.col("similarity") >= threshold)
+    return scored.select("lo", "hi", "similarity")
+
+
 def _similar(
     left: DataFrame,
     right: DataFrame,
@@ -102,14 +125,13 @@ def _similar(
     """Similar pairs (lo, hi, similarity) of the rows that meet, lo before hi."""
     # Columns known not to be null keep the generated test short enough for the
     # JIT compiler, which matters more than anything else here.
-    numbers = ["len", "size", *[f"p{k}" for k in range(WORDS)]]
     at = ["k1", "k2", "k3", "k4"]
 
     def side(rows: DataFrame, name: str, places: list[str]) -> DataFrame:
         return rows.selectExpr(
             f"ord AS {name}_ord",
             f"norm AS {name}_norm",
-            *[f"coalesce({c}, 0) AS {name}_{c}" for c in numbers],
+            *[f"coalesce({c}, 0) AS {name}_{c}" for c in NUMBERS],
             *[f"coalesce({c}, 0L) AS {k}" for c, k in zip(places, at)],
         )
 
@@ -119,12 +141,10 @@ def _similar(
     a = F.expr("if(l_ord < r_ord, l_norm, r_norm)")
     b = F.expr("if(l_ord < r_ord, r_norm, l_norm)")
 
-    need = measure.need(F.col("l_size"), F.col("r_size"))
-    close = F.abs(F.col("l_len") - F.col("r_len")) <= band
+    close, alike = _cheap_test(band, measure)
     if self_join:
         same = (F.col("l.k1") == F.col("l.k3")) & (F.col("l.k2") == F.col("l.k4"))
         close = close & (~same | forward)
-    alike = F.expr(bits_missing("l", "r")) <= F.col("l_size") - need
     # CASE keeps the order of the tests: the optimiser moves filters into the
     # join condition and would put the costly ones first.
     passes = F.when(~close, False).when(~alike, False).otherwise(measure.screen(a, b))
@@ -134,7 +154,7 @@ def _similar(
     most = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(most, n // ROWS_PER_TASK))
     meet = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in at])
-    scored = (
+    pairs = (
         l.repartition(parts, *at)
         .alias("l")
         .join(r.repartition(parts, *at).alias("r"), meet & passes)
@@ -144,11 +164,100 @@ def _similar(
             a.alias("a"),
             b.alias("b"),
         )
-        .withColumn("similarity", measure.score(F.col("a"), F.col("b")))
     )
-    if not measure.decided_by_screen:
-        scored = scored.filter(F.col("similarity") >= threshold)
-    return scored.select("lo", "hi", "similarity")
+    return _scored(pairs, threshold, measure)
+
+
+def _share_rows(rows: DataFrame, band: int, measure: Measure) -> DataFrame:
+    """Titles with ``keys``, the parts one of which a similar title must have.
+
+    Two similar titles lack at most ``lack`` of each other's parts. In one fixed
+    order of all parts, their first ``lack + 1`` parts then have one in common,
+    unless both titles have no more than ``lack`` parts (``poor``).
+    """
+    lack = measure.may_lack.format(band=band)
+    return (
+        rows.withColumn("parts", F.array_sort(measure.parts(F.col("norm"))))
+        .withColumn("lack", F.expr(f"cast(greatest({lack}, 0) AS int)"))
+        .withColumn("poor", F.size("parts") <= F.col("lack"))
+        .withColumn("keys", F.expr("slice(parts, 1, lack + 1)"))
+        .drop("parts", "lack")
+    )
+
+
+def _by_shared_part(
+    left: DataFrame,
+    right: DataFrame,
+    self_join: bool,
+    threshold: float,
+    band: int,
+    measure: Measure,
+    hot_rows: int,
+) -> DataFrame:
+    """Similar pairs of which at least one title is not poor.
+
+    Rows meet on (length cell, shared part). A group above ``hot_rows`` rows is
+    cut into blocks on both sides, and every pair of blocks is a group of its own.
+    """
+    l = left.select("ord", "poor", "cell", *NUMBERS, F.explode("keys").alias("part"))
+    r = right.select("ord", "poor", "cell", *NUMBERS, F.explode("keys").alias("part"))
+    groups = l.select("cell", "part")
+    if not self_join:
+        groups = groups.union(r.select("cell", "part"))
+    # At most (rows * keys per row) / hot_rows lines.
+    hot = durable(
+        groups.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
+        .select("part", F.ceil(F.col("n") / hot_rows).alias("cuts")),
+        "hot-parts",
+    )
+    steps = "0, 1" if self_join else "-1, 0, 1"
+    l = (
+        l.join(F.broadcast(hot), "part", "left")
+        .selectExpr(
+            "ord AS l_ord", "poor AS l_poor", "part", "cell",
+            "pmod(xxhash64(ord), coalesce(cuts, 1L)) AS cut", "coalesce(cuts, 1L) AS cuts",
+            *[f"coalesce({c}, 0) AS l_{c}" for c in NUMBERS],
+            f"explode(array({steps})) AS step",
+        )
+        .withColumn("at", F.expr("cell + step"))
+        .withColumn("other_cut", F.expr("explode(sequence(0L, cuts - 1))"))
+    )
+    r = r.join(F.broadcast(hot), "part", "left").selectExpr(
+        "ord AS r_ord", "poor AS r_poor", "part", "cell AS at",
+        *[f"coalesce({c}, 0) AS r_{c}" for c in NUMBERS],
+        "pmod(xxhash64(ord), coalesce(cuts, 1L)) AS other_cut",
+        "explode(sequence(0L, coalesce(cuts, 1L) - 1)) AS cut",
+    )
+    close, alike = _cheap_test(band, measure)
+    close = close & ~(F.col("l_poor") & F.col("r_poor"))
+    if self_join:
+        close = close & ((F.col("step") != 0) | (F.col("l_ord") < F.col("r_ord")))
+    meet = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("part", "at", "cut", "other_cut")])
+    pairs = (
+        l.alias("l")
+        .join(r.alias("r"), meet & F.when(~close, False).otherwise(alike))
+        .select(F.least("l_ord", "r_ord").alias("lo"), F.greatest("l_ord", "r_ord").alias("hi"))
+        .distinct()
+    )
+    texts = left.select("ord", "norm")
+    if not self_join:
+        texts = texts.union(right.select("ord", "norm"))
+    pairs = pairs.join(texts.select(F.col("ord").alias("lo"), F.col("norm").alias("a")), "lo").join(
+        texts.select(F.col("ord").alias("hi"), F.col("norm").alias("b")), "hi"
+    )
+    return _scored(pairs.filter(measure.screen(F.col("a"), F.col("b"))), threshold, measure)
+
+
+def _meetings(left: DataFrame, right: DataFrame) -> int:
+    """Pairs of rows the length cells alone would bring together."""
+    sizes = [{r["cell"]: r["count"] for r in x.groupBy("cell").count().collect()} for x in (left, right)]
+    return sum(n * sizes[1].get(c + d, 0) for c, n in sizes[0].items() for d in (-1, 0, 1))
+
+
+def _takes_parts(route: str, measure: Measure, left: DataFrame, right: DataFrame, n: int) -> bool:
+    if route == "auto" and measure.parts is not None:
+        return _meetings(left, right) > MEETINGS_PER_ROW * n
+    return route == "parts" and measure.parts is not None
 
 
 def edges_within(
@@ -158,8 +267,21 @@ def edges_within(
     band: int,
     measure: Measure,
     block_rows: int = BLOCK_ROWS,
+    route: str = "auto",
+    hot_part: int = HOT_PART,
 ) -> DataFrame:
-    """Similar pairs (lo, hi, similarity) among ``rows`` (about ``n`` of them)."""
+    """Similar pairs (lo, hi, similarity) among ``rows`` (about ``n`` of them).
+
+    ``route`` "blocks" compares inside the length band, "parts" only titles that
+    share a part plus the poor ones inside the band; "auto" takes the cheaper.
+    """
+    if _takes_parts(route, measure, rows, rows, n):
+        keyed = durable(_share_rows(rows, band, measure), "keyed")
+        shared = _by_shared_part(keyed, keyed, True, threshold, band, measure, hot_part)
+        poor = keyed.filter("poor")
+        return shared.union(
+            edges_within(poor, n, threshold, band, measure, block_rows, "blocks")
+        )
     blocks = _blocks(rows, block_rows)
     left = _fan_out(rows, blocks, blocks, [0, 1], 1)
     right = _fan_out(rows, blocks, blocks, [0, -1], -1)
@@ -174,8 +296,18 @@ def edges_between(
     band: int,
     measure: Measure,
     block_rows: int = BLOCK_ROWS,
+    route: str = "auto",
+    hot_part: int = HOT_PART,
 ) -> DataFrame:
     """Similar pairs with one row in each input (about ``n`` rows in all)."""
+    if _takes_parts(route, measure, kept, rest, n):
+        one, two = (durable(_share_rows(x, band, measure), "keyed") for x in (kept, rest))
+        shared = _by_shared_part(one, two, False, threshold, band, measure, hot_part)
+        return shared.union(
+            edges_between(
+                one.filter("poor"), two.filter("poor"), n, threshold, band, measure, block_rows, "blocks"
+            )
+        )
     kept_blocks, rest_blocks = _blocks(kept, block_rows), _blocks(rest, block_rows)
     left = _fan_out(kept, kept_blocks, rest_blocks, [-1, 0, 1], 0)
     right = _fan_out(rest, rest_blocks, kept_blocks, [-1, 0, 1], 0)
@@ -239,11 +371,13 @@ def settle(
     block_rows: int = BLOCK_ROWS,
     probe_rows: int = PROBE_ROWS,
     edges_per_row: int = EDGES_PER_ROW,
+    route: str = "auto",
+    hot_part: int = HOT_PART,
 ) -> DataFrame:
     """Dropped representatives (hi, lo, similarity). ``reps`` must be durable."""
 
     def within(rows: DataFrame, size: int) -> DataFrame:
-        return edges_within(rows, size, threshold, band, measure, block_rows)
+        return edges_within(rows, size, threshold, band, measure, block_rows, route, hot_part)
 
     found, open_rows = [], reps
     while True:
@@ -261,7 +395,9 @@ def settle(
         rest = open_rows.filter(F.col("ord") > F.lit(end))
         kept = prefix.join(hits.select(F.col("hi").alias("ord")), "ord", "left_anti")
         covered = durable(
-            first_leader(edges_between(kept, rest, n, threshold, band, measure, block_rows)),
+            first_leader(
+                edges_between(kept, rest, n, threshold, band, measure, block_rows, route, hot_part)
+            ),
             "covered",
         )
         found.append(covered)
@@ -280,7 +416,7 @@ def fuzzy_matches(
     metric: str = "ratcliff",
     autojunk: bool = True,
     hot_rows: int | None = None,
-    **sizes: int,
+    **sizes,
 ) -> DataFrame:
     """Rows to drop: (member, leader, similarity), by value of ``order``."""
     options = {"autojunk": autojunk} if metric == "ratcliff" else {}
@@ -364,3 +500,75 @@ def band_profile(
         .groupBy("len")
         .agg(F.max("titles").alias("titles"), F.sum("near").alias("band_titles"))
     )
+
+
+def scored_pairs(
+    df: DataFrame,
+    key: str = "title",
+    order: str = "ord",
+    threshold: float = 0.95,
+    band: int = LENGTH_BAND,
+    metric: str = "ratcliff",
+    **sizes,
+) -> DataFrame:
+    """Every pair of distinct titles at or above ``threshold`` with its score:
+    (lo, hi, similarity), also those between dropped rows. As large as there are
+    similar pairs; the dedup itself never forms this table for a dense group."""
+    measure = MEASURES[metric](threshold)
+    reps = durable(representatives(df, key, order, measure, band), "titles")
+    return edges_within(reps, reps.count(), threshold, band, measure, **sizes)
+
+
+def comparison_count(
+    df: DataFrame,
+    matches: DataFrame,
+    key: str = "title",
+    order: str = "ord",
+    band: int = LENGTH_BAND,
+    ranges: int = 256,
+) -> DataFrame:
+    """One line: how many comparisons the one-by-one procedure makes.
+
+    A kept row i is compared with a later row j inside the length band while j is
+    open, that is up to j's leader. So for each j the kept rows up to its leader
+    (or before itself) are counted, from running counts per length and range of
+    the order; no pair is formed.
+    """
+    rows = durable(
+        df.select(F.col(order).alias("ord"), F.length(normalise_title(F.col(key))).alias("len"))
+        .join(matches.selectExpr("member AS ord", "leader"), "ord", "left"),
+        "lengths",
+    )
+    # About ``ranges`` order values.
+    steps = ", ".join(str(i / ranges) for i in range(1, ranges))
+    cuts = rows.selectExpr(f"percentile_approx(ord, array({steps})) AS c").first()["c"] or []
+    bounds = "array(" + ", ".join(f"{c}L" for c in sorted(set(cuts))) + ")"
+    span = f"size(filter({bounds}, c -> c < at)) AS range"
+    # Kept rows count from just after themselves, asking rows look before theirs.
+    kept = rows.filter("leader IS NULL").selectExpr(
+        "len", "ord AS at", "0L AS asks", "1L AS kept", "1 AS late"
+    ).selectExpr("*", span)
+    asking = (
+        rows.selectExpr(
+            "len", "coalesce(leader, ord) AS at", "if(leader IS NULL, 0, 2) AS late"
+        )
+        .groupBy("len", "at", "late")
+        .agg(F.count("*").alias("asks"))
+        .selectExpr("*", span)
+        .selectExpr(
+            f"explode(sequence(greatest(len - {band}, 0), len + {band})) AS len",
+            "at", "asks", "0L AS kept", "late", "range",
+        )
+    )
+    events = kept.unionByName(asking)
+    inside = Window.partitionBy("len", "range").orderBy("at", "late")
+    before = Window.partitionBy("len").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = (
+        events.groupBy("len", "range")
+        .agg(F.sum("kept").alias("n"))
+        .select("len", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    )
+    counted = events.withColumn("seen", F.sum("kept").over(inside)).filter("asks > 0")
+    return counted.join(base, ["len", "range"]).agg(
+        F.coalesce(F.sum(F.col("asks") * (F.col("seen") + F.col("base"))), F.lit(0)).alias("comparisons")
+    )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from litsieve.operators.dedup import union_dedup
-from litsieve.operators.fuzzy import fuzzy_dedup, fuzzy_matches
+from litsieve.operators.fuzzy import LENGTH_BAND, comparison_count, fuzzy_dedup, fuzzy_matches
 from litsieve.session import durable
 
 
@@ -27,16 +27,19 @@ def screen(
 
 
 def fuzzy_report(df: DataFrame, key: str = "title", order: str = "ord", **options) -> DataFrame:
-    """One line: total, removed, kept, leaders, skipped (leaders and members)."""
-    hits = fuzzy_matches(df, key, order, **options)
+    """One line: total, comparisons (as the one-by-one procedure makes them),
+    removed, kept, leaders, skipped (leaders and members)."""
+    hits = durable(fuzzy_matches(df, key, order, **options), "matches")
+    compared = comparison_count(df, hits, key, order, options.get("band", LENGTH_BAND))
     removed = hits.agg(
         F.count("*").alias("removed"), F.countDistinct("leader").alias("leaders")
     )
     total = df.agg(F.count("*").alias("total"))
-    # Two one-line tables, joined on a constant.
-    both = total.withColumn("_one", F.lit(1)).join(removed.withColumn("_one", F.lit(1)), "_one")
-    return both.select(
+    # Three one-line tables, joined on a constant.
+    parts = [t.withColumn("_one", F.lit(1)) for t in (total, removed, compared)]
+    return parts[0].join(parts[1], "_one").join(parts[2], "_one").select(
         "total",
+        "comparisons",
         "removed",
         (F.col("total") - F.col("removed")).alias("kept"),
         "leaders",

@@ -104,6 +104,16 @@ def test_prefix_steps_and_small_blocks_change_nothing(spark, edges_per_row):
     assert got == brute(rows, "ratcliff", 0.85)
 
 
+@pytest.mark.parametrize("metric,threshold", [("ratcliff", 0.95), ("levenshtein", 0.85), ("jaccard", 0.6)])
+def test_shared_part_route_finds_the_same(spark, metric, threshold):
+    rows = titles(8, 120) + [(9000 + i, "ab" * i) for i in range(1, 12)]
+    want = brute(rows, metric, threshold)
+    plain = {"metric": metric, "threshold": threshold, "route": "parts"}
+    assert matches(spark, rows, **plain) == want
+    steps = {"hot_part": 5, "probe_rows": 60, "edges_per_row": 1, "block_rows": 9}
+    assert matches(spark, rows, **plain, **steps) == want
+
+
 def test_many_near_copies_form_no_pairs_of_copies(spark):
     base = "a long title that very many records share word by word"
     rows = [(i, base + f" {i % 97:02d}{'abcdefghij'[i // 97 % 10]}") for i in range(600)]
@@ -149,6 +159,30 @@ def test_no_pairs_gives_the_input(spark):
     assert Z.fuzzy_dedup(empty).count() == 0
 
 
+def test_comparison_count(spark):
+    rows = titles(4, 60)
+    taken, compared = set(), 0
+    ordered = [(k, py_norm(t)) for k, t in sorted(rows)]
+    for i, (k, a) in enumerate(ordered):
+        if k in taken:
+            continue
+        for m, b in ordered[i + 1 :]:
+            if m not in taken and abs(len(a) - len(b)) <= 20:
+                compared += 1
+                if score("ratcliff", a, b) >= 0.85:
+                    taken.add(m)
+    df = frame(spark, rows)
+    hits = durable(Z.fuzzy_matches(df, threshold=0.85), "matches")
+    for ranges in (1, 2, 7):
+        assert Z.comparison_count(df, hits, ranges=ranges).first()[0] == compared
+
+
+def test_scored_pairs(spark):
+    rows = [(1, "aaaaaaaaaa"), (2, "aaaaaaaaab"), (3, "aaaaaaaabb"), (4, "zz")]
+    got = {(r.lo, r.hi): r.similarity for r in Z.scored_pairs(frame(spark, rows), threshold=0.8).collect()}
+    assert got == {(1, 2): 0.9, (1, 3): 0.8, (2, 3): 0.9}
+
+
 def test_pairs_and_tags(spark):
     rows = [(1, "Case-based design"), (2, "Case based design!"), (3, "other")]
     pair = Z.similar_pairs(frame(spark, rows), threshold=0.9).first()
