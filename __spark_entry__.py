@@ -16,6 +16,7 @@ from litsieve.operators import search as Q
 from litsieve.operators import snowball as G
 from litsieve.plans import screening, views as V
 from litsieve.schema import in_column_order
+from litsieve.session import durable
 from litsieve.sources.io import seed_name
 
 LEV = {"metric": "levenshtein", "threshold": 0.85}
@@ -47,6 +48,11 @@ def _seeds(s: SparkSession, d: str) -> DataFrame:
     return G.resolve_seeds(V.seed_titles(s, d), V.part_articles(s, d))
 
 
+def _links(s: SparkSession, d: str) -> DataFrame:
+    """Citation links, written once: every direction reads them."""
+    return durable(V.part_citations(s, d), "links")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("similarity", F.round("similarity", 6))
 
@@ -193,12 +199,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "result_name": lambda s, d: _titles(s, d).select("ord", seed_name(F.col("title")).alias("name")),
         # snowball
         "seed_resolve": _seeds,
-        "cited_by": lambda s, d: G.cited_by(_seeds(s, d), V.part_citations(s, d)),
-        "references": lambda s, d: G.references(_seeds(s, d), V.part_citations(s, d)),
-        "related": lambda s, d: G.related(_seeds(s, d), V.part_citations(s, d)),
-        "snowball_capped": lambda s, d: G.snowball(V.part_citations(s, d), _seeds(s, d), cap=CAP),
+        "cited_by": lambda s, d: G.cited_by(_seeds(s, d), _links(s, d)),
+        "references": lambda s, d: G.references(_seeds(s, d), _links(s, d)),
+        "related": lambda s, d: G.related(_seeds(s, d), _links(s, d)),
+        "snowball_capped": lambda s, d: G.snowball(_links(s, d), _seeds(s, d), cap=CAP),
         "snowball_merged": lambda s, d: G.merged(
-            G.snowball(V.part_citations(s, d), _seeds(s, d), cap=CAP)
+            G.snowball(_links(s, d), _seeds(s, d), cap=CAP)
         ),
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -12,7 +13,8 @@ PAGE_SIZE = 10
 
 
 def query_terms(query: str) -> list[str]:
-    return list(dict.fromkeys(query.lower().split()))
+    """Distinct words of the query, normalised as the searched text is."""
+    return list(dict.fromkeys(re.sub(r"\W+", " ", query.lower()).split()))
 
 
 def search_text(columns: tuple[str, ...] = ("title", "abstract")) -> Column:

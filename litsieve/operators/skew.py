@@ -19,7 +19,8 @@ def lookup_by_key(
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Inner join ``rows`` to ``lookup`` (one line per key, with ``n_rows``).
+    """Inner join ``rows`` to ``lookup``, whose lines say in ``n_rows`` how many
+    rows have their key.
 
     A key with more than ``hot_rows`` rows is spread over ``salts`` tasks by the
     hash of ``spread``; its lookup line is repeated once per salt. Keys compare

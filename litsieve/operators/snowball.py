@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from litsieve.functions.text import normalise_title
+from litsieve.operators.skew import lookup_by_key
 
 DIRECTIONS = ("cited_by", "references", "related")
 
@@ -44,16 +45,20 @@ def references(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _one_hop(seeds: DataFrame, edges: DataFrame, near: str, far: str) -> DataFrame:
     links = edges.select(F.col(near).alias("seed"), F.col(far).alias("found"))
+    wanted = _sized(seeds.select("seed").distinct(), links, "seed")
     return (
-        seeds.select("seed")
-        .distinct()
-        .join(links, "seed")
+        lookup_by_key(links, wanted, ["seed"], "found")
         .filter(F.col("found") != F.col("seed"))
         .distinct()
         .withColumn("score", F.lit(1).cast("bigint"))
     )
 
 
+def _sized(lines: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """``lines`` with the number of links per key, for spreading hot keys."""
+    return lines.join(links.groupBy(key).agg(F.count("*").alias("n_rows")), key)
+
+
 def related(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(seed, found, score): articles that share references, and how many.
 
@@ -67,10 +72,9 @@ def related(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         .join(edges.select(F.col("src").alias("seed"), "dst"), "seed")
         .distinct()
     )
+    links = edges.select(F.col("src").alias("found"), "dst").distinct()
     return (
-        edges.select(F.col("src").alias("found"), "dst")
-        .distinct()
-        .join(mine, "dst")
+        lookup_by_key(links, _sized(mine, links, "dst"), ["dst"], "found")
         .filter(F.col("found") != F.col("seed"))
         .groupBy("seed", "found")
         .agg(F.count("*").alias("score"))

@@ -20,6 +20,7 @@ def found(spark, *args, **kw):
 
 def test_terms_order_and_limit(spark):
     assert found(spark, "design Analogy") == [1, 4, 2]
+    assert found(spark, "design-analogy!") == [1, 4, 2]
     assert found(spark, "design", sort_by="date") == [3, 2, 1, 4]
     assert found(spark, "design", max_results=2, sort_by="date") == [3, 2]
 
