@@ -37,11 +37,11 @@ def _titles(s: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
-    return V.table(s, d, "documents").select(F.col("doc_id").alias("ord"), "text")
+    return V.table(s, d, "documents", heavy=True).select(F.col("doc_id").alias("ord"), "text")
 
 
 def _doc_search(s: SparkSession, d: str) -> DataFrame:
-    return V.document_articles(s, d).withColumn("citations", F.length("title"))
+    return V.document_articles(s, d, heavy=True).withColumn("citations", F.length("title"))
 
 
 def _seeds(s: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,7 @@ def _pairs(s: SparkSession, d: str, options: dict) -> DataFrame:
 def _url_params(s: SparkSession, d: str) -> DataFrame:
     params = M.url_params(F.col("url"))
     pairs = F.transform(F.map_entries(params), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return V.table(s, d, "pages").select(
+    return V.table(s, d, "pages", heavy=True).select(
         "page_id",
         F.array_join(F.array_sort(pairs), "&").alias("params"),
         M.start_of(F.col("url")).alias("start"),
@@ -74,7 +74,7 @@ def _url_params(s: SparkSession, d: str) -> DataFrame:
 def _absolute(s: SparkSession, d: str) -> DataFrame:
     host = F.regexp_extract("page_url", r"^[a-z]+://([^/?#]+)", 1)
     return (
-        P.page_links(V.table(s, d, "pages"))
+        P.page_links(V.table(s, d, "pages", heavy=True))
         .filter(M.usable_href(F.col("href"), host))
         .select("page_id", "pos", M.absolute_url(F.col("href"), F.col("page_url")).alias("link"))
     )
@@ -82,7 +82,7 @@ def _absolute(s: SparkSession, d: str) -> DataFrame:
 
 def _link_by_text(s: SparkSession, d: str) -> DataFrame:
     found = M.links(M.without_scripts(F.col("html")))
-    return V.table(s, d, "pages").select(
+    return V.table(s, d, "pages", heavy=True).select(
         "page_id", M.link_by_text(found, "^TH", "/[aeiou]").alias("href")
     )
 
@@ -101,7 +101,7 @@ def _bylines(s: SparkSession, d: str) -> DataFrame:
 def _accumulated(s: SparkSession, d: str) -> DataFrame:
     """Pages of a site in order; records are its links, a page without any
     paragraph of text is an empty page."""
-    pages = V.table(s, d, "pages").withColumn(
+    pages = V.table(s, d, "pages", heavy=True).withColumn(
         "site", F.regexp_extract("url", r"\.([a-z]+)/", 1)
     )
     body = F.regexp_extract_all(M.without_scripts(F.col("html")), F.lit(r"(?i)<p>[^<>]{40,}"), F.lit(0))
@@ -171,7 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             V.order_result_pages(s, d), keep_rejected=True
         ).filter("error is not null").select("page_id", "pos", "authors", "year", "error"),
         "result_next_page": lambda s, d: P.follow_next(V.order_result_pages(s, d), "lib.example"),
-        "page_links": lambda s, d: P.page_links(V.table(s, d, "pages")).drop("page_url"),
+        "page_links": lambda s, d: P.page_links(V.table(s, d, "pages", heavy=True)).drop("page_url"),
         "link_by_text": _link_by_text,
         "absolute_links": _absolute,
         "url_params": _url_params,

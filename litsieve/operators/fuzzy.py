@@ -250,8 +250,11 @@ def _by_shared_part(
 
 def _meetings(left: DataFrame, right: DataFrame) -> int:
     """Pairs of rows the length cells alone would bring together."""
-    sizes = [{r["cell"]: r["count"] for r in x.groupBy("cell").count().collect()} for x in (left, right)]
-    return sum(n * sizes[1].get(c + d, 0) for c, n in sizes[0].items() for d in (-1, 0, 1))
+    one = {r["cell"]: r["count"] for r in left.groupBy("cell").count().collect()}
+    two = one
+    if right is not left:
+        two = {r["cell"]: r["count"] for r in right.groupBy("cell").count().collect()}
+    return sum(n * two.get(c + d, 0) for c, n in one.items() for d in (-1, 0, 1))
 
 
 def _takes_parts(route: str, measure: Measure, left: DataFrame, right: DataFrame, n: int) -> bool:

@@ -8,18 +8,15 @@ from litsieve.operators.extract import ARTICLE_PAGE, extract_records
 from litsieve.session import spread
 
 
-# Tables whose rows take much work each (text, markup).
-HEAVY = {"documents", "pages", "orders"}
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
+    """A table; ``heavy`` when much work per row follows (text, markup)."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(df) if name in HEAVY else df
+    return spread(df) if heavy else df
 
 
-def document_articles(spark: SparkSession, folder: str) -> DataFrame:
+def document_articles(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """Documents as articles: headline line = title, the rest = abstract."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", heavy)
     title = F.substring_index("text", "\n", 1)
     return d.select(
         F.col("doc_id").alias("ord"),
@@ -79,7 +76,7 @@ def part_articles(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Web pages as articles, read from their markup."""
-    pages = table(spark, folder, "pages")
+    pages = table(spark, folder, "pages", heavy=True)
     return extract_records(pages, ARTICLE_PAGE)
 
 
@@ -101,7 +98,7 @@ SITE = "https://lib.example"
 def order_result_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One result page per order: a full record block, a block without a title,
     and a link to the page of the next order."""
-    o = table(spark, folder, "orders")
+    o = table(spark, folder, "orders", heavy=True)
     c = table(spark, folder, "customer")
     key, text = F.col("o_orderkey"), F.lit
     start = F.lit(f"{SITE}/scholar?q=order&start=")
