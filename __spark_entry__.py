@@ -19,6 +19,14 @@ from litsieve.schema import in_column_order
 from litsieve.session import durable
 from litsieve.sources.io import seed_name
 
+try:
+    import corpus_pipeline
+    import litsieve.llm.queries as llm
+except ModuleNotFoundError as e:  # the subpackage and its pipeline may be left out
+    if not (e.name or "").startswith(("corpus_pipeline", "litsieve.llm")):
+        raise
+    corpus_pipeline = llm = None
+
 LEV = {"metric": "levenshtein", "threshold": 0.85}
 JAC = {"metric": "jaccard", "threshold": 0.8}
 RAT = {"metric": "ratcliff", "threshold": 0.85}
@@ -112,6 +120,18 @@ def _accumulated(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    extra = {**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}
+    return _library_queries() | extra
+
+
+def oracle_sql() -> dict[str, str]:
+    extra = dict(llm.SQL) if llm else {}
+    if llm and corpus_pipeline.ORACLE_SQL:
+        extra["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return _library_sql() | extra
+
+
+def _library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # exact dedup
         "dedup_exact": lambda s, d: D.drop_duplicates(_titles(s, d)),
@@ -444,7 +464,7 @@ MARKS = f"""SELECT *, ord <> kept_ord AS is_duplicate FROM (
     SELECT *, min(ord) OVER (PARTITION BY title) AS kept_ord FROM ({TITLES}))"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _library_sql() -> dict[str, str]:
     return {
         "dedup_exact": f"SELECT * FROM ({TITLES}) QUALIFY row_number() OVER (PARTITION BY title ORDER BY ord) = 1",
         "dedup_exact_text": "SELECT min(doc_id) AS ord FROM documents GROUP BY text",
