@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import chat, classifier, decontaminate, mixing, quality_rules, secrets, tokens
+from litsieve.llm import chat, classifier, decontaminate, mixing, phrase_dedup, quality_rules, secrets, suffix_dedup, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,7 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_token_ids": tokens.op6_token_ids,
     "op7_quality_classifier": classifier.op7_quality_classifier,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_phrase_dedup": phrase_dedup.op10_phrase_dedup,
 }
 
 SQL: dict[str, str] = {
