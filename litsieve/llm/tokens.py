@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from litsieve.session import scratch_path
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Pieces that a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?= \S)")
 
@@ -43,30 +44,60 @@ class Pieces:
     """Ids of words, looked up where a word was seen before.
 
     The vocabulary's rule always begins a new piece at a blank that a non-blank
-    follows, so a text can be cut there and its parts encoded on their own.
+    follows, so a text can be cut there and its parts encoded on their own. New words
+    are encoded joined, some dozens at a time, and told apart by the number of bytes
+    that each id stands for.
     """
 
     def __init__(self, path: str | None):
         self.tokenizer = tokenizer(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # one character stands for one byte
+            self.n_bytes[i] = len(token)
 
     def cut(self, text: str) -> list[str]:
-        if _RUN.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        """Words after their blank; the first part, and all parts of a text with runs of
+        white space, are kept apart from them by a leading line feed."""
+        if _RUN.search(text) or text.endswith(" "):
+            return ["\n" + x for x in _CUT.split(text)]
+        parts = text.split(" ")
+        parts[0] = "\n" + parts[0]
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cuts = [self.cut(t) for t in texts]
-        new = list({p for c in cuts for p in c if p not in self.known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in cuts]
-        if len(self.known) > REMEMBERED:
-            for p in new:  # words of earlier batches are the frequent ones
-                del self.known[p]
+        flat = list(chain.from_iterable(cuts))
+        got = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(got) if x is None]
+        new = self._encoded(list({flat[i] for i in missing}))
+        for i in missing:
+            got[i] = new[flat[i]]
+        if len(self.known) < REMEMBERED:  # frequent words come early
+            self.known |= new
+        at = np.cumsum([0, *map(len, cuts)]).tolist()
+        return [b"".join(got[a:b]) for a, b in pairwise(at)]
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        single = [p for p in parts if p[:1].isspace()]
+        words = [p for p in parts if not p[:1].isspace()]
+        encode = self.tokenizer.encode_batch_fast
+        out = {
+            p: np.array(e.ids, "<u4").tobytes()
+            for p, e in zip(single, encode([p[1:] for p in single], add_special_tokens=False), strict=True)
+        }
+        for at in range(0, len(words), 16_384):
+            some = words[at : at + 16_384]
+            joined = [" " + " ".join(some[i : i + 64]) for i in range(0, len(some), 64)]
+            ids = np.fromiter(
+                chain.from_iterable(e.ids for e in encode(joined, add_special_tokens=False)), "<u4"
+            )
+            ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in some])
+            cut = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+            raw = ids.tobytes()
+            out.update(zip(some, (raw[4 * a : 4 * b] for a, b in pairwise([0, *cut.tolist()])), strict=True))
         return out
 
 
