@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from litsieve.llm.classifier import classify_stage
+from litsieve.llm.decontaminate import decontaminate_stage
 from litsieve.llm.mixing import mix_stage
+from litsieve.llm.sketch_join import dedup_stage
 from litsieve.llm.tokens import tokens_stage
 from litsieve.session import durable
 
@@ -15,6 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", classify_stage),
+    ("near_duplicates", dedup_stage),
+    ("decontamination", decontaminate_stage),
     ("source_mix", mix_stage),
     ("token_files", tokens_stage),
 ]

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import chat, classifier, decontaminate, mixing, phrase_dedup, quality_rules, secrets, suffix_dedup, tokens
+from litsieve.llm import chat, classifier, decontaminate, mixing, phrase_dedup, quality_rules, secrets, sketch_join, suffix_dedup, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_sketch_join": sketch_join.op3_sketch_join,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_token_ids": tokens.op6_token_ids,
