@@ -16,7 +16,8 @@ must a segment in which its own anchor comes again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from litsieve.llm.common import Words, chunks, powers, prefix_hash, run_hash, small_batches, span_hash
 from litsieve.session import durable
 
+#: An anchor with more distinct segments is told apart by more than itself.
+HOT_KINDS = 500
 SEGMENTS = "anchor long, digest long, doc_id long, lo int, hi int, again int"
 
 
@@ -97,8 +100,8 @@ class Repeats:
     """Tables about anchors that occur twice or more.
 
     copies: doc_id, lo, hi of segments of which an equal one stands earlier.
-    firsts: anchor, digest, doc_id, lo, hi, n of the first of each distinct segment,
-    for contested anchors only; n counts equal segments.
+    firsts: anchor, digest, doc_id, lo, hi, n, kinds of the first of each distinct segment,
+    for contested anchors only; n counts equal segments, kinds the anchor's distinct ones.
     repeated: the first of each segment that has copies: doc_id, lo, hi.
     """
 
@@ -139,7 +142,7 @@ def repeats(docs: DataFrame, cut: Callable, length: int, gram: int) -> Repeats:
         F.min(place).alias("at"), F.count("*").alias("n"), F.max("again").alias("again")
     )
     distinct = durable(distinct.select("anchor", "digest", "at.doc_id", "at.lo", "at.hi", "n", "again"), "distinct")
-    contested = distinct.groupBy("anchor").agg(F.sum(1 + F.col("again")).alias("kinds")).filter("kinds > 1").select("anchor")
+    contested = distinct.groupBy("anchor").agg(F.sum(1 + F.col("again")).alias("kinds")).filter("kinds > 1")
     several = distinct.filter("n > 1").select(
         "anchor", "digest", F.col("doc_id").alias("first_doc"), F.col("lo").alias("first_lo")
     )
@@ -153,26 +156,73 @@ def repeats(docs: DataFrame, cut: Callable, length: int, gram: int) -> Repeats:
     )
 
 
-def with_content(firsts: DataFrame, docs: DataFrame, take: Callable[[bytes, list[tuple[int, int]]], list]) -> DataFrame:
-    """``firsts`` with ``content``: what ``take`` makes of a text and its segments.
+def refined(segment: dict, grams: np.ndarray, units: Sequence, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
+    """(lo, hi, name) of a segment's parts by what stands beside the anchor.
+
+    A window reaches at least half of its other values to the left or to the right of
+    its first anchor; equal windows do so alike. Its part is named by the anchor and
+    that half, so windows meet only where they share more than half their length.
+    """
+    lo, hi, half = segment["lo"], segment["hi"], (length - gram) // 2
+    anchor = np.array([segment["anchor"]], np.int64).view(np.uint64)[0]
+    before = lo - 1
+    for a in (lo + np.flatnonzero(grams[lo : hi + length - gram + 1] == anchor)).tolist():
+        first, last = before + 1, min(a, hi)
+        before = a
+        for p, q, beside in (
+            (first, min(last, a - half), units[a - half : a + gram] if a >= half else None),
+            (max(first, a - half + 1), last, units[a : a + gram + half]),
+        ):
+            if p <= q:
+                yield p, q, name_of(beside)
+
+
+def name_of(units: Sequence) -> int:
+    data = units if isinstance(units, bytes) else b" ".join(units)
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def with_content(
+    firsts: DataFrame, docs: DataFrame, length: int, gram: int, of_words: bool, hot_kinds: int = HOT_KINDS
+) -> DataFrame:
+    """``firsts`` with ``content``: the bytes, or the words joined by blanks.
 
     A document's segments are brought together first (as many as its length
-    allows), so its text travels once.
+    allows), so its text travels once. Segments of an anchor with more than
+    ``hot_kinds`` distinct ones are cut into parts with finer names (see ``refined``).
+    Rows without content are later copies of a part in the same segment.
     """
     per_doc = firsts.groupBy("doc_id").agg(
-        F.collect_list(F.struct("anchor", "digest", "lo", "hi", "n")).alias("segments")
+        F.collect_list(F.struct("anchor", "digest", "lo", "hi", "n", "kinds")).alias("segments")
     )
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(per_doc, F.col("doc_id") == F.col("_id"))
 
+    def of_text(doc_id: int, text: bytes, segments: list[dict]) -> Iterator[dict]:
+        units = text.split() if of_words else text
+        grams = None
+        for s in segments:
+            if s["kinds"] <= hot_kinds:
+                cut = units[s["lo"] : s["hi"] + length]
+                yield s | {"doc_id": doc_id, "content": b" ".join(cut) if of_words else cut}
+                continue
+            if grams is None:
+                grams = grams_of(text, gram, of_words)
+            parts: dict[tuple[int, bytes], dict] = {}
+            for lo, hi, name in refined(s, grams, units, length, gram):
+                cut = units[lo : hi + length]
+                cut = b" ".join(cut) if of_words else cut
+                row = s | {"doc_id": doc_id, "anchor": name, "digest": name_of(cut), "lo": lo, "hi": hi, "content": cut}
+                known = parts.setdefault((name, cut), row)
+                if known is not row:
+                    known["n"] += 1
+                    yield row | {"content": None}
+            yield from parts.values()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_id, text, segments in zip(
-                b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("segments").to_pylist(), strict=True
-            ):
-                content = take((text or "").encode("utf-8", "surrogatepass"), [(s["lo"], s["hi"]) for s in segments])
-                yield pa.RecordBatch.from_pylist(
-                    [s | {"doc_id": doc_id, "content": c} for s, c in zip(segments, content, strict=True)], schema=CONTENT
-                )
+            for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "segments")), strict=True):
+                found = list(of_text(row[0], (row[1] or "").encode("utf-8", "surrogatepass"), row[2]))
+                yield pa.RecordBatch.from_pylist(found, schema=CONTENT)
 
     out = small_batches(rows.select("doc_id", "text", "segments"), 128).mapInArrow(
         run, "anchor long, digest long, doc_id long, lo int, hi int, n long, content binary"
@@ -180,6 +230,15 @@ def with_content(firsts: DataFrame, docs: DataFrame, take: Callable[[bytes, list
     return durable(out, "content")
 
 
+def grams_of(text: bytes, gram: int, of_words: bool) -> np.ndarray:
+    """Hashes of all grams of one text, as ``repeats`` has them."""
+    if of_words:
+        return run_hash(Words([text]).hashes(), gram)
+    data = np.frombuffer(text, np.uint8)
+    at = np.arange(max(0, len(data) - gram + 1))
+    return span_hash(prefix_hash(data), at, at + gram)
+
+
 CONTENT = pa.schema(
     [
         ("anchor", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()),
@@ -191,7 +250,8 @@ CONTENT = pa.schema(
 def shards(segments: DataFrame) -> DataFrame:
     """Segments in ranges of (anchor, digest): an anchor with very many distinct
     segments is spread over several partitions."""
-    return segments.repartitionByRange("anchor", "digest").sortWithinPartitions("anchor", "digest")
+    rows = segments.filter("content IS NOT NULL")
+    return rows.repartitionByRange("anchor", "digest").sortWithinPartitions("anchor", "digest")
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -97,7 +97,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", bins: int = BINS
     )
     goal = targets.select(
         F.col("source").alias("_mix_source"), "source_size", "target",
-        F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).alias("_mix_epochs"),
+        F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).alias("_mix_epochs"),
     ).withColumn(
         "_mix_rest", F.floor(F.col("target") - F.col("_mix_epochs") * F.col("source_size")).cast("long")
     )

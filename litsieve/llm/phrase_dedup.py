@@ -93,18 +93,10 @@ def _in_shards(length: int, shard_bytes: int):
 ARROW = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("digest", pa.int64())])
 
 
-def take_words(length: int):
-    def take(text: bytes, segments: list[tuple[int, int]]) -> list[bytes]:
-        words = text.split()
-        return [b" ".join(words[lo : hi + length]) for lo, hi in segments]
-
-    return take
-
-
-def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_kinds: int = A.HOT_KINDS) -> DataFrame:
     """doc_id, lo, hi: runs of first words of windows that also stand earlier."""
     found = A.repeats(docs, A.word_segments, length, gram)
-    content = A.with_content(found.firsts, docs, take_words(length))
+    content = A.with_content(found.firsts, docs, length, gram, of_words=True, hot_kinds=hot_kinds)
     inside = durable(small_batches(A.shards(content), 2000).mapInArrow(_in_shards(length, shard_bytes), FOUND), "shards")
     firsts = inside.filter("digest IS NOT NULL")
     place = F.struct("doc_id", "lo")
@@ -114,11 +106,12 @@ def later_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     return (
         inside.filter("digest IS NULL").select("doc_id", "lo", "hi")
         .unionByName(across.select("doc_id", "lo", "hi"))
+        .unionByName(content.filter("content IS NULL").select("doc_id", "lo", "hi"))
         .unionByName(found.copies)
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_kinds: int = A.HOT_KINDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (first and end word of what is cut).
 
     Null texts have no words; documents with fewer than ``length`` words keep all.
@@ -143,7 +136,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
 
     rows = A.with_ids(docs)
     return A.apply_covers(
-        rows, later_windows(rows, length, gram, shard_bytes), each,
+        rows, later_windows(rows, length, gram, shard_bytes, hot_kinds), each,
         "n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>",
     )
 

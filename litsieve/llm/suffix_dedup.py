@@ -172,24 +172,22 @@ def _more_than_once(b: pa.RecordBatch, prints: np.ndarray) -> pa.RecordBatch:
     return b.filter(pa.array(n > 1))
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_kinds: int = A.HOT_KINDS) -> DataFrame:
     """doc_id, lo, hi: runs of first bytes of strings that start elsewhere, too."""
     found = A.repeats(docs, A.byte_segments, length, gram)
 
-    def take(text: bytes, segments: list[tuple[int, int]]) -> list[bytes]:
-        return [text[lo : hi + length] for lo, hi in segments]
-
-    content = A.with_content(found.firsts, docs, take)
+    content = A.with_content(found.firsts, docs, length, gram, of_words=False, hot_kinds=hot_kinds)
     inside = durable(small_batches(A.shards(content), 2000).mapInArrow(_in_shards(length, shard_bytes), FOUND), "shards")
     edges = inside.filter("fingerprint IS NOT NULL")
     across = small_batches(
         edges.repartition("fingerprint").sortWithinPartitions("fingerprint"), 5000
     ).mapInArrow(_merge, FOUND)
     spots = inside.filter("fingerprint IS NULL").unionByName(across).select("doc_id", "lo", "hi")
-    return spots.unionByName(found.copies).unionByName(found.repeated)
+    known = content.filter("content IS NULL OR n > 1").select("doc_id", "lo", "hi")
+    return spots.unionByName(known).unionByName(found.copies).unionByName(found.repeated)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_kinds: int = A.HOT_KINDS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes,
     of what is cut).
 
@@ -214,7 +212,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
 
     rows = A.with_ids(docs)
     return A.apply_covers(
-        rows, repeated_strings(rows, length, gram, shard_bytes), each,
+        rows, repeated_strings(rows, length, gram, shard_bytes, hot_kinds), each,
         "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>",
     )
 
