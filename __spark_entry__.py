@@ -30,6 +30,7 @@ except ModuleNotFoundError as e:  # the subpackage and its pipeline may be left
 LEV = {"metric": "levenshtein", "threshold": 0.85}
 JAC = {"metric": "jaccard", "threshold": 0.8}
 RAT = {"metric": "ratcliff", "threshold": 0.85}
+SMALL = {"probe_rows": 64, "block_rows": 32, "edges_per_row": 1, "hot_rows": 8, "hot_part": 16}
 SEARCH = "the and"
 CAP = 10
 TOP = 30
@@ -107,12 +108,12 @@ def _bylines(s: SparkSession, d: str) -> DataFrame:
 
 
 def _accumulated(s: SparkSession, d: str) -> DataFrame:
-    """Pages of a site in order; records are its links, a page without any
-    paragraph of text is an empty page."""
+    """Pages of a site in order; records are its paragraphs, a page without any is an
+    empty page."""
     pages = V.table(s, d, "pages", heavy=True).withColumn(
         "site", F.regexp_extract("url", r"\.([a-z]+)/", 1)
     )
-    body = F.regexp_extract_all(M.without_scripts(F.col("html")), F.lit(r"(?i)<p>[^<>]{40,}"), F.lit(0))
+    body = F.regexp_extract_all(M.without_scripts(F.col("html")), F.lit(r"(?i)<p\b[^>]*>"), F.lit(0))
     records = pages.select("site", "page_id", F.posexplode(body).alias("pos", "par"))
     return Q.accumulate_pages(
         pages.select("site", "page_id"), records, "site", "page_id", "pos", 200
@@ -128,7 +129,9 @@ def oracle_sql() -> dict[str, str]:
     extra = dict(llm.SQL) if llm else {}
     if llm and corpus_pipeline.ORACLE_SQL:
         extra["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return _library_sql() | extra
+    base = _library_sql()
+    same = {f"fuzzy_dedup_lev_{x}": base["fuzzy_dedup_lev"] for x in ("parts", "steps")}
+    return base | same | {"fuzzy_pairs_jaccard_parts": base["fuzzy_pairs_jaccard"]} | extra
 
 
 def _library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -158,6 +161,10 @@ def _library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "fuzzy_scores_lev": lambda s, d: _rounded(Z.scored_pairs(_titles(s, d), **LEV)),
         "fuzzy_pairs_jaccard": lambda s, d: _pairs(s, d, JAC),
+        # the same results by the code that is meant for large inputs
+        "fuzzy_dedup_lev_parts": lambda s, d: Z.fuzzy_dedup(_titles(s, d), route="parts", **LEV),
+        "fuzzy_pairs_jaccard_parts": lambda s, d: _pairs(s, d, JAC | {"route": "parts"}),
+        "fuzzy_dedup_lev_steps": lambda s, d: Z.fuzzy_dedup(_titles(s, d), **LEV, **SMALL),
         "fuzzy_pairs_ratcliff": lambda s, d: _pairs(s, d, RAT),
         "fuzzy_dedup_ratcliff": lambda s, d: Z.fuzzy_dedup(_titles(s, d), **RAT),
         "fuzzy_dedup_ratcliff_095": lambda s, d: Z.fuzzy_dedup(
@@ -578,7 +585,7 @@ def _library_sql() -> dict[str, str]:
         "search_matches": f"SELECT ord, hits FROM ({DOC_HITS})",
         "accumulate_pages": f"""
             WITH p AS (SELECT regexp_extract(url, '\\.([a-z]+)/', 1) AS site, page_id,
-                              regexp_extract_all({NO_SCRIPT}, '(?i)<p>[^<>]{{40,}}') AS r FROM pages),
+                              regexp_extract_all({NO_SCRIPT}, '(?i)<p\\b[^>]*>') AS r FROM pages),
             stop_at AS (SELECT site, min(page_id) AS stop_id FROM p WHERE len(r) = 0 GROUP BY site)
             SELECT * FROM (
                 SELECT site, page_id, pos, row_number() OVER (PARTITION BY site ORDER BY page_id, pos) AS place

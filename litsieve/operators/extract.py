@@ -133,7 +133,9 @@ def page_links(pages: DataFrame) -> DataFrame:
 def follow_next(pages: DataFrame, host: str, step: int = 10) -> DataFrame:
     """Each page with the following page: page_id, next_url, next_page_id.
 
-    The hop is an equi-join of the pages with themselves on the URL.
+    The hop is an equi-join of the pages with themselves on the URL; of pages that
+    were captured under one URL the first is followed. Pages without a next link,
+    which would all meet in one task, go around the join.
     """
     href = next_page_link(links(without_scripts(F.col("html"))), F.col("url"), step)
     hops = (
@@ -144,5 +146,7 @@ def follow_next(pages: DataFrame, host: str, step: int = 10) -> DataFrame:
         )
         .select("page_id", "next_url")
     )
-    targets = pages.select(F.col("page_id").alias("next_page_id"), F.col("url").alias("next_url"))
-    return hops.join(targets, "next_url", "left").select("page_id", "next_url", "next_page_id")
+    targets = pages.groupBy(F.col("url").alias("next_url")).agg(F.min("page_id").alias("next_page_id"))
+    linked = hops.filter(F.col("next_url").isNotNull()).join(targets, "next_url", "left")
+    last = hops.filter(F.col("next_url").isNull()).withColumn("next_page_id", F.lit(None).cast("long"))
+    return linked.select("page_id", "next_url", "next_page_id").unionByName(last)

@@ -212,7 +212,7 @@ def _by_shared_part(
     )
     steps = "0, 1" if self_join else "-1, 0, 1"
     l = (
-        l.join(F.broadcast(hot), "part", "left")
+        l.join(hot, "part", "left")
         .selectExpr(
             "ord AS l_ord", "poor AS l_poor", "part", "cell",
             "pmod(xxhash64(ord), coalesce(cuts, 1L)) AS cut", "coalesce(cuts, 1L) AS cuts",
@@ -222,7 +222,7 @@ def _by_shared_part(
         .withColumn("at", F.expr("cell + step"))
         .withColumn("other_cut", F.expr("explode(sequence(0L, cuts - 1))"))
     )
-    r = r.join(F.broadcast(hot), "part", "left").selectExpr(
+    r = r.join(hot, "part", "left").selectExpr(
         "ord AS r_ord", "poor AS r_poor", "part", "cell AS at",
         *[f"coalesce({c}, 0) AS r_{c}" for c in NUMBERS],
         "pmod(xxhash64(ord), coalesce(cuts, 1L)) AS other_cut",
@@ -325,6 +325,7 @@ def leaders(edges: DataFrame) -> DataFrame:
     edges. Once no row does both, all pointing rows are kept. ``edges`` must be
     durable. Rounds = longest chain of dependent decisions; stars need none.
     """
+    edges = edges.filter("lo < hi")
     live, dropped = edges.select("lo", "hi"), []
     while True:
         targets = live.selectExpr("hi AS lo")
@@ -421,7 +422,11 @@ def fuzzy_matches(
     hot_rows: int | None = None,
     **sizes,
 ) -> DataFrame:
-    """Rows to drop: (member, leader, similarity), by value of ``order``."""
+    """Rows to drop: (member, leader, similarity), by value of ``order``, which must
+    tell rows apart (a repeated value raises)."""
+    repeated = df.groupBy(order).agg(F.count("*").alias("n")).filter("n > 1").head(1)
+    if repeated:
+        raise ValueError(f"{order} = {repeated[0][0]} stands in more than one row")
     options = {"autojunk": autojunk} if metric == "ratcliff" else {}
     measure = MEASURES[metric](threshold, **options)
     reps = durable(representatives(df, key, order, measure, band), "titles")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
+import regex as re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from litsieve.functions.text import normalise_title
@@ -14,7 +14,7 @@ PAGE_SIZE = 10
 
 def query_terms(query: str) -> list[str]:
     """Distinct words of the query, normalised as the searched text is."""
-    return list(dict.fromkeys(re.sub(r"\W+", " ", query.lower()).split()))
+    return list(dict.fromkeys(re.sub(r"[^\p{L}\p{N}_]+", " ", query.lower()).split()))
 
 
 def search_text(columns: tuple[str, ...] = ("title", "abstract")) -> Column:

@@ -20,10 +20,14 @@ def screen(
 ) -> DataFrame:
     """Exact dedup within and across frames, then the near duplicates.
 
-    ``order`` must rank rows across frames as well.
+    Rows rank by frame, then by ``order``, so frames may number their rows alike.
     """
     exact = durable(union_dedup(frames, key, order), "exact")
-    return fuzzy_dedup(exact, key, order, threshold=threshold, **options)
+    placed = exact.select(
+        *exact.columns, F.struct("file_rank", F.col(order).alias("in_frame")).alias("_place")
+    ).repartitionByRange("_place").sortWithinPartitions("_place")
+    ranked = durable(placed.withColumn("_rank", F.monotonically_increasing_id()), "ranked")
+    return fuzzy_dedup(ranked, key, "_rank", threshold=threshold, **options).select(exact.columns)
 
 
 def fuzzy_report(df: DataFrame, key: str = "title", order: str = "ord", **options) -> DataFrame:

@@ -5,12 +5,28 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Written tables of this process, and the files that each was made from.
+_SOURCES: dict[str, frozenset[str]] = {}
+#: Folders in use instead of the cluster's, the innermost last.
+_FOLDERS: list[str] = []
+
 
 def local_session(cores: int = 8, app: str = "litsieve") -> SparkSession:
-    """Session for tests and the bench; on a cluster the caller brings one."""
+    """Session for tests and the bench; on a cluster the caller brings one.
+
+    Python workers find this package wherever the driver was started.
+    """
+    home = str(Path(__file__).resolve().parents[1])
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        os.environ["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -29,14 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session without that setting gets a folder of its own.
     """
+    if _FOLDERS:
+        return _FOLDERS[-1]
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    named = tempfile.mkdtemp(prefix="litsieve-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    _FOLDERS.append(tempfile.mkdtemp(prefix="litsieve-"))
+    return _FOLDERS[-1]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -52,10 +69,44 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
+    _SOURCES[plain_path(path)] = frozenset(sources_of(df))
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def plain_path(path: str) -> str:
+    """The path without its scheme, decoded when it is a URI, absolute when it isn't."""
+    if "://" in path or path.startswith("file:"):
+        return unquote(urlparse(path).path)
+    return os.path.abspath(path)
+
+
+def sources_of(df: DataFrame) -> set[str]:
+    """Files that ``df`` is made from; tables written on the way count as theirs."""
+    found: set[str] = set()
+    for file in map(plain_path, df.inputFiles()):
+        made_of = _SOURCES.get(os.path.dirname(file))
+        found |= {file} if made_of is None else made_of
+    return found
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables written inside, deleted at the end.
+
+    Results must be written or collected inside. Deleting goes through the file
+    system of the folder, which all executors share.
+    """
+    inner = os.path.join(shared_dir(spark), f"run-{uuid.uuid4().hex}")
+    _FOLDERS.append(inner)
+    try:
+        yield inner
+    finally:
+        _FOLDERS.remove(inner)
+        path = spark._jvm.org.apache.hadoop.fs.Path(inner)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share out a scan that has fewer partitions than there are cores.
 

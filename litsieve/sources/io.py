@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from litsieve.operators.dedup import drop_duplicates
 from litsieve.schema import ARTICLE_SCHEMA, in_column_order
-from litsieve.session import durable
+from litsieve.session import durable, plain_path, sources_of
 
 REJECTED_SCHEMA = "file string, reason string"
 
@@ -32,25 +33,20 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list
     return sorted(r["path"] for r in rows)
 
 
-def _header_lines(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
-    """First line per file, found by one scan; one short line per file comes back."""
-    try:
-        lines = spark.read.text(list(files)).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.struct(
-                F.col("_metadata.file_block_start").alias("at"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("place"),
-            "value",
-        )
-    except AnalysisException as e:
-        raise FileNotFoundError(f"cannot read {list(files)}") from e
-    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    return {_plain(r["file"]): r["header"].lstrip("﻿") for r in first.collect()}
+def _literal(file: str) -> str:
+    """The path with the characters escaped that a file pattern would read."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", file)
 
 
-def _plain(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
+def _header_line(spark: SparkSession, file: str) -> tuple[str, str | None]:
+    """First line of a file, and the name that Spark gives to the file: one small
+    job that stops at the first row it meets. An empty file has neither."""
+    try:
+        lines = spark.read.text(_literal(file)).filter(F.col("_metadata.file_block_start") == 0)
+        first = lines.select("value", "_metadata.file_path").head(1)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"cannot read {file}") from e
+    return (first[0]["value"].lstrip("\ufeff"), first[0]["file_path"]) if first else ("", None)
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -67,21 +63,26 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def read_articles(
-    spark: SparkSession, files: Sequence[str], required: Sequence[str] = ("title",)
+    spark: SparkSession,
+    files: Sequence[str],
+    required: Sequence[str] = ("title",),
+    multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Read CSV files in the listed order: (articles, rejected files).
 
     A file whose header lacks a required column (case matters) is rejected with
     a reason and the others go on. Files are read once per distinct header and
-    united by column name. ``source_file``, ``file_rank`` and ``ord`` say where
-    a row stood; ``ord`` follows list order, then row order, and is written out
-    once so that it never changes.
+    united by column name. ``source_file`` (as given in ``files``), ``file_rank`` and
+    ``ord`` say where a row stood; ``ord`` follows list order, then row order, and is
+    written out once so that it never changes. With ``multi_line`` a field may hold
+    line feeds and a file is one task; without, large files are split.
     """
-    headers = _header_lines(spark, files)
     by_header: dict[tuple[str, ...], list[str]] = {}
-    rejected = []
-    for f in files:
-        columns = tuple(next(csv.reader([headers.get(_plain(f), "")]), []))
+    rejected, names = [], []
+    for rank, f in enumerate(files):
+        line, name = _header_line(spark, f)
+        names.append((name, f, rank))
+        columns = tuple(next(csv.reader([line]), []))
         missing = [c for c in required if c not in columns]
         if missing:
             rejected.append((f, f"missing column(s) {missing}; available: {list(columns)}"))
@@ -90,29 +91,31 @@ def read_articles(
     bad = spark.createDataFrame(rejected, REJECTED_SCHEMA)
     if not by_header:
         raise ValueError(f"no usable file: {rejected}")
-    ranks = spark.createDataFrame(
-        [(_plain(f), i) for i, f in enumerate(files)], "source_file string, file_rank int"
-    )
+    # One line per file, made of the caller's list.
+    ranks = spark.createDataFrame(names, "_name string, source_file string, file_rank int")
     frames = []
     for columns, paths in by_header.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
         frames.append(
             spark.read.schema(schema)
-            .csv(paths, header=True, escape='"', multiLine=True, enforceSchema=True)
+            .csv([_literal(p) for p in dict.fromkeys(paths)], header=True, escape='"', multiLine=multi_line, enforceSchema=True)
             .withColumns(
                 {
-                    "source_file": F.regexp_replace("_metadata.file_path", "^file:(//)?", ""),
-                    "_block": F.col("_metadata.file_block_start"),
-                    "_row": F.monotonically_increasing_id(),
+                    "_name": F.col("_metadata.file_path"),
+                    # Rows of a block are fewer than its bytes, so the sum rises within a file.
+                    "_row": F.col("_metadata.file_block_start")
+                    + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1),
                 }
             )
         )
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f, allowMissingColumns=True)
-    # One line per file.
-    placed = rows.join(ranks, "source_file").orderBy("file_rank", "_block", "_row")
-    numbered = placed.withColumn("ord", F.monotonically_increasing_id()).drop("_block", "_row")
+    # Columns of those names in the files give way.
+    placed = rows.drop("source_file", "file_rank", "ord").join(F.broadcast(ranks), "_name")
+    numbered = placed.withColumn(
+        "ord", F.shiftleft(F.col("file_rank").cast("long"), 43) + F.col("_row")
+    ).drop("_name", "_row")
     return durable(_typed(numbered), "articles"), bad
 
 
@@ -120,6 +123,7 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Saved result pages, one per file: page_id, url, html."""
     return spark.read.text(folder, wholetext=True).select(
         F.xxhash64("_metadata.file_path").alias("page_id"),
+        # The key where there are so many pages that two ids could be equal.
         F.col("_metadata.file_path").alias("url"),
         F.col("value").alias("html"),
     )
@@ -131,22 +135,28 @@ def write_articles(
     fmt: str = "csv",
     inputs: Sequence[str] = (),
     partition_by: str | None = None,
+    article_columns_only: bool = False,
 ) -> bool:
-    """Write a folder of parts; False and nothing written when there are no rows.
+    """Write a folder of parts; False and nothing left when there are no rows.
 
-    A path that is being read is refused.
+    The article columns come first, in their order, then all others;
+    ``article_columns_only`` drops those. A target that is, holds, or lies inside a
+    file that ``df`` is made from, or one of ``inputs``, is refused. An existing folder
+    is replaced, but not by a frame without rows.
     """
-    if _plain(path) in {_plain(p) for p in inputs}:
-        raise ValueError(f"{path} is an input; write to another path")
+    target = plain_path(path).rstrip("/")
+    for source in sources_of(df) | {plain_path(p).rstrip("/") for p in inputs}:
+        if f"{source}/".startswith(f"{target}/") or f"{target}/".startswith(f"{source}/"):
+            raise ValueError(f"{path} overlaps the input {source}; write to another path")
     if df.isEmpty():
         return False
-    keep = [c for c in (partition_by,) if c]
-    out = in_column_order(df).select("*") if not keep else df.select(
-        *in_column_order(df).columns, *keep
-    )
-    writer = out.write.mode("overwrite")
-    if keep:
-        writer = writer.partitionBy(*keep)
+    first = in_column_order(df).columns
+    others = [c for c in df.columns if c not in first]
+    if article_columns_only:
+        others = [c for c in others if c == partition_by]
+    writer = df.select(*first, *others).write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
     kind = fmt.lower()
     if kind == "csv":
         writer.csv(path, header=True, escape='"')

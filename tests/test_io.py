@@ -1,10 +1,14 @@
 import csv
+import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from litsieve.operators import fuzzy
 from litsieve.plans import screening
 from litsieve.schema import COLUMN_ORDER, require_columns
+from litsieve import session
 from litsieve.sources import io
 
 HEAD = ["title", "authors", "year", "journal", "citations", "abstract", "url"]
@@ -78,6 +82,55 @@ def test_round_trips(spark, files, tmp_path):
         io.write_articles(rows, files[0], inputs=files)
 
 
+@pytest.mark.parametrize("name", ["b file.csv", "50%25 a#b.csv", "é [1] {x}*.csv", "plain.csv"])
+def test_files_by_the_path_a_user_types(spark, tmp_path, name):
+    path = write(tmp_path / name, HEAD, [["T", "A", "", "", "", "", ""]])
+    relative = os.path.relpath(path)
+    for typed in (path, relative, f"./{relative}"):
+        rows, bad = io.read_articles(spark, [typed])
+        assert [(r.title, r.source_file) for r in rows.collect()] == [("T", typed)] and bad.count() == 0
+    if "%" not in name and "#" not in name:
+        assert io.read_articles(spark, [f"file:{path}"])[0].count() == 1
+
+
+def test_order_without_multi_line(spark, tmp_path):
+    a = write(tmp_path / "a.csv", ["title"], [[f"t{i}"] for i in range(3000)])
+    b = write(tmp_path / "b.csv", ["title"], [["last"]])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows, _ = io.read_articles(spark, [a, b], multi_line=False)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.title for r in rows.orderBy("ord").collect()] == [*(f"t{i}" for i in range(3000)), "last"]
+
+
+def test_write_keeps_all_columns(spark, files, tmp_path):
+    rows, _ = io.read_articles(spark, files[:1])
+    more = rows.withColumn("is_duplicate", F.lit(False))
+    io.write_articles(more, str(tmp_path / "all"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "all")).columns == [*COLUMN_ORDER, "source_file", "file_rank", "ord", "is_duplicate"]
+    io.write_articles(more, str(tmp_path / "few"), "parquet", article_columns_only=True)
+    assert spark.read.parquet(str(tmp_path / "few")).columns == COLUMN_ORDER
+
+
+def test_write_never_touches_an_input(spark, files, tmp_path):
+    rows, _ = io.read_articles(spark, files[:2])
+    for target in (files[0], str(tmp_path), f"{files[1]}/x", f"file:{tmp_path}/"):
+        with pytest.raises(ValueError, match="overlaps"):
+            io.write_articles(rows, target)  # known without a list of inputs
+    with pytest.raises(ValueError, match="overlaps"):
+        io.write_articles(spark.range(1).withColumn("title", F.lit("x")), str(tmp_path), inputs=[files[0]])
+    assert (tmp_path / "z.csv").exists()
+
+
+def test_scratch_is_removed(spark):
+    with session.scratch(spark) as folder:
+        made = session.durable(spark.range(5), "x")
+        assert made.count() == 5 and Path(folder).exists()
+    assert not Path(folder).exists()
+
+
 def test_names_and_pages(spark, tmp_path):
     assert io.result_name("x", "exact") == "x_cleaned" and io.result_name("x", "fuzzy") == "x_intelligent_cleaned"
     df = spark.createDataFrame([("Data-driven design by analogy",)], "t string")
@@ -86,6 +139,15 @@ def test_names_and_pages(spark, tmp_path):
     assert io.read_pages(spark, str(tmp_path)).first().html == "<p>a\nb</p>"
 
 
+def test_frames_that_number_their_rows_alike(spark):
+    one = spark.createDataFrame([(1, "Case based reasoning"), (2, "Unlike")], "ord long, title string")
+    two = spark.createDataFrame([(1, "Something else"), (2, "[B]Case-based reasoning")], "ord long, title string")
+    got = screening.screen([one, two], threshold=0.85).collect()
+    assert sorted((r.file_rank, r.ord) for r in got) == [(0, 1), (0, 2), (1, 1)]
+    with pytest.raises(ValueError, match="more than one row"):
+        fuzzy.fuzzy_matches(one.union(two))
+
+
 def test_screen(spark):
     one = spark.createDataFrame([(1, "Case based reasoning"), (2, "Unlike")], "ord long, title string")
     two = spark.createDataFrame([(3, "Unlike"), (4, "[B]Case-based reasoning")], "ord long, title string")
