@@ -101,38 +101,29 @@ def mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", bins: int = BINS
     ).withColumn(
         "_mix_rest", F.floor(F.col("target") - F.col("_mix_epochs") * F.col("source_size")).cast("long")
     )
-    sums = keyed.groupBy("source", "_mix_bin").agg(F.sum("size").alias("_mix_sum"))
     running = W.partitionBy("source").orderBy("_mix_bin").rowsBetween(W.unboundedPreceding, -1)
-    cuts = (
-        sums.withColumn("_mix_before", F.coalesce(F.sum("_mix_sum").over(running), F.lit(0)))
+    lines = (
+        keyed.groupBy("source", "_mix_bin").agg(F.sum("size").alias("_mix_sum"))
+        .withColumn("_mix_before", F.coalesce(F.sum("_mix_sum").over(running), F.lit(0)))
         .join(goal, F.col("source").eqNullSafe(F.col("_mix_source")))
-        .filter(
-            (F.col("_mix_before") < F.col("_mix_rest"))
-            & (F.col("_mix_before") + F.col("_mix_sum") >= F.col("_mix_rest"))
-        )
-        .select(
-            F.col("_mix_source").alias("_mix_cut_source"),
-            F.col("_mix_bin").alias("_mix_cut"),
-            "_mix_before",
-        )
+        .select("_mix_source", F.col("_mix_bin").alias("_mix_at"), "_mix_before", "_mix_sum", "source_size", "target", "_mix_epochs", "_mix_rest")
     )
-    lines = goal.join(
-        cuts, F.col("_mix_source").eqNullSafe(F.col("_mix_cut_source")), "left"
-    ).drop("_mix_cut_source")
     clash = [c for c in docs.columns if c in ("source_size", "target", "taken")]
-    placed = keyed.drop(*clash).join(lines, F.col("source").eqNullSafe(F.col("_mix_source")))
-    whole = F.col("_mix_epochs") * F.col("size")
-    apart = placed.filter(~F.coalesce(F.col("_mix_bin") == F.col("_mix_cut"), F.lit(False))).withColumn(
-        "taken",
-        whole + F.when(F.coalesce(F.col("_mix_bin") < F.col("_mix_cut"), F.lit(False)), F.col("size")).otherwise(0),
+    # Rows meet their range's line, so a large source is spread over its ranges.
+    placed = keyed.drop(*clash).join(
+        lines, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_bin") == F.col("_mix_at"))
     )
+    whole = F.col("_mix_epochs") * F.col("size")
+    inside = F.col("_mix_before") + F.col("_mix_sum") <= F.col("_mix_rest")
+    beyond = F.col("_mix_before") >= F.col("_mix_rest")
+    apart = placed.filter(inside | beyond).withColumn("taken", whole + F.when(inside, F.col("size")).otherwise(0))
     order = (
-        W.partitionBy("source")
+        W.partitionBy("source", "_mix_bin")
         .orderBy("_mix_key", "doc_id", "size")
         .rowsBetween(W.unboundedPreceding, -1)
     )
     left = F.col("_mix_rest") - F.col("_mix_before") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    at_cut = placed.filter(F.col("_mix_bin") == F.col("_mix_cut")).withColumn(
+    at_cut = placed.filter(~inside & ~beyond).withColumn(
         "taken", whole + F.greatest(F.lit(0), F.least(F.col("size"), left))
     )
     kept = [c for c in docs.columns if c not in clash]
