@@ -18,7 +18,8 @@ and two sets with Jaccard similarity of at least 0.8 differ in at most
 
 Groups of sets with an equal piece are joined to one member, never all pairs. A group
 whose members then aren't all in one component is looked at once more: its members in
-different components are compared in blocks of bounded size by their bit sketches.
+different components are compared in blocks of bounded size by their bit sketches. The
+members of large such groups first show other pieces, by rarity (``rarest_pieces``).
 Equal sets are one node throughout.
 """
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from litsieve.llm.anchors import NO_ID, with_ids
 from litsieve.llm.common import Words, chunks, mixed, read, run_hash, small_batches
@@ -40,7 +41,7 @@ BITS = 1024
 #: Members of a block when a mixed group is compared once more.
 BLOCK = 64
 #: Bytes of text whose pieces are joined inside a task before they are shuffled.
-LOCAL_BYTES = 24_000_000
+LOCAL_BYTES = 16_000_000
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -80,8 +81,9 @@ def most_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) // 9
 
 
-def pieces(doc: np.ndarray, hashes: np.ndarray, n: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of the pieces that each text shows, in its band or the one below."""
+def pieces(doc: np.ndarray, hashes: np.ndarray, n: np.ndarray, lower: bool, every: bool = False) -> tuple[np.ndarray, ...]:
+    """(text, signature, need) of the pieces that each text shows, in its band or the one
+    below; ``need`` says how many. All pieces with ``every``."""
     band = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
     if lower:
         band -= 1
@@ -108,8 +110,8 @@ def pieces(doc: np.ndarray, hashes: np.ndarray, n: np.ndarray, lower: bool) -> t
     place = np.arange(len(count)) - offset[owner]
     signature = mixed(value ^ mixed((band[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)))
     by = np.lexsort((signature, -count, owner))
-    shows = by[np.arange(len(by)) - offset[owner[by]] < need[owner[by]]]
-    return owner[shows], signature[shows]
+    shows = by if every else by[np.arange(len(by)) - offset[owner[by]] < need[owner[by]]]
+    return owner[shows], signature[shows], need[owner[shows]]
 
 
 def bit_sketches(doc: np.ndarray, hashes: np.ndarray, n_texts: int) -> np.ndarray:
@@ -170,7 +172,7 @@ def piece_rows(docs: DataFrame) -> DataFrame:
                 fresh = np.array([not (x in seen or seen.add(x)) for x in node.tolist()], bool)
                 keep = fresh[doc]
                 for lower in (False, True):
-                    owner, sig = pieces(doc[keep], h[keep], np.where(fresh, n, 0), lower)
+                    owner, sig, _ = pieces(doc[keep], h[keep], np.where(fresh, n, 0), lower)
                     held.append((sig.view(np.int64), node[owner]))
                 size += sum(map(len, part))
                 if size >= LOCAL_BYTES:
@@ -275,24 +277,72 @@ def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     return durable(small_batches(rows.select("a", "b", "text_a", "text_b"), 64).mapInArrow(_verify, "a long, b long"), "linked")
 
 
-def mixed_group_pairs(meets: DataFrame, labels: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+def rarest_pieces(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sig, node, c): the pieces that the nodes of ``large`` (node, c) show when the order
+    is by how many of them have a piece, the rarest first.
+
+    Documents with a passage that very many have meet in its pieces without being
+    alike. Any order that all share is a right one; this one shows such pieces last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = b.column("node").to_numpy()
+            for at, part in chunks(b.column("text").to_pylist()):
+                doc, h = shingle_sets(part)
+                n = np.bincount(doc, minlength=len(part))
+                for lower in (False, True):
+                    owner, sig, need = pieces(doc, h, n, lower, every=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(node[at + owner]), pa.array(np.full(len(owner), lower)),
+                            pa.array(need.astype(np.int64)), pa.array(sig.view(np.int64)),
+                        ],
+                        ["node", "lower", "need", "sig"],
+                    )
+
+    rows = small_batches(texts.join(large, "node").select("node", "text")).mapInArrow(
+        run, "node long, lower boolean, need long, sig long"
+    )
+    rows = durable(rows, "all_pieces")
+    often = durable(rows.groupBy("sig").agg(F.count("*").alias("often")), "piece_counts")
+    place = F.row_number().over(W.partitionBy("node", "lower").orderBy("often", "sig"))
+    shown = rows.join(often, "sig").withColumn("_place", place).filter((F.col("_place") <= F.col("need")) & (F.col("often") > 1))
+    return durable(shown.select("sig", "node").distinct().join(large, "node"), "rare_members")
+
+
+def mixed_group_pairs(
+    meets: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, block: int = BLOCK
+) -> DataFrame | None:
     """Candidates in groups that are not in one component yet: members of different
-    components whose bounds allow a link.
+    components whose bounds allow a link. None when there is no such group.
 
-    Members are dealt into blocks; a task compares two blocks of one group."""
+    Members of groups above ``block`` show their rarest pieces first; what then still
+    is a large group is dealt into blocks, and a task compares two of them."""
     of = {x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in ("node", "rep")}
     told = (
         meets.join(of["node"], "node", "left").join(of["rep"], "rep", "left")
         .withColumns({f"c_{x}": F.coalesce(f"c_{x}", x) for x in ("node", "rep")})
     )
     open_ = durable(told.filter("c_node <> c_rep").select("sig").distinct(), "mixed")
+    if not open_.head(1):
+        return None
     rows = durable(told.join(open_, "sig"), "mixed_rows")
-    members = rows.select("sig", "node", F.col("c_node").alias("c")).unionByName(
-        rows.select("sig", F.col("rep").alias("node"), F.col("c_rep").alias("c"))
-    ).distinct()
-    counts = members.groupBy("sig").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(counts, "sig").withColumn(
-        "mine", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int")
+    members = durable(
+        rows.select("sig", "node", F.col("c_node").alias("c"))
+        .unionByName(rows.select("sig", F.col("rep").alias("node"), F.col("c_rep").alias("c")))
+        .distinct(),
+        "members",
+    )
+    counts = durable(members.groupBy("sig").agg(F.count("*").alias("n")), "member_counts")
+    small = members.join(counts.filter(F.col("n") <= block), "sig").withColumn("blocks", F.lit(1))
+    large = members.join(counts.filter(F.col("n") > block), "sig").select("node", "c").distinct()
+    again = rarest_pieces(large, texts)
+    often = again.groupBy("sig").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = (
+        small.select("sig", "node", "c", "blocks")
+        .unionByName(again.join(often, "sig").select("sig", "node", "c", "blocks"))
+        .withColumn("mine", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int"))
     )
     met = (
         dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -352,9 +402,13 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     sizes = durable(texts.select("node", "n_shingles").join(sketches_of(texts), "node"), "sketches")
     links = verified(pairs, sizes, texts)
-    again = verified(mixed_group_pairs(meets, components(links), sizes, block), sizes, texts)
-    links = links.unionByName(again)
     labels = durable(components(links), "components")
+    again = mixed_group_pairs(meets, labels, sizes, texts, block)
+    if again is not None and (more := verified(again, sizes, texts)).head(1):
+        links = links.unionByName(more)
+        # Stars of what is joined already, and the new links.
+        stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = durable(components(stars.unionByName(more)), "components")
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(
         F.count("*").alias("n_links")
     )
