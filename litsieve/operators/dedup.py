@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from litsieve.operators.skew import lookup_by_key
+from litsieve.session import durable
 
 
 def _names(x: str | Sequence[str]) -> list[str]:
@@ -42,7 +43,9 @@ def mark_duplicates(
     df: DataFrame, key: str | Sequence[str] = "title", order: str = "ord", **skew
 ) -> DataFrame:
     """Every row with ``kept_ord`` and ``is_duplicate``."""
-    found = lookup_by_key(df, keepers(df, key, order), _names(key), order, **skew)
+    # Written once: the lookup and its hot keys are read from it.
+    lines = durable(keepers(df, key, order), "keepers")
+    found = lookup_by_key(df, lines, _names(key), order, **skew)
     return found.withColumn("is_duplicate", F.col(order) != F.col("kept_ord"))
 
 

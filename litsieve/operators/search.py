@@ -44,11 +44,19 @@ def match_articles(
     if year_end:
         out = out.filter(F.col("year") <= year_end)
     terms = query_terms(query)
-    out = out.withColumn("_text", search_text(columns))
-    for term in terms:
-        out = out.filter(F.col("_text").contains(f" {term} "))
-    counts = [term_hits(F.col("_text"), t) for t in terms] or [F.lit(0)]
-    return out.withColumn("hits", reduce(lambda a, b: a + b, counts)).drop("_text")
+    found = F.transform(
+        F.array(search_text(columns)),
+        lambda text: F.struct(
+            *[term_hits(text, t).alias(f"n{i}") for i, t in enumerate(terms)],
+            reduce(lambda a, b: a + b, [term_hits(text, t) for t in terms] or [F.lit(0)]).alias("hits"),
+        ),
+    )
+    # A filter on a column of explode stays above it, so each text is normalised once
+    # and after the rows were spread.
+    out = out.withColumn("_found", F.explode(found))
+    for i in range(len(terms)):
+        out = out.filter(F.col(f"_found.n{i}") > 0)
+    return out.withColumn("hits", F.col("_found.hits")).drop("_found")
 
 
 def result_order(sort_by: str = "relevance") -> list[Column]:

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 HOT_ROWS = 1_000_000
-SALTS = 64
 
 
 def lookup_by_key(
@@ -17,29 +16,27 @@ def lookup_by_key(
     keys: Sequence[str],
     spread: str,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Inner join ``rows`` to ``lookup``, whose lines say in ``n_rows`` how many
     rows have their key.
 
-    A key with more than ``hot_rows`` rows is spread over ``salts`` tasks by the
-    hash of ``spread``; its lookup line is repeated once per salt. Keys compare
-    null-safe. Adds the lookup's other columns, without ``n_rows``.
+    A key with more than ``hot_rows`` rows is spread by the hash of ``spread``, over as
+    many tasks as it has times that many rows; its lookup line is repeated once per
+    task. Keys compare null-safe. Adds the lookup's other columns, without ``n_rows``.
     """
     key_hash = F.xxhash64(*keys)
-    # At most total_rows / hot_rows hashes of 8 bytes: small enough to broadcast.
+    # At most total_rows / hot_rows lines of 16 bytes: small enough to broadcast.
     hot = (
         lookup.filter(F.col("n_rows") > hot_rows)
-        .select(key_hash.alias("_hash"))
-        .distinct()
-        .withColumn("_hot", F.lit(True))
+        .groupBy(key_hash.alias("_hash"))
+        .agg(F.ceil(F.sum("n_rows") / hot_rows).alias("_hot"))
     )
     salted_rows = (
         rows.withColumn("_hash", key_hash)
         .join(F.broadcast(hot), "_hash", "left")
         .withColumn(
             "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)),
+            F.pmod(F.xxhash64(spread), F.coalesce("_hot", F.lit(1))),
         )
         .drop("_hot")
         .alias("r")
@@ -49,11 +46,7 @@ def lookup_by_key(
         .join(F.broadcast(hot), "_hash", "left")
         .withColumn(
             "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
+            F.explode(F.sequence(F.lit(0), F.coalesce("_hot", F.lit(1)) - 1)),
         )
         .alias("l")
     )

@@ -18,11 +18,11 @@ def test_keeps_first_whatever_the_partitioning(spark):
 
 def test_marks_and_report_also_with_salted_hot_keys(spark):
     for hot in (1_000_000, 1):
-        marked = D.mark_duplicates(frame(spark), hot_rows=hot, salts=3).collect()
+        marked = D.mark_duplicates(frame(spark), hot_rows=hot).collect()
         assert {r.ord: (r.kept_ord, r.is_duplicate) for r in marked} == {
             1: (1, False), 3: (1, True), 7: (1, True), 2: (2, False), 5: (2, True), 6: (6, False),
         }
-        report = D.duplicate_report(frame(spark), hot_rows=hot, salts=3).collect()
+        report = D.duplicate_report(frame(spark), hot_rows=hot).collect()
         assert sorted((r.ord, r.kept_ord) for r in report) == [(3, 1), (5, 2), (7, 1)]
 
 
