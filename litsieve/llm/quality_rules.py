@@ -118,7 +118,7 @@ def _marks(texts: list[str], m: pd.DataFrame) -> np.ndarray:
 
 RULES = (
     Rule("symbols", lambda t, m: (10 * m["n_symbols"] > 3 * m["n_words"]).to_numpy()),
-    Rule("duplicate lines", lambda t, m: (m["n_dup_lines"] * 100 > 30 * np.array([x.count("\n") + 1 for x in t])).to_numpy()),
+    Rule("duplicate lines", lambda t, m: (m["n_dup_lines"] * 100 > 50 * np.array([x.count("\n") + 1 for x in t])).to_numpy()),
     Rule("word length", lambda t, m: ((m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"])).to_numpy()),
     Rule("capitals", _capitals),
     Rule("marks", _marks),
@@ -222,6 +222,6 @@ SQL = r"""
           FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
     b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR n_dup_lines * 100 > 30 * n_lines
+           NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR n_dup_lines * 100 > 50 * n_lines
                OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 2 * capitals > letters
                OR 2 * marks > n_words OR 2 * lettered < n_words OR 10 * again > 3 * n_words) AS kept FROM b"""
