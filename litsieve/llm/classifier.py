@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from litsieve.llm.common import Words, chunks, mixed, read, small_batches
 
 #: Rows that are taken from the labels at most, for positives and mixture together.
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 10_000
 CLASSES = 18
 _CLASS = np.full(256, 17, np.int64)
 _CLASS[range(0x61, 0x7B)] = 0
@@ -44,10 +44,10 @@ def features(texts: list[str | None]) -> np.ndarray:
         w = Words(part)
         n = len(part)
         kind = _CLASS[w.data]
-        pair = kind[:-1] * CLASSES + kind[1:]
+        pair = kind * CLASSES + np.append(kind[1:], kind[-1])
+        pair[w.at[1:] - 1] = kind[-1] * CLASSES + kind[-1]  # not with the next text
         sizes = np.diff(w.at)
-        # The pair that joins two texts counts for the first, the same for every text.
-        owner = np.repeat(np.arange(n), sizes)[:-1]
+        owner = np.repeat(np.arange(n), sizes)
         counts = np.bincount(owner * CLASSES**2 + pair, minlength=n * CLASSES**2).reshape(n, -1)
         shares = counts / sizes[:, None]
         words = np.maximum(w.n, 1)
@@ -81,18 +81,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def _descend(xp: np.ndarray, xu: np.ndarray, prior: float | None, steps: int = 400, decay: float = 1e-3):
     """Weights and bias; without a prior, the two samples are simply told apart."""
     d = xp.shape[1]
     theta, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
-    ap, au = np.c_[xp, np.ones(len(xp))], np.c_[xu, np.ones(len(xu))]
+
+    def gradient(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        return np.append(slope.astype(np.float32) @ x, slope.sum()) / len(x)
+
     for t in range(1, steps + 1):
-        sp, su = 1 / (1 + np.exp(-np.clip(ap @ theta, -30, 30))), 1 / (1 + np.exp(-np.clip(au @ theta, -30, 30)))
+        w = theta[:-1].astype(np.float32)
+        sp, su = _sigmoid(xp @ w + theta[-1]), _sigmoid(xu @ w + theta[-1])
         # Gradients of the logistic loss: for + it is s - 1, for - it is s.
-        g_plus, g_unl, g_minus = ap.T @ (sp - 1) / len(ap), au.T @ su / len(au), ap.T @ sp / len(ap)
+        g_plus, g_unl = gradient(xp, sp - 1), gradient(xu, su)
         if prior is None:
             g = g_plus + g_unl
         else:
+            g_minus = gradient(xp, sp)
             rest = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
             g = prior * g_plus + g_unl - prior * g_minus if rest >= 0 else prior * g_minus - g_unl
         g[:-1] += decay * theta[:-1]
@@ -117,9 +126,12 @@ def fit(positive: np.ndarray, mixture: np.ndarray) -> Model:
     """Without rows in one of the samples, the model scores every text 0.5."""
     if len(positive) < 2 or len(mixture) < 2:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
-    both = np.concatenate([positive, mixture]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    xp, xu = (np.clip((x - mean) / scale, -6, 6) for x in (positive, mixture))
+    x = np.concatenate([positive, mixture]).astype(np.float32)
+    mean, scale = x.mean(0), x.std(0) + 1e-3
+    x -= mean
+    x /= scale
+    np.clip(x, -6, 6, out=x)
+    xp, xu = x[: len(positive)], x[len(positive) :]
     prior = class_prior(xp, xu)
     w, b = _descend(xp, xu, prior)
     return Model(mean, scale, w, float(b), prior)
@@ -148,14 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pd.DataFrame({"trusted": b["trusted"], "x": list(features(list(b["text"])))})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("trusted", "text")
-    got = small_batches(rows).mapInPandas(run, "trusted boolean, x array<float>").toPandas()
-    if got.empty:
-        return fit(np.zeros((0, N_FEATURES)), np.zeros((0, N_FEATURES)))
-    x = np.stack(got["x"].to_list())
-    trusted = got["trusted"].to_numpy(bool)
+    got = small_batches(rows).mapInPandas(run, "trusted boolean, x array<float>").toArrow()
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+    trusted = got.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
     # The order rows arrive in must not matter.
-    x, trusted = x[order := np.lexsort(x.T[::-1])], trusted[order]
-    return fit(x[trusted], x[~trusted])
+    order = np.lexsort(x.T[::-1])
+    return fit(x[order[trusted[order]]], x[order[~trusted[order]]])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

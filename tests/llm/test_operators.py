@@ -286,6 +286,13 @@ def test_classifier_on_held_out_rows(spark):
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
 
 
+def test_features_depend_on_the_text_alone():
+    together = classifier.features(X.texts())
+    alone = np.concatenate([classifier.features([t]) for t in X.texts()])
+    assert np.array_equal(together, alone)
+    assert np.array_equal(classifier.features([None]), classifier.features([""]))
+
+
 def test_prior_and_scores():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (900, 5)), rng.normal(-3, 1, (100, 5))
