@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from litsieve.functions.text import normalise_title
-from litsieve.operators.skew import lookup_by_key
+from litsieve.session import durable
 
 DIRECTIONS = ("cited_by", "references", "related")
 
@@ -44,21 +44,16 @@ def references(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _one_hop(seeds: DataFrame, edges: DataFrame, near: str, far: str) -> DataFrame:
+    """One pass over the links; the engine splits the task of a seed with very many."""
     links = edges.select(F.col(near).alias("seed"), F.col(far).alias("found"))
-    wanted = _sized(seeds.select("seed").distinct(), links, "seed")
     return (
-        lookup_by_key(links, wanted, ["seed"], "found")
+        links.join(seeds.select("seed").distinct(), "seed")
         .filter(F.col("found") != F.col("seed"))
         .distinct()
         .withColumn("score", F.lit(1).cast("bigint"))
     )
 
 
-def _sized(lines: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """``lines`` with the number of links per key, for spreading hot keys."""
-    return lines.join(links.groupBy(key).agg(F.count("*").alias("n_rows")), key)
-
-
 def related(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(seed, found, score): articles that share references, and how many.
 
@@ -66,15 +61,10 @@ def related(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     counts combine map-side, so a much-cited article adds one line per citing
     article and seed that cites it, never all pairs of its citing articles.
     """
-    mine = (
-        seeds.select("seed")
-        .distinct()
-        .join(edges.select(F.col("src").alias("seed"), "dst"), "seed")
-        .distinct()
-    )
     links = edges.select(F.col("src").alias("found"), "dst").distinct()
+    mine = seeds.select("seed").distinct().join(links.withColumnRenamed("found", "seed"), "seed")
     return (
-        lookup_by_key(links, _sized(mine, links, "dst"), ["dst"], "found")
+        links.join(mine, "dst")
         .filter(F.col("found") != F.col("seed"))
         .groupBy("seed", "found")
         .agg(F.count("*").alias("score"))
@@ -94,6 +84,7 @@ def snowball(
     cap: int = 50,
 ) -> DataFrame:
     """(seed, direction, found, score, rank). A direction without links is empty."""
+    seeds = durable(seeds.select("seed").distinct(), "seeds")
     step = {"cited_by": cited_by, "references": references, "related": related}
     parts = [
         capped(step[d](seeds, edges).withColumn("direction", F.lit(d)), cap) for d in directions
