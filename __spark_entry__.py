@@ -130,7 +130,10 @@ def oracle_sql() -> dict[str, str]:
     if llm and corpus_pipeline.ORACLE_SQL:
         extra["pipeline"] = corpus_pipeline.ORACLE_SQL
     base = _library_sql()
-    same = {f"fuzzy_dedup_lev_{x}": base["fuzzy_dedup_lev"] for x in ("parts", "steps")}
+    same = {
+        "fuzzy_dedup_lev_parts": base["fuzzy_dedup_lev"].replace("0.15::DOUBLE", "0.05::DOUBLE"),
+        "fuzzy_dedup_lev_steps": base["fuzzy_dedup_lev"],
+    }
     return base | same | {"fuzzy_pairs_jaccard_parts": base["fuzzy_pairs_jaccard"]} | extra
 
 
@@ -162,7 +165,9 @@ def _library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fuzzy_scores_lev": lambda s, d: _rounded(Z.scored_pairs(_titles(s, d), **LEV)),
         "fuzzy_pairs_jaccard": lambda s, d: _pairs(s, d, JAC),
         # the same results by the code that is meant for large inputs
-        "fuzzy_dedup_lev_parts": lambda s, d: Z.fuzzy_dedup(_titles(s, d), route="parts", **LEV),
+        "fuzzy_dedup_lev_parts": lambda s, d: Z.fuzzy_dedup(
+            _titles(s, d), route="parts", metric="levenshtein", threshold=0.95
+        ),
         "fuzzy_pairs_jaccard_parts": lambda s, d: _pairs(s, d, JAC | {"route": "parts"}),
         "fuzzy_dedup_lev_steps": lambda s, d: Z.fuzzy_dedup(_titles(s, d), **LEV, **SMALL),
         "fuzzy_pairs_ratcliff": lambda s, d: _pairs(s, d, RAT),
