@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -30,6 +31,8 @@ from litsieve.session import durable
 
 #: An anchor with more distinct segments is told apart by more than itself.
 HOT_KINDS = 500
+#: A name with more segments than this is dealt to several shards.
+SPLIT_KINDS = 3000
 SEGMENTS = "anchor long, digest long, doc_id long, lo int, hi int, again int"
 
 
@@ -248,10 +251,22 @@ CONTENT = pa.schema(
 
 
 def shards(segments: DataFrame) -> DataFrame:
-    """Segments in ranges of (anchor, digest): an anchor with very many distinct
-    segments is spread over several partitions."""
+    """Segments dealt to tasks by (anchor, salt), which come together there.
+
+    A name with more than ``SPLIT_KINDS`` segments is salted over as many tasks as it
+    has times that many; its rows are marked ``edge``, as only they can have equals in
+    another task."""
     rows = segments.filter("content IS NOT NULL")
-    return rows.repartitionByRange("anchor", "digest").sortWithinPartitions("anchor", "digest")
+    large = durable(
+        rows.groupBy("anchor").agg(F.count("*").alias("_n")).filter(F.col("_n") > SPLIT_KINDS), "large"
+    )
+    salts = F.coalesce(F.ceil(F.col("_n") / SPLIT_KINDS), F.lit(1))
+    dealt = rows.join(large, "anchor", "left").select(
+        *rows.columns,
+        F.pmod(F.xxhash64("digest"), salts).cast("int").alias("salt"),
+        F.col("_n").isNotNull().alias("edge"),
+    )
+    return dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -276,31 +291,32 @@ def with_ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
 
 
-def batches_of(segments: Iterator[pa.RecordBatch], limit: int) -> Iterator[dict[str, np.ndarray]]:
-    """A partition's segments as columns, in stretches of about ``limit`` bytes of content."""
-    held, size = [], 0
+def batches_of(segments: Iterator[pa.RecordBatch], limit: int) -> Iterator[dict[str, Sequence]]:
+    """A task's segments as columns, in shards of about ``limit`` bytes of content. Rows
+    of one (anchor, salt), SPLIT_KINDS or so at most, stay together."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
     for b in segments:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            held.append(part)
-            size += sum(len(x.as_py()) for x in part.column("content"))
-            if size >= limit:
+        keys = list(zip(b.column("anchor").to_pylist(), b.column("salt").to_pylist(), strict=True))
+        sizes = pc.binary_length(b.column("content")).to_pylist()
+        start = 0
+        for i, key in enumerate(keys):
+            if size >= limit and key != last:
+                held.append(b.slice(start, i - start))
                 yield _columns(held)
-                held, size = [], 0
-    if held:
+                held, size, start = [], 0, i
+            size += sizes[i]
+            last = key
+        held.append(b.slice(start))
+    if size:
         yield _columns(held)
 
 
-def _columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+def _columns(parts: list[pa.RecordBatch]) -> dict[str, Sequence]:
     t = pa.Table.from_batches(parts)
     return {c: t.column(c).to_pylist() if c == "content" else t.column(c).to_numpy() for c in t.column_names}
 
 
-def at_edge(anchor: np.ndarray) -> np.ndarray:
-    """Rows of the first and the last anchor of a shard, which neighbours may share."""
-    return (anchor == anchor[0]) | (anchor == anchor[-1])
-
-
 def apply_covers(docs: DataFrame, covers: DataFrame, each: Callable, schema: str) -> DataFrame:
     """Per document ``each(text, stretches)``, where ``covers`` has doc_id, lo, hi of runs
     of windows. A document has at most as many runs as its length allows."""

@@ -5,7 +5,7 @@ earlier (a smaller doc_id, or earlier in the same document). Segments meet throu
 their anchors (see ``anchors``). In shards of bounded size
 
 * recurring passages are confirmed: windows whose digest the shard has twice, or
-  that another shard may have (the shard's first and last anchor);
+  that another shard may have (of an anchor that is dealt to several);
 * an Aho-Corasick automaton is compiled from them, over word numbers, so that a match
   is one of whole words and exact;
 * the segments are streamed through it, which locates every occurrence; all but the
@@ -75,7 +75,7 @@ def _in_shards(length: int, shard_bytes: int):
         for shard in A.batches_of(batches, shard_bytes):
             doc, lo = shard["doc_id"].tolist(), shard["lo"].tolist()
             segments = [c.decode("utf-8", "surrogatepass").split(" ") for c in shard["content"]]
-            edge = A.at_edge(shard["anchor"])
+            edge = shard["edge"]
             later, first = [], []
             for places in occurrences(segments, length, edge).values():
                 order = sorted((doc[s], lo[s] + o, s, o) for s, o in places)

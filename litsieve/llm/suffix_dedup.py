@@ -12,9 +12,9 @@ whose anchor is contested go to shards of bounded size, in which
   are bytes compared;
 * strings that stand in one shard twice are found from the prefixes.
 
-An anchor that fills more than one shard, or lies on a shard's edge, is merged
-across shards: each shard gives its strings' fingerprints once, ranges of them meet
-in sorted order, and binary search counts how often each occurs.
+An anchor that fills more than one shard is merged across shards: each shard gives
+its strings' fingerprints once, they meet in sorted order, and binary search counts
+how often each occurs.
 """
 
 from __future__ import annotations
@@ -105,8 +105,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def shard_repeats(shard: dict, length: int):
     """(segment, offset) of strings of ``length`` bytes that the shard has twice or more,
-    in ascending order, and (segment, offset, fingerprint) of one of each string at the
-    shard's edges."""
+    in ascending order, and (segment, offset, fingerprint) of one of each string that
+    another shard may have."""
     sizes = np.array([len(c) + 1 for c in shard["content"]], np.int64)
     text = np.frombuffer(b"\xff".join(shard["content"]) + b"\xff", np.uint8)
     at = np.cumsum(sizes) - sizes
@@ -118,7 +118,7 @@ def shard_repeats(shard: dict, length: int):
     string[order] = np.cumsum(common_prefixes(text, order) < length)
     count = np.bincount(string[starts], minlength=int(string.max()) + 1)
     twice = np.flatnonzero(starts & (count[string] > 1))
-    edge = np.flatnonzero(starts & A.at_edge(shard["anchor"])[segment])
+    edge = np.flatnonzero(starts & shard["edge"][segment])
     edge = edge[np.unique(string[edge], return_index=True)[1]]
     prints = span_hash(prefix_hash(text), edge, edge + length)
     return (segment[twice], offset[twice]), (segment[edge], offset[edge], prints)

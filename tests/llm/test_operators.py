@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import fixtures as X  # noqa: E402
 
 from litsieve.llm import (  # noqa: E402
+    anchors,
     chat,
     classifier,
     decontaminate,
@@ -318,7 +319,8 @@ def brute_bytes(texts, n):
 
 
 @pytest.mark.parametrize(("length", "gram", "shard", "hot"), [(200, 32, 1_500_000, 500), (60, 12, 3000, 1), (30, 8, 200, 2), (31, 8, 900, 1)])
-def test_suffix_dedup_against_brute_force(spark, length, gram, shard, hot):
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, length, gram, shard, hot):
+    monkeypatch.setattr(anchors, "SPLIT_KINDS", 3000 if shard > 10_000 else 1 + hot % 2)
     got = rows(suffix_dedup.remove_repeats(X.table(spark, X.texts()), length, gram, shard, hot))
     want = brute_bytes(X.texts(), length)
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for _, r in sorted(got.items())] == want
@@ -366,7 +368,8 @@ def brute_words(texts, n):
 
 
 @pytest.mark.parametrize(("length", "gram", "shard", "hot"), [(20, 4, 400_000, 500), (8, 3, 500, 1), (5, 2, 100, 2)])
-def test_phrase_dedup_against_brute_force(spark, length, gram, shard, hot):
+def test_phrase_dedup_against_brute_force(spark, monkeypatch, length, gram, shard, hot):
+    monkeypatch.setattr(anchors, "SPLIT_KINDS", 3000 if shard > 10_000 else 1 + hot % 2)
     got = rows(phrase_dedup.remove_repeats(X.table(spark, X.texts()), length, gram, shard, hot))
     want = brute_words(X.texts(), length)
     assert [(r["n_words"], r["n_removed"], r["kept_sha256"]) for _, r in sorted(got.items())] == want
