@@ -24,9 +24,10 @@ def word_count(text: Column) -> Column:
 
 
 def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """``df`` as it is, with Arrow batches of few rows from here on.
+    """``df`` as it is, with Arrow batches of ``rows`` rows at most.
 
-    Very long texts then can't add up to a batch that a task has no memory for.
+    Very long texts then can't add up to a batch that a task has no memory for. The
+    setting is the session's: the last call before an action holds for its whole plan.
     """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
