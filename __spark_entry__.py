@@ -57,6 +57,12 @@ def _seeds(s: SparkSession, d: str) -> DataFrame:
     return G.resolve_seeds(V.seed_titles(s, d), V.part_articles(s, d))
 
 
+def _misspelt(s: SparkSession, d: str) -> DataFrame:
+    """Seed titles as they are, and with an ending that no part has."""
+    titles = V.seed_titles(s, d)
+    return titles.unionByName(titles.select(F.concat("title", F.lit("ish")).alias("title")))
+
+
 def _links(s: SparkSession, d: str) -> DataFrame:
     """Citation links, written once: every direction reads them."""
     return durable(V.part_citations(s, d), "links")
@@ -231,6 +237,9 @@ def _library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "result_name": lambda s, d: _titles(s, d).select("ord", seed_name(F.col("title")).alias("name")),
         # snowball
         "seed_resolve": _seeds,
+        "seed_best_score": lambda s, d: _rounded(
+            G.resolve_seeds_by_score(_misspelt(s, d), V.part_articles(s, d), metric="levenshtein")
+        ),
         "cited_by": lambda s, d: G.cited_by(_seeds(s, d), _links(s, d)),
         "references": lambda s, d: G.references(_seeds(s, d), _links(s, d)),
         "related": lambda s, d: G.related(_seeds(s, d), _links(s, d)),
@@ -600,6 +609,14 @@ def _library_sql() -> dict[str, str]:
         "year_as_text": f"SELECT ord, year::VARCHAR AS year FROM ({ORDER_ARTICLES})",
         "result_name": f"SELECT ord, replace(substring(title, 1, 20), ' ', '_') AS name FROM ({TITLES})",
         "seed_resolve": SEEDS_SQL,
+        "seed_best_score": f"""
+            WITH eq AS ({SEEDS_SQL}), a AS (SELECT {_norm("p_name")} AS k, min(p_partkey) AS ord FROM part GROUP BY 1),
+            s AS (SELECT seed_title || 'ish' AS seed_title, {_norm("seed_title || 'ish'")} AS k FROM eq),
+            d AS (SELECT seed_title, ord, greatest(length(a.k), length(s.k))::DOUBLE AS longest, levenshtein(a.k, s.k) AS d
+                  FROM s JOIN a ON length(a.k) BETWEEN length(s.k) - 20 AND length(s.k) + 20)
+            SELECT seed_title, seed, 1.0::DOUBLE AS similarity FROM eq UNION ALL
+            SELECT seed_title, ord, round(1 - d / longest, 6) FROM d WHERE d <= floor(0.15::DOUBLE * longest + 1e-9)
+            QUALIFY row_number() OVER (PARTITION BY seed_title ORDER BY d / longest, ord) = 1""",
         "cited_by": GRAPH + "SELECT * FROM cited_by",
         "references": GRAPH + "SELECT * FROM refs",
         "related": GRAPH + "SELECT * FROM rel",

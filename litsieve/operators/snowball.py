@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from litsieve.functions.similarity import MEASURES
 from litsieve.functions.text import normalise_title
+from litsieve.operators.fuzzy import LENGTH_BAND, edges_between, representatives
 from litsieve.session import durable
 
 DIRECTIONS = ("cited_by", "references", "related")
@@ -33,6 +35,43 @@ def resolve_seeds(
     return wanted.join(known, "_norm").select("seed_title", "seed")
 
 
+def resolve_seeds_by_score(
+    seeds: DataFrame,
+    articles: DataFrame,
+    title: str = "title",
+    order: str = "ord",
+    threshold: float = 0.85,
+    metric: str = "ratcliff",
+    band: int = LENGTH_BAND,
+    **sizes,
+) -> DataFrame:
+    """(seed_title, seed, similarity): the equal title as ``resolve_seeds`` has it, else
+    the article with the best score from ``threshold`` on, the first among equals.
+
+    Seeds that nothing is similar to are absent. Only seeds without an equal title
+    are compared, by the same join as near duplicates are.
+    """
+    equal = durable(resolve_seeds(seeds, articles, title, order), "equal")
+    names = seeds.select(F.col(title).alias("seed_title")).distinct()
+    # Numbered above all articles, which is the order the join of two tables expects.
+    number = F.lit(1 << 62) + F.pmod(F.xxhash64("seed_title"), F.lit(1 << 61))
+    left = durable(
+        names.join(equal.select("seed_title"), "seed_title", "left_anti").withColumn("_ord", number), "left"
+    )
+    measure = MEASURES[metric](threshold)
+    rest = durable(representatives(left, "seed_title", "_ord", measure, band), "seed-titles")
+    kept = durable(representatives(articles, title, order, measure, band), "article-titles")
+    pairs = edges_between(kept, rest, kept.count() + rest.count(), threshold, band, measure, **sizes)
+    best = pairs.groupBy("hi").agg(
+        F.max_by("lo", F.struct("similarity", -F.col("lo"))).alias("seed"), F.max("similarity").alias("similarity")
+    )
+    norm = normalise_title(F.col("seed_title"))
+    scored = left.withColumn("_norm", norm).join(rest.select(F.col("norm").alias("_norm"), F.col("ord").alias("hi")), "_norm")
+    return equal.withColumn("similarity", F.lit(1.0)).unionByName(
+        scored.join(best, "hi").select("seed_title", "seed", "similarity")
+    )
+
+
 def cited_by(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(seed, found, score): articles that cite the seed."""
     return _one_hop(seeds, edges, "dst", "src")

@@ -66,3 +66,13 @@ def test_resolve_seeds(spark):
     seeds = spark.createDataFrame([("DESIGN: by analogy",), ("unknown",), (None,)], "title string")
     got = G.resolve_seeds(seeds, frame(spark)).collect()
     assert [(r.seed_title, r.seed) for r in got] == [("DESIGN: by analogy", 1)]
+
+
+def test_seeds_by_best_score(spark):
+    articles = spark.createDataFrame(
+        [(3, "Facilitating design by analogy"), (5, "facilitating design-by-analogy"), (7, "Facilitating design by analogie"), (9, "Else")],
+        "ord long, title string",
+    )
+    seeds = spark.createDataFrame([("Facilitating DESIGN by analogy",), ("Facilitating design by analogies",), ("Unlike all",), (None,)], "title string")
+    got = {r.seed_title: (r.seed, round(r.similarity, 2)) for r in G.resolve_seeds_by_score(seeds, articles).collect()}
+    assert got == {"Facilitating DESIGN by analogy": (3, 1.0), "Facilitating design by analogies": (7, 0.98)}
