@@ -163,12 +163,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix: one row per time a document is taken, the last one cut
-    to the words the budget leaves. Columns as in ``docs``."""
-    takes = mixed_documents(sized(docs)).filter("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
-    )
-    takes = takes.dropDuplicates(["_id"])
-    rows = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn(
+    to the words the budget leaves. Columns as in ``docs``. Rows that share an id and
+    a size are taken alike."""
+    takes = mixed_documents(sized(docs)).filter("taken > 0").groupBy(
+        F.col("doc_id").alias("_id"), F.col("size").alias("_size")
+    ).agg(F.max("taken").alias("_taken"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(F.col("text")) == F.col("_size"))
+    rows = docs.join(takes, same).withColumn(
         "_words", F.explode(F.expr(
             "transform(sequence(0, cast(ceil(_taken / _size) as int) - 1), i -> least(_size, _taken - i * _size))"
         ))

@@ -432,8 +432,9 @@ def op3_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the least doc_id."""
+    """One document of each component: the one with the least doc_id. Of rows with equal
+    id and text one stays; rows without an id are never told apart and stay."""
     found = near_duplicates(docs)
     gone = found.filter(F.col("component_id").isNotNull() & (F.col("component_id") != F.col("doc_id")))
     gone = gone.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").dropDuplicates(["doc_id", "text"])
