@@ -42,6 +42,9 @@ BITS = 1024
 BLOCK = 64
 #: Bytes of text whose pieces are joined inside a task before they are shuffled.
 LOCAL_BYTES = 16_000_000
+#: Documents, and shingles, that the list of frequent shingles is made from at most.
+SAMPLE_ROWS, SAMPLE_SHINGLES, LEAST_IN_SAMPLE = 4000, 50_000, 8
+NONE = np.zeros(0, np.uint64)
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -81,9 +84,12 @@ def most_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) // 9
 
 
-def pieces(doc: np.ndarray, hashes: np.ndarray, n: np.ndarray, lower: bool, every: bool = False) -> tuple[np.ndarray, ...]:
+def pieces(
+    doc: np.ndarray, hashes: np.ndarray, n: np.ndarray, lower: bool, frequent: np.ndarray = NONE, every: bool = False
+) -> tuple[np.ndarray, ...]:
     """(text, signature, need) of the pieces that each text shows, in its band or the one
-    below; ``need`` says how many. All pieces with ``every``."""
+    below; ``need`` says how many. All pieces with ``every``. Pieces with the most shingles
+    that aren't ``frequent`` (sorted hashes) come first."""
     band = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
     if lower:
         band -= 1
@@ -109,7 +115,9 @@ def pieces(doc: np.ndarray, hashes: np.ndarray, n: np.ndarray, lower: bool, ever
     owner = np.repeat(np.arange(len(n)), total)
     place = np.arange(len(count)) - offset[owner]
     signature = mixed(value ^ mixed((band[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)))
-    by = np.lexsort((signature, -count, owner))
+    at = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
+    rare = np.bincount(slot, frequent[at] != h if len(frequent) else None, minlength=len(count))
+    by = np.lexsort((signature, -count, -rare, owner))
     shows = by if every else by[np.arange(len(by)) - offset[owner[by]] < need[owner[by]]]
     return owner[shows], signature[shows], need[owner[shows]]
 
@@ -159,7 +167,28 @@ def _piece_rows(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that many documents of a bounded sample have.
+
+    They only settle which pieces are shown first; any list gives right results. With
+    this one, documents do not meet for a passage that very many of them have."""
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, part in chunks(b.column("text").to_pylist()):
+                _, h = shingle_sets(part)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    counts = small_batches(sample).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    found = counts.filter(F.col("n") >= LEAST_IN_SAMPLE).orderBy(F.desc("n"), "h").limit(SAMPLE_SHINGLES).toArrow()
+    return np.sort(found.column("h").to_numpy().view(np.uint64))
+
+
 def piece_rows(docs: DataFrame) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -172,7 +201,7 @@ def piece_rows(docs: DataFrame) -> DataFrame:
                 fresh = np.array([not (x in seen or seen.add(x)) for x in node.tolist()], bool)
                 keep = fresh[doc]
                 for lower in (False, True):
-                    owner, sig, _ = pieces(doc[keep], h[keep], np.where(fresh, n, 0), lower)
+                    owner, sig, _ = pieces(doc[keep], h[keep], np.where(fresh, n, 0), lower, shared.value)
                     held.append((sig.view(np.int64), node[owner]))
                 size += sum(map(len, part))
                 if size >= LOCAL_BYTES:
