@@ -330,7 +330,9 @@ def rarest_pieces(large: DataFrame, texts: DataFrame) -> DataFrame:
                         ["node", "lower", "need", "sig"],
                     )
 
-    rows = small_batches(texts.join(large, "node").select("node", "text")).mapInArrow(
+    # Dealt anew, as the work per text is much more than the join's.
+    dealt = texts.join(large, "node").select("node", "text").repartition("node")
+    rows = small_batches(dealt).mapInArrow(
         run, "node long, lower boolean, need long, sig long"
     )
     rows = durable(rows, "all_pieces")
