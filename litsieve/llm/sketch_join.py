@@ -423,7 +423,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         "nodes",
     )
     shuffled = piece_rows(rows).repartition("key").sortWithinPartitions("key", "node")
-    meets = durable(small_batches(shuffled, 4000).mapInArrow(_meet, MEET), "meets")
+    meets = durable(small_batches(shuffled, 2000).mapInArrow(_meet, MEET), "meets")
     pairs = meets.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
     # Only documents that stand for a node with a candidate are fetched.
     asked = meets.select("node").unionByName(meets.select(F.col("rep").alias("node"))).distinct()
