@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from litsieve.llm.anchors import NO_ID, with_ids
 from litsieve.llm.common import Words, chunks, mixed, read, run_hash, small_batches
 from litsieve.llm.components import components
 from litsieve.session import durable
@@ -129,21 +128,36 @@ def bit_sketches(doc: np.ndarray, hashes: np.ndarray, n_texts: int) -> np.ndarra
     return np.packbits(odd.reshape(n_texts, BITS), axis=1, bitorder="little").view("<i8")
 
 
+def digest(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles."""
+    """doc_id, digest, node, n_shingles, text.
+
+    Texts are kept once per node and task, null otherwise: whatever row a node's text is
+    taken from, it has that node's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
+            texts = b.column("text").to_pylist()
             for at, part in chunks(texts):
                 doc, h = shingle_sets(part)
                 n = np.bincount(doc, minlength=len(part))
+                node = nodes(doc, h, n)
+                fresh = [not (x in seen or seen.add(x)) for x in node.tolist()]
+                first = [t if f else None for t, f in zip(texts[at : at + len(part)], fresh, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(part)), pa.array(nodes(doc, h, n)), pa.array(n.astype(np.int64))],
-                    ["doc_id", "node", "n_shingles"],
+                    [
+                        b.column("doc_id").slice(at, len(part)), b.column("digest").slice(at, len(part)),
+                        pa.array(node), pa.array(n.astype(np.int64)), pa.array(first, pa.string()),
+                    ],
+                    ["doc_id", "digest", "node", "n_shingles", "text"],
                 )
 
-    return small_batches(docs).mapInArrow(run, "doc_id long, node long, n_shingles long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
+    return small_batches(rows).mapInArrow(run, "doc_id long, digest long, node long, n_shingles long, text string")
 
 
 PIECE = "key long, node long, rep long, sig long"
@@ -168,12 +182,13 @@ def _piece_rows(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that many documents of a bounded sample have.
+    """Sorted hashes of shingles that many of a bounded sample of sets (node, text) have.
 
     They only settle which pieces are shown first; any list gives right results. With
     this one, documents do not meet for a passage that very many of them have."""
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+    chosen = docs.select("node").distinct().orderBy(F.xxhash64("node"), "node").limit(SAMPLE_ROWS)
+    # A row per task and set at most, so a set that very many documents have stays small.
+    sample = docs.join(F.broadcast(chosen), "node", "left_semi").dropDuplicates(["node"]).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,6 +202,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def piece_rows(docs: DataFrame) -> DataFrame:
+    """Rows of PIECE of the sets that ``docs`` (node, text) has."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,30 +423,28 @@ def mixed_group_pairs(
     return small_batches(met, 64).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (links of the document's set to other
-    sets that were verified on the way; not all that exist).
+def clusters(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profile, named, links): the rows' ``profiles``; node, n_shingles, component and
+    ``least``, the node's least (no id, doc_id, digest), of all sets with words; and the
+    pairs (a, b) of nodes that were verified on the way.
 
-    Documents without words are alone. Null texts are empty. Rows that share a doc_id
-    get a row each and, if their sets differ, may be in different components; null ids
-    count as one id below all others. An empty table gives an empty result; other
-    columns are ignored.
+    Rows meet by their sets alone; doc_id is carried and never a key, so rows that share
+    one, or have none, are told apart by their texts.
     """
-    rows = with_ids(docs)
-    profile = durable(profiles(rows), "profiles")
+    profile = durable(profiles(docs), "profiles")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     reps = durable(
-        profile.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles")),
+        profile.filter("n_shingles > 0").groupBy("node").agg(F.min(place).alias("least"), F.min("n_shingles").alias("n_shingles")),
         "nodes",
     )
-    shuffled = piece_rows(rows).repartition("key").sortWithinPartitions("key", "node")
+    held = profile.filter("n_shingles > 0 AND text IS NOT NULL").select("node", "text")
+    shuffled = piece_rows(held).repartition("key").sortWithinPartitions("key", "node")
     meets = durable(small_batches(shuffled, 2000).mapInArrow(_meet, MEET), "meets")
     pairs = meets.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-    # Only documents that stand for a node with a candidate are fetched.
+    # Only texts that stand for a node with a candidate are fetched.
     asked = meets.select("node").unionByName(meets.select(F.col("rep").alias("node"))).distinct()
-    wanted = reps.join(asked, "node").select(F.col("doc_id").alias("_id"), "node", "n_shingles")
-    texts = durable(
-        rows.join(wanted, F.col("doc_id") == F.col("_id")).dropDuplicates(["node"]).select("node", "n_shingles", "text"), "texts"
-    )
+    wanted = reps.join(asked, "node").select("node", "n_shingles")
+    texts = durable(held.join(wanted, "node").dropDuplicates(["node"]).select("node", "n_shingles", "text"), "texts")
     sizes = durable(texts.select("node", "n_shingles").join(sketches_of(texts), "node"), "sketches")
     links = verified(pairs, sizes, texts)
     labels = durable(components(links), "components")
@@ -440,20 +454,32 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         # Stars of what is joined already, and the new links.
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = durable(components(stars.unionByName(more)), "components")
+    named = reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return profile, named, links
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (links of the document's set to other
+    sets that were verified on the way; not all that exist).
+
+    A component is named by its least doc_id; a null id only where no row of it has one.
+    Documents without words are alone. Null texts are empty. Rows that share a doc_id, or
+    have none, get a row each by their own text and may be in different components. An
+    empty table gives an empty result; other columns are ignored.
+    """
+    profile, named, links = clusters(docs, block)
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(
         F.count("*").alias("n_links")
     )
     # Each component's least document.
-    named = reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = named.groupBy("component").agg(F.min("least").alias("first"))
     table = named.join(least, "component").join(degree, F.col("node") == F.col("a"), "left").select(
-        F.col("node").alias("_node"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
+        F.col("node").alias("_node"), F.col("first.doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     out = profile.join(table, (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0), "left")
-    real = lambda c: F.when(c != NO_ID, c)
     return out.select(
-        real(F.col("doc_id")).alias("doc_id"), "n_shingles",
-        real(F.coalesce("component_id", "doc_id")).alias("component_id"),
+        "doc_id", "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
@@ -463,9 +489,12 @@ def op3_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the least doc_id. Of rows with equal
-    id and text one stays; rows without an id are never told apart and stay."""
-    found = near_duplicates(docs)
-    gone = found.filter(F.col("component_id").isNotNull() & (F.col("component_id") != F.col("doc_id")))
-    gone = gone.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document of each component: the one with the least doc_id, rows without an id
+    last, then the least digest of the text. Documents without words stay, but of rows
+    with equal id and text one."""
+    profile, named, _ = clusters(docs)
+    kept = named.groupBy("component").agg(F.min("least").alias("first")).select("first.doc_id", "first.digest")
+    empty = profile.filter("n_shingles = 0").select("doc_id", "digest").distinct()
+    stay = kept.unionByName(empty).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest(F.col("text")) == F.col("_digest"))
+    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -193,6 +193,31 @@ def test_near_duplicates_against_all_pairs(spark, block):
     assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
 
 
+def groups_without_ids():
+    """Two groups of near copies and lone texts, under null, repeated and single ids."""
+    rng = random.Random(8)
+    out = []
+    for ids in ([None, None, None, 7], [None, None, 7, 3], [None, None], [7], [None]):
+        b = X.prose(rng, 60)
+        out += [(i, " ".join([*b, f"end{k}"])) for k, i in enumerate(ids)]
+    return [*out, out[0], (None, None), (9, "")]
+
+
+def test_near_duplicates_by_null_and_repeated_ids(spark):
+    data = groups_without_ids()
+    group, sizes = brute_components([t for _, t in data])
+    ids = lambda g: [i for (i, t), x in zip(data, group, strict=True) if x == g and i is not None]
+    want = Counter((i, n, min(ids(g), default=None)) for (i, _), g, n in zip(data, group, sizes, strict=True))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sketch_join.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+    kept = sketch_join.dedup_stage(spark, docs, "").collect()
+    left = [group[data.index((r["doc_id"], r["text"]))] for r in kept]
+    assert sorted(left) == sorted(set(group))  # one of each group
+    assert {r["doc_id"] for r in kept if r["text"] and r["doc_id"] is not None} == {3, 7}
+
+
 def test_components_of_chains(spark):
     links = [(i + 1, i) for i in range(40)] + [(101, 100), (103, 102), (103, 100), (-5, -9)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
