@@ -21,6 +21,11 @@ whose members then aren't all in one component is looked at once more: its membe
 different components are compared in blocks of bounded size by their bit sketches. The
 members of large such groups first show other pieces, by rarity (``rarest_pieces``).
 Equal sets are one node throughout.
+
+All links lie inside components, so once these are known the links of each set are
+counted there: a component's sets are dealt into blocks of bounded size, every two
+blocks meet in a task, and an index of shingles gives the intersections of all their
+pairs. Only the counts go on, never the pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ SHINGLE = 5
 BITS = 1024
 #: Members of a block when a mixed group is compared once more.
 BLOCK = 64
+#: Shingles of a block when the links inside a component are counted.
+COUNT_SHINGLES = 300_000
 #: Bytes of text whose pieces are joined inside a task before they are shuffled.
 LOCAL_BYTES = 16_000_000
 #: Documents, and shingles, that the list of frequent shingles is made from at most.
@@ -424,9 +431,9 @@ def mixed_group_pairs(
 
 
 def clusters(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile, named, links): the rows' ``profiles``; node, n_shingles, component and
-    ``least``, the node's least (no id, doc_id, digest), of all sets with words; and the
-    pairs (a, b) of nodes that were verified on the way.
+    """(profile, named, texts): the rows' ``profiles``; node, n_shingles, component and
+    ``least``, the node's least (no id, doc_id, digest), of all sets with words; and node,
+    n_shingles, text of the sets that are not alone.
 
     Rows meet by their sets alone; doc_id is carried and never a key, so rows that share
     one, or have none, are told apart by their texts.
@@ -450,27 +457,94 @@ def clusters(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame,
     labels = durable(components(links), "components")
     again = mixed_group_pairs(meets, labels, sizes, texts, block)
     if again is not None and (more := verified(again, sizes, texts)).head(1):
-        links = links.unionByName(more)
         # Stars of what is joined already, and the new links.
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = durable(components(stars.unionByName(more)), "components")
-    named = reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return profile, named, links
+    named = durable(
+        reps.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "named"
+    )
+    return profile, named, texts
+
+
+def _links_of(left: np.ndarray, right: np.ndarray, owner_l: np.ndarray, owner_r: np.ndarray, n_l: np.ndarray, n_r: np.ndarray) -> Iterator[np.ndarray]:
+    """For each set of the left side, which of the right side's sets are linked to it.
+    ``left``, ``right``: shingle hashes by set (``owner_l``, ``owner_r``)."""
+    order = np.argsort(right, kind="stable")
+    right, owner_r = right[order], owner_r[order]
+    low, high = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
+    at = np.searchsorted(owner_l, np.arange(len(n_l) + 1))
+    for i in range(len(n_l)):
+        a, n = low[at[i] : at[i + 1]], (high - low)[at[i] : at[i + 1]]
+        entry = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner_r[entry], minlength=len(n_r))
+        yield 100 * both >= 80 * (n_l[i] + n_r - both)
+
+
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by component, i and j; one group of two blocks is held at a time."""
+
+    def counted(group: tuple, members: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        _, i, j = group
+        sides = []
+        for side in (i, j):
+            node = np.array([m[1] for m in members if m[0] == side], np.int64)
+            doc, h = shingle_sets([m[2].encode("utf-8", "surrogatepass") for m in members if m[0] == side])
+            sides.append((node, doc, h, np.bincount(doc, minlength=len(node))))
+        (node_l, doc_l, h_l, n_l), (node_r, doc_r, h_r, n_r) = sides
+        out_l, out_r = np.zeros(len(node_l), np.int64), np.zeros(len(node_r), np.int64)
+        for k, linked in enumerate(_links_of(h_l, h_r, doc_l, doc_r, n_l, n_r)):
+            out_l[k] = linked.sum()
+            out_r += linked
+        if i == j:
+            return node_l, out_l - 1  # a set is no link of its own
+        return np.concatenate([node_l, node_r]), np.concatenate([out_l, out_r])
+
+    now, held = None, []
+    for b in batches:
+        node, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for *group, mine, name, text in zip(
+            *(b.column(c).to_pylist() for c in ("component", "i", "j", "mine", "node", "text")), strict=True
+        ):
+            if group != now and held:
+                for out, x in zip((node, n), counted(now, held), strict=True):
+                    out.append(x)
+                held = []
+            now = group
+            held.append((mine, name, text))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(n))], ["node", "n"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in counted(now, held)], ["node", "n"])
+
+
+def link_counts(named: DataFrame, texts: DataFrame, count_shingles: int = COUNT_SHINGLES) -> DataFrame:
+    """node, n_links: with how many other sets each set of a component is linked.
+
+    ``named``: node, n_shingles, component; ``texts``: node, text."""
+    several = named.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).filter("n > 1")
+    several = several.select("component", F.ceil(F.col("size") / count_shingles).cast("int").alias("blocks"))
+    dealt = (
+        named.select("component", "node").join(several, "component")
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .join(texts.select("node", "text"), "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "text")
+    )
+    met = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    counts = small_batches(met).mapInArrow(_count_links, "node long, n long")
+    return counts.groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (links of the document's set to other
-    sets that were verified on the way; not all that exist).
+def near_duplicates(docs: DataFrame, block: int = BLOCK, count_shingles: int = COUNT_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (how many other distinct sets the
+    document's set is linked to; copies of a set count once).
 
     A component is named by its least doc_id; a null id only where no row of it has one.
     Documents without words are alone. Null texts are empty. Rows that share a doc_id, or
     have none, get a row each by their own text and may be in different components. An
     empty table gives an empty result; other columns are ignored.
     """
-    profile, named, links = clusters(docs, block)
-    degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(
-        F.count("*").alias("n_links")
-    )
+    profile, named, texts = clusters(docs, block)
+    degree = link_counts(named, texts, count_shingles).withColumnRenamed("node", "a")
     # Each component's least document.
     least = named.groupBy("component").agg(F.min("least").alias("first"))
     table = named.join(least, "component").join(degree, F.col("node") == F.col("a"), "left").select(

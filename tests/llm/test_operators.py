@@ -218,6 +218,24 @@ def test_near_duplicates_by_null_and_repeated_ids(spark):
     assert {r["doc_id"] for r in kept if r["text"] and r["doc_id"] is not None} == {3, 7}
 
 
+@pytest.mark.parametrize("count_shingles", [300_000, 150])
+def test_links_are_counted_in_full(spark, count_shingles):
+    rng = random.Random(4)
+    texts = X.texts()
+    for n in (40, 90):  # mutually near texts, and some around the limit
+        b = X.prose(rng, n)
+        for k in range(10):
+            c = list(b)
+            for _ in range(k // 3):
+                c[rng.randrange(n)] = "zz"
+            texts.append(" ".join([*c, f"end{k}"]))
+    sets = [frozenset(sketch_join._shingles(t)) for t in texts]
+    linked = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = [sum(linked(a, b) for b in set(sets) if b and b != a) if a else 0 for a in sets]
+    got = rows(sketch_join.near_duplicates(X.table(spark, texts), count_shingles=count_shingles).repartition(3))
+    assert [got[i]["n_links"] for i in range(len(texts))] == want
+
+
 def test_components_of_chains(spark):
     links = [(i + 1, i) for i in range(40)] + [(101, 100), (103, 102), (103, 100), (-5, -9)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
