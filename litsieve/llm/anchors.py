@@ -12,6 +12,9 @@ Copies of a segment need no comparison (all their windows repeat, and the first
 copy has each of them first); an anchor with several different segments is
 ``contested`` and its distinct segments, once each, must be compared by content; so
 must a segment in which its own anchor comes again.
+
+Here ``doc_id`` is the number that ``keyed`` gives each row, so rows that share an id, or
+have none, stay apart; the ids come back at the end.
 """
 
 from __future__ import annotations
@@ -286,9 +289,18 @@ def stretches(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def with_ids(docs: DataFrame) -> DataFrame:
-    """doc_id and text; a null id becomes the smallest number, as it sorts first."""
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
+def keyed(docs: DataFrame, ordered: bool = False) -> DataFrame:
+    """A written table of doc_id, the row's own number; id, the table's doc_id; and text.
+
+    Rows with null or repeated ids have numbers of their own. ``ordered``: by id (null
+    first), then by a digest of the text; only equal rows have no order of their own."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    if ordered:
+        # The last column only spreads equal rows.
+        place = ["id", "_digest", "_n"]
+        rows = rows.withColumns({"_digest": F.xxhash64("text"), "_n": F.monotonically_increasing_id()})
+        rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)
+    return durable(rows.select(F.monotonically_increasing_id().alias("doc_id"), "id", "text"), "rows")
 
 
 def batches_of(segments: Iterator[pa.RecordBatch], limit: int) -> Iterator[dict[str, Sequence]]:
@@ -318,8 +330,9 @@ def _columns(parts: list[pa.RecordBatch]) -> dict[str, Sequence]:
 
 
 def apply_covers(docs: DataFrame, covers: DataFrame, each: Callable, schema: str) -> DataFrame:
-    """Per document ``each(text, stretches)``, where ``covers`` has doc_id, lo, hi of runs
-    of windows. A document has at most as many runs as its length allows."""
+    """Per row of ``keyed`` its id as doc_id and ``each(text, stretches)``, where ``covers``
+    has doc_id, lo, hi of runs of windows. A row has at most as many runs as its length
+    allows."""
     per_doc = covers.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = docs.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
 
@@ -327,14 +340,11 @@ def apply_covers(docs: DataFrame, covers: DataFrame, each: Callable, schema: str
         for b in batches:
             out = []
             for doc_id, text, spans in zip(
-                b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True
+                b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True
             ):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                out.append({"doc_id": None if doc_id == NO_ID else doc_id} | each(raw, [(s["lo"], s["hi"]) for s in spans or []]))
+                out.append({"doc_id": doc_id} | each(raw, [(s["lo"], s["hi"]) for s in spans or []]))
             yield pa.RecordBatch.from_pylist(out, schema=arrow_schema)
 
     arrow_schema = to_arrow_schema(docs.sparkSession.createDataFrame([], f"doc_id long, {schema}").schema)
-    return small_batches(rows.select("doc_id", "text", "spans"), 128).mapInArrow(run, f"doc_id long, {schema}")
-
-
-NO_ID = -(2**63)
+    return small_batches(rows.select("id", "text", "spans"), 128).mapInArrow(run, f"doc_id long, {schema}")

@@ -1,7 +1,7 @@
 """Substring dedup with repeated-phrase automata.
 
 A word is removed when a window of ``length`` words that covers it also stands
-earlier (a smaller doc_id, or earlier in the same document). Segments meet through
+earlier (a smaller doc_id, or earlier in the same document; see ``anchors.keyed``). Segments meet through
 their anchors (see ``anchors``). In shards of bounded size
 
 * recurring passages are confirmed: windows whose digest the shard has twice, or
@@ -115,8 +115,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     """doc_id, n_words, n_removed, kept_sha256, spans (first and end word of what is cut).
 
     Null texts have no words; documents with fewer than ``length`` words keep all.
-    doc_id is the table's key: rows that repeat one are searched like one document's,
-    and each loses the union of their places. Null ids are one id, before all others.
+    Rows that share a doc_id, or have none, are documents of their own: null ids come
+    before all others, rows of one id stand in the order of a digest of their texts.
     Empty tables give an empty result; other columns are ignored.
     """
 
@@ -134,7 +134,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
             "spans": [{"start": a, "end": b} for a, b in spans],
         }
 
-    rows = A.with_ids(docs)
+    rows = A.keyed(docs, ordered=True)
     return A.apply_covers(
         rows, later_windows(rows, length, gram, shard_bytes, hot_kinds), each,
         "n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>",

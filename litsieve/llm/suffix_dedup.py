@@ -192,9 +192,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     of what is cut).
 
     Null texts are empty; texts shorter than ``length`` keep all; the first occurrence
-    goes like all others. doc_id is the table's key: rows that repeat one are searched
-    like one document's, and each loses the union of their places. Null ids are one id.
-    Empty tables give an empty result; other columns are ignored.
+    goes like all others. Rows that share a doc_id, or have none, are documents of their
+    own. Empty tables give an empty result; other columns are ignored.
     """
 
     def each(text: bytes, runs: list[tuple[int, int]]) -> dict:
@@ -210,7 +209,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
             "spans": [{"start": a, "end": b} for a, b in spans],
         }
 
-    rows = A.with_ids(docs)
+    rows = A.keyed(docs)
     return A.apply_covers(
         rows, repeated_strings(rows, length, gram, shard_bytes, hot_kinds), each,
         "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>",

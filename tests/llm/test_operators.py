@@ -416,3 +416,33 @@ def test_phrase_dedup_against_brute_force(spark, monkeypatch, length, gram, shar
     got = rows(phrase_dedup.remove_repeats(X.table(spark, X.texts()), length, gram, shard, hot))
     want = brute_words(X.texts(), length)
     assert [(r["n_words"], r["n_removed"], r["kept_sha256"]) for _, r in sorted(got.items())] == want
+
+
+def null_and_repeated_ids(spark):
+    """Rows without an id, and of one id, with texts of their own; the texts by id."""
+    rng = random.Random(12)
+    shared = X.prose(rng, 40)
+    texts = [" ".join(X.prose(rng, 30 + 7 * k) + (shared if k % 2 else []) + X.prose(rng, 50)) for k in range(8)]
+    texts += [texts[1], texts[0]]
+    data = list(zip([None, None, None, 5, 5, 5, 6, None, None, 5], texts, strict=True))
+    return data, spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+
+
+def test_suffix_dedup_by_null_and_repeated_ids(spark):
+    data, docs = null_and_repeated_ids(spark)
+    want = brute_bytes([t for _, t in data], 60)
+    got = suffix_dedup.remove_repeats(docs, 60, 12, 3000, 1).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == Counter(
+        (i, *w) for (i, _), w in zip(data, want, strict=True)
+    )
+
+
+def test_phrase_dedup_by_null_and_repeated_ids(spark):
+    data, docs = null_and_repeated_ids(spark)
+    digest = {r["text"]: r["x"] for r in docs.selectExpr("text", "xxhash64(text) AS x").collect()}
+    data.sort(key=lambda r: (r[0] is not None, r[0] or 0, digest[r[1]]))
+    want = brute_words([t for _, t in data], 8)
+    got = phrase_dedup.remove_repeats(docs, 8, 3, 500, 1).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == Counter(
+        (i, *w) for (i, _), w in zip(data, want, strict=True)
+    )
