@@ -168,12 +168,16 @@ def digests(turns: DataFrame) -> DataFrame:
 
 def as_events(turns: DataFrame, piece: int = 256) -> DataFrame:
     """The event log of turn rows: each opens a message and streams its text in
-    deltas of ``piece`` code points."""
+    deltas of ``piece`` code points. Every row is a message of its own: rows of one turn,
+    or of none, stand in the order of role and a digest of the text, equal rows follow
+    each other."""
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / piece)).cast("int")
     rows = turns.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    return rows.select(
+    # Equal rows are counted and dealt out again, so no key brings unequal ones together.
+    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").cast("int").alias("_n"))
+    return rows.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).select(
         "conv_id",
-        F.col("turn").alias("msg"),
+        F.struct("turn", F.col("role").alias("by"), F.xxhash64("text").alias("digest"), "_i").alias("msg"),
         "role",
         "text",
         F.explode(F.sequence(F.lit(0), n)).alias("_k"),

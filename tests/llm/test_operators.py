@@ -155,6 +155,20 @@ def test_chat_round_trip(spark):
         assert got[c]["formatted_chars"] == sum(len(v) for k, v in lines.items() if k[0] == c)
 
 
+def test_events_of_repeated_and_null_turns(spark):
+    long = "ab" * 400
+    data = [
+        (1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 1, "assistant", "c" * 700), (1, 1, "user", None),
+        (2, None, "user", "one"), (2, None, "user", "two"), (2, None, None, "two"), (None, None, "user", "x"), (None, None, "user", "x"),
+    ]
+    turns = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.fold_events(chat.as_events(turns)).collect()
+    assert Counter((r["conv_id"], r["role"], r["text"]) for r in got) == Counter((c, r or "", t or "") for c, _, r, t in data)
+    assert sorted((r["conv_id"] or 0, r["turn"]) for r in got) == [(0, 0), (0, 1)] + [(1, k) for k in range(5)] + [(2, k) for k in range(3)]
+    first = {r["text"] for r in got if r["conv_id"] == 1 and r["turn"] < 2}
+    assert first == {"hi"}
+
+
 def brute_components(texts):
     sets = [sketch_join._shingles(t) for t in texts]
     low = list(range(len(texts)))
