@@ -2,8 +2,12 @@
 
 Texts are compared in a plain form: ASCII and Latin-1 letters in lower case, every
 run of other ASCII characters one blank. Benchmark items are cut into units of at
-most ``unit`` bytes that overlap by half, so a leak of a part of a long item counts.
-A unit of m bytes may differ from the document by ``e = rate * m`` edits.
+most ``unit`` bytes that overlap by half, so a leak of a part of a long item counts if
+it holds a unit but for its edits: with 160 bytes and 12 edits, a verbatim part is sure
+to be found from 227 bytes on, a shorter one only where it covers a unit well enough.
+A unit of m bytes may differ from the document by ``e = rate * m`` edits. Items whose
+plain form has under ``LEAST`` bytes are found where it stands whole and without edits,
+between blanks.
 
 * q-gram lemma: a region within e edits shares at least ``m - q + 1 - q * e`` q-grams
   with the unit, on diagonals (document position minus unit position) that lie in a
@@ -25,12 +29,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from litsieve.llm.common import chunks, mixed, read, small_batches
+from litsieve.llm.common import chunks, mixed, prefix_hash, read, small_batches, span_hash
 
 Q = 10
 RATE = 0.08
 UNIT = 160
-#: Shorter plain forms are left out: they can't be told from chance.
+#: Shorter plain forms are searched as they are, without edits.
 LEAST = 40
 BLOCK_UNITS = 20_000
 FILTER_BITS = 22
@@ -86,13 +90,14 @@ class Block:
     unit: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    short: dict[int, tuple[np.ndarray, dict[bytes, list[int]]]]  # by length: sorted hashes, items of each form
 
     @staticmethod
-    def of(units: list[tuple[int, bytes]], rate: float) -> Block:
+    def of(units: list[tuple[int, bytes]], rate: float, short: list[tuple[int, bytes]] = ()) -> Block:
         size = np.array([len(u) for _, u in units], np.int64)
         budget = np.minimum(np.floor(rate * size), (size - Q) // Q).astype(np.int64)
-        text = np.zeros((len(units), size.max()), np.uint8)
-        grams, unit, place = [], [], []
+        text = np.zeros((len(units), size.max(initial=0)), np.uint8)
+        grams, unit, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, (_, u) in enumerate(units):
             text[i, : len(u)] = np.frombuffer(u, np.uint8)
             g = qgrams(text[i, : len(u)])
@@ -106,13 +111,29 @@ class Block:
         marks[slots(distinct)] = True
         return Block(
             np.array([i for i, _ in units]), size, budget, text, distinct, np.append(first, len(g)),
-            np.concatenate(unit)[order], np.concatenate(place)[order], marks,
+            np.concatenate(unit)[order], np.concatenate(place)[order], marks, _by_length(short),
         )
 
 
+def _by_length(short: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray, dict[bytes, list[int]]]]:
+    forms: dict[int, dict[bytes, list[int]]] = {}
+    for item, p in short:
+        forms.setdefault(len(p), {}).setdefault(p, []).append(item)
+    out = {}
+    for n, items in forms.items():
+        at = np.arange(len(items)) * n
+        prefix = prefix_hash(np.frombuffer(b"".join(items), np.uint8))
+        out[n] = np.sort(span_hash(prefix, at, at + n)), items
+    return out
+
+
+def plain_form(text: str | None) -> bytes:
+    return plain(np.frombuffer((text or "").encode("utf-8", "surrogatepass") + b" ", np.uint8))[0].tobytes().strip()
+
+
 def units_of(item_id: int, text: str | None, unit: int = UNIT) -> list[tuple[int, bytes]]:
-    """The overlapping units of one item; none when it is too short."""
-    p = plain(np.frombuffer((text or "").encode("utf-8", "surrogatepass") + b" ", np.uint8))[0].tobytes().strip()
+    """The overlapping units of one item; none when it is short."""
+    p = plain_form(text)
     if len(p) < LEAST:
         return []
     starts = list(range(0, max(1, len(p) - unit), unit // 2))
@@ -148,12 +169,35 @@ def align(block: Block, unit: np.ndarray, low: np.ndarray, data: np.ndarray) ->
     return best, end
 
 
+def short_hits(data: np.ndarray, block: Block) -> Iterator[tuple[int, int, int]]:
+    """(item, begin, end) in the plain form ``data`` of short items that stand there whole."""
+    if not block.short:
+        return
+    gap = (data == 0x20) | (data == 0xFF)
+    starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+    prefix = prefix_hash(data)
+    for n, (hashes, items) in block.short.items():
+        at = starts[starts + n < len(data)]  # a separator ends the data
+        at = at[gap[at + n]]
+        for p in at[np.isin(span_hash(prefix, at, at + n), hashes)].tolist():
+            for item in items.get(data[p : p + n].tobytes(), ()):
+                yield item, p, p + n
+
+
 def find(texts: list[str | None], block: Block) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of all leaks; offsets in code points."""
     for at, part in chunks(texts):
         joined = np.frombuffer(b"\xff".join(part) + b"\xff", np.uint8)
         data, origin = plain(joined)
         ends = np.flatnonzero(data == 0xFF)
+        starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in part])])
+        for item, begin, stop in short_hits(data, block):
+            doc = int(np.searchsorted(ends, stop - 1))
+            a, b = (int(origin[x]) - starts[doc] for x in (begin, stop - 1))
+            yield (
+                at + doc, item, len(part[doc][:a].decode("utf-8", "ignore")),
+                len(part[doc][: b + 1].decode("utf-8", "ignore")), 0,
+            )
         grams = qgrams(data)
         hit = np.flatnonzero(block.filter[slots(grams)])
         where = np.searchsorted(block.grams, grams[hit])
@@ -176,7 +220,6 @@ def find(texts: list[str | None], block: Block) -> Iterator[tuple[int, int, int,
         if not len(unit):
             continue
         low = band * (block.budget[unit] + 1) - SHIFT
-        starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in part])])
         for i in range(0, len(unit), 4096):
             u, lo = unit[i : i + 4096], low[i : i + 4096]
             edits, end = align(block, u, lo, data)
@@ -195,13 +238,17 @@ def find(texts: list[str | None], block: Block) -> Iterator[tuple[int, int, int,
 def blocks_of(benchmark: DataFrame, rate: float, block_units: int) -> Iterator[Block]:
     """Blocks of about ``block_units`` units; one block of items is on the driver at a time."""
     held: list[tuple[int, bytes]] = []
+    short: list[tuple[int, bytes]] = []
     for row in benchmark.select("item_id", "text").dropDuplicates().toLocalIterator():
         held += units_of(row["item_id"], row["text"])
-        if len(held) >= block_units:
-            yield Block.of(held, rate)
-            held = []
-    if held:
-        yield Block.of(held, rate)
+        p = plain_form(row["text"])
+        if 0 < len(p) < LEAST:
+            short.append((row["item_id"], p))
+        if len(held) + len(short) >= block_units:
+            yield Block.of(held, rate, short)
+            held, short = [], []
+    if held or short:
+        yield Block.of(held, rate, short)
 
 
 LEAKS = "doc_id long, item_id long, start long, end long, edits int"
@@ -212,8 +259,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_units
     item_id, start, end (code points), edits. Overlapping units of one item give a row
     each, repeated rows of documents likewise.
 
-    Null texts are empty; items whose plain form is under 40 bytes are left out; empty
-    tables give an empty result; other columns are ignored.
+    Null texts are empty; items whose plain form is under 40 bytes are found where it
+    stands whole, without edits; those without a letter or digit have none. Empty tables
+    give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     found = spark.createDataFrame([], LEAKS)

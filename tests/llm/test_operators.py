@@ -279,6 +279,18 @@ def test_leaks(spark):
     assert decontaminate.leaks(X.all_null(spark), bench.limit(0)).collect() == []
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(0, "What is 2+2?"), (1, "Né à Paris"), (2, "what is 2 2"), (3, "?!"), (4, None), (5, "x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = ["so WHAT is 2 + 2", "é\nNÉ  à paris.", "what is 2 23", "paris né à", None, "axe", "end x", "what is 2"]
+    for units in (20_000, 1):
+        got = decontaminate.leaks(X.table(spark, docs), bench, block_units=units).collect()
+        found = sorted((r["doc_id"], r["item_id"], docs[r["doc_id"]][r["start"] : r["end"]], r["edits"]) for r in got)
+        assert found == [
+            (0, 0, "WHAT is 2 + 2", 0), (0, 2, "WHAT is 2 + 2", 0), (1, 1, "NÉ  à paris", 0), (6, 5, "x", 0),
+        ]
+
+
 def test_alignment_is_exact_at_the_budget():
     unit = ("abcdefghij" * 16)[:150].encode()
     block = decontaminate.Block.of([(0, unit)], 0.08)
