@@ -170,7 +170,7 @@ def _library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "fuzzy_scores_lev": lambda s, d: _rounded(Z.scored_pairs(_titles(s, d), **LEV)),
         "fuzzy_pairs_jaccard": lambda s, d: _pairs(s, d, JAC),
-        # the same results by the code that is meant for large inputs
+        # by the code that is meant for large inputs, fuzzy_dedup_lev_parts at 0.95 only
         "fuzzy_dedup_lev_parts": lambda s, d: Z.fuzzy_dedup(
             _titles(s, d), route="parts", metric="levenshtein", threshold=0.95
         ),
