@@ -208,6 +208,7 @@ def _library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "result_rejected": lambda s, d: P.extract_records(
             V.order_result_pages(s, d), keep_rejected=True
         ).filter("error is not null").select("page_id", "pos", "authors", "year", "error"),
+        "result_nested": lambda s, d: P.extract_records(V.nested_result_pages(s, d)).drop("page_url"),
         "result_next_page": lambda s, d: P.follow_next(V.order_result_pages(s, d), "lib.example"),
         "page_links": lambda s, d: P.page_links(V.table(s, d, "pages", heavy=True)).drop("page_url"),
         "link_by_text": _link_by_text,
@@ -560,6 +561,14 @@ def _library_sql() -> dict[str, str]:
             FROM ({RESULT_FIELDS}) WHERE h <> ''""",
         "result_rejected": f"""SELECT page_id, pos, trim(who) AS authors, {YEAR_SQL.format(c="by_")} AS year, 'no title' AS error
             FROM ({RESULT_FIELDS}) WHERE h = ''""",
+        # straight from the columns: no markup is read
+        "result_nested": """
+            WITH o AS (SELECT *, year(o_orderdate)::INTEGER AS y FROM orders JOIN customer ON o_custkey = c_custkey)
+            SELECT o_orderkey AS page_id, 1 AS pos, 'Order ' || o_orderpriority AS title, c_name AS authors, y AS year,
+                   'lib.example' AS journal, o_custkey::INTEGER AS citations,
+                   'Status ' || o_orderstatus || ' & more, end' AS abstract, '/order/' || o_orderkey AS url FROM o
+            UNION ALL
+            SELECT o_orderkey, 2, 'Open', c_name, 1999, '1999 gone', 0, 'gone', NULL FROM o""",
         "result_next_page": f"""
             WITH p AS (SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey)
             SELECT a.k AS page_id, '{V.SITE}/scholar?q=order&start=' || ((a.k + 1) * 10) AS next_url, b.k AS next_page_id

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -53,7 +54,7 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def element(tag: str, css_class: str | None = None) -> str:
-    """Pattern of an element's content; the element must not nest itself."""
+    """Pattern of an element's content, up to its tag's first end tag (see ``Element``)."""
     if css_class is None:
         return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"
     return (
@@ -62,6 +63,62 @@ def element(tag: str, css_class: str | None = None) -> str:
     )
 
 
+@dataclass(frozen=True)
+class Element:
+    """An element that may hold elements of its own tag."""
+
+    tag: str
+    css_class: str | None = None
+
+    @property
+    def opening(self) -> str:
+        """Pattern of its start tag."""
+        whole = element(self.tag, self.css_class)
+        return whole[: whole.index("(.*?)")]
+
+
+def element_content(markup: Column, wanted: Element) -> Column:
+    """Content of the first such element, up to the end tag of the same depth.
+
+    Depth counts elements of the same tag, so an inner element left open by another tag
+    does no harm; one that is never closed goes to the end of the markup, as in a
+    browser. Comments are no markup. The counting runs only where an element of the
+    tag stands inside.
+    """
+    tag = wanted.tag
+    bare = F.regexp_replace(markup, r"(?s)<!--.*?-->", "")
+    head = F.regexp_substr(bare, F.lit(wanted.opening))
+    tail = bare.substr(F.regexp_instr(bare, F.lit(wanted.opening)) + F.length(head), F.length(bare))
+    first = F.regexp_extract(tail, rf"(?is)^(.*?)</{tag}\s*>", 1)
+    closes = tail.rlike(rf"(?i)</{tag}\s*>")
+    return F.when(closes & ~first.rlike(rf"(?i)<{tag}(?=[\s>/])"), first).otherwise(_by_depth(tail, tag))
+
+
+def _by_depth(tail: Column, tag: str) -> Column:
+    """``tail`` up to the end tag that no start tag in it answers."""
+    pieces = F.split(tail, rf"(?i)(?=</?{tag}[\s>/])")
+
+    def step(at: Column, piece: Column) -> Column:
+        change = F.when(piece.startswith("</"), -1).when(piece.rlike(r"^<[^>]*/>"), 0).otherwise(1)
+        depth = at["depth"] + change
+        inside = at["inside"] & (depth >= 0)
+        return F.struct(
+            depth.alias("depth"), (at["taken"] + inside.cast("int")).alias("taken"), inside.alias("inside")
+        )
+
+    # The first piece stands before any such tag, unless the tail begins with one.
+    leads = F.element_at(pieces, 1).rlike(rf"(?i)^</?{tag}[\s>/]")
+    rest = F.when(leads, pieces).otherwise(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("taken"), F.lit(True).alias("inside"))
+    taken = F.aggregate(rest, start, step)["taken"] + F.when(leads, 0).otherwise(1)
+    return F.array_join(F.slice(pieces, 1, taken), "")
+
+
+def content(markup: Column, wanted: str | Element) -> Column:
+    """Content by an element, or the first group of a pattern; null where there is none."""
+    return first_match(markup, wanted) if isinstance(wanted, str) else element_content(markup, wanted)
+
+
 HREF = r"(?is)<a\s(?:[^>]*\s)?href=[\x22']([^\x22'>]*)[\x22']"
 ANCHOR = r"(?is)<a\s(?:[^>]*\s)?href=[\x22'][^\x22'>]*[\x22'][^>]*>.*?</a>"
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from litsieve.functions.markup import (
     ANCHOR,
     HREF,
+    Element,
+    content,
     decode_entities,
     element,
     first_match,
@@ -25,13 +27,13 @@ YEAR = r"\b(?:19|20)\d{2}\b"
 
 @dataclass(frozen=True)
 class Rules:
-    """Patterns of one page layout. ``None`` fields stay null."""
+    """Elements or patterns of one page layout. ``None`` fields stay null."""
 
     block: str = r"(?i)<div\s(?:[^>]*\s)?class=[\x22'](?:[^\x22'>]*\s)?gs_r(?=[\s\x22'])"
-    title: str = element("h3", "gs_rt")
-    byline: str | None = element("div", "gs_a")
-    abstract: str | None = element("div", "gs_rs")
-    footers: tuple[str, ...] = (element("div", "gs_flb"), element("div", "gs_fl"))
+    title: str | Element = element("h3", "gs_rt")
+    byline: str | Element | None = Element("div", "gs_a")
+    abstract: str | Element | None = Element("div", "gs_rs")
+    footers: tuple[str | Element, ...] = (Element("div", "gs_flb"), Element("div", "gs_fl"))
     cites: str = r"/scholar\?cites=\d+"
     separator: str = " - "
     venue: str = "last"
@@ -91,17 +93,17 @@ def extract_records(
     ``error`` set when ``keep_rejected``; no block can fail the job."""
     block = F.col("block")
 
-    def text(pattern: str | None) -> Column:
-        if pattern is None:
+    def text(wanted: str | Element | None) -> Column:
+        if wanted is None:
             return F.lit(None).cast("string")
-        return text_of(first_match(block, pattern), rules.glue, rules.every_entity)
+        return text_of(content(block, wanted), rules.glue, rules.every_entity)
 
-    footer = F.coalesce(*[first_match(block, f) for f in rules.footers], F.lit(None).cast("string"))
+    footer = F.coalesce(*[content(block, f) for f in rules.footers], F.lit(None).cast("string"))
     byline = F.col("byline")
     venue = venue_last if rules.venue == "last" else venue_second
     parsed = (
         record_blocks(pages, rules)
-        .withColumn("title_markup", first_match(block, rules.title))
+        .withColumn("title_markup", content(block, rules.title))
         .withColumn("byline", text(rules.byline))
         .select(
             "page_id",

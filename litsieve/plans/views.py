@@ -135,6 +135,29 @@ def order_result_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def nested_result_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """One result page per order whose byline, abstract and footer hold divs of their
+    own, some of them never closed, empty, or inside a comment."""
+    o = table(spark, folder, "orders", heavy=True)
+    c = table(spark, folder, "customer")
+    key, text = F.col("o_orderkey"), F.lit
+    year = F.year("o_orderdate").cast("string")
+    deeper = F.col("o_orderpriority") < "3"
+    markup = F.concat(
+        text('<div class="gs_r"><h3 class="gs_rt"><a href="/order/'), key.cast("string"), text('">Order '), F.col("o_orderpriority"),
+        text('</a></h3><div class="gs_a"><DIV class="who">'), F.col("c_name"), text('</DIV>, B Author - <div><div>Journal of '),
+        F.col("c_mktsegment"), text("</div>, "), year, text('</div> - <div/>lib.example</div><div class="gs_rs">Status <div>'),
+        F.when(deeper, F.concat(text("<div>"), F.col("o_orderstatus"), text("</div>"))).otherwise(F.col("o_orderstatus")),
+        text(' &amp; <!-- </div> -->more</div>, end</div><div class="gs_fl"><div><a href="/save">Save 7</a></div> <div class="x">'),
+        text('<a href="/scholar?cites='), key.cast("string"), text('">Cited by '), F.col("o_custkey").cast("string"),
+        text('</a></div></div></div><div class="gs_r"><h3 class="gs_rt">Open</h3><div class="gs_a">'), F.col("c_name"),
+        text('<div> - left open - 1999</div> <div class="gs_rs">gone'),
+    )
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        key.alias("page_id"), F.lit(SITE).alias("url"), markup.alias("html")
+    )
+
+
 def bylines(spark: SparkSession, folder: str) -> DataFrame:
     """Author lines of several shapes, by order priority."""
     o = table(spark, folder, "orders")

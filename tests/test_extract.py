@@ -1,3 +1,7 @@
+import itertools
+import random
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from litsieve.functions import markup as M
@@ -82,3 +86,70 @@ def test_script_strings_are_no_markup(spark):
     df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
     got = P.extract_records(df, P.ARTICLE_PAGE).collect()
     assert [(r.title, r.abstract) for r in got] == [("Yes", "one")]
+
+
+class Tree(HTMLParser):
+    """Contents of the elements of one tag and class, by a stack of open tags."""
+
+    def __init__(self, text: str, tag: str, css: str):
+        super().__init__(convert_charrefs=False)
+        self.text, self.tag, self.css, self.open, self.found = text, tag, css, [], []
+        self.lines = [0, *itertools.accumulate(len(x) + 1 for x in text.split("\n"))]
+        self.feed(text)
+        self.close()
+        for _, at in reversed(self.open):
+            if at is not None:
+                self.found.append((at, text[at:]))
+
+    def here(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def handle_starttag(self, tag, attrs):
+        hit = tag == self.tag and self.css in (dict(attrs).get("class") or "").split()
+        self.open.append((tag, self.here() + len(self.get_starttag_text()) if hit else None))
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.open]:
+            while True:
+                name, at = self.open.pop()
+                if at is not None:
+                    self.found.append((at, self.text[at : self.here()]))
+                if name == tag:
+                    return
+
+
+def test_nested_elements_against_a_tree(spark):
+    rng = random.Random(4)
+
+    def tree(depth: int) -> str:
+        parts = []
+        for _ in range(rng.randrange(4)):
+            kind = rng.choice(["text", "div", "DIV", "b", "x", "open", "self"]) if depth else "text"
+            if kind == "x":
+                parts.append(f"<div class='gs_a y'>{tree(depth - 1)}</div>")
+            elif kind in ("div", "DIV"):
+                parts.append(f"<{kind} id=1>{tree(depth - 1)}</{kind}>")
+            else:
+                word = f"t {rng.randrange(99)} "
+                parts.append({"text": word, "b": f"<b>{word}</b>", "open": "<i>o", "self": "<div />"}[kind])
+        return "".join(parts)
+
+    cases = [f"lead <div>{tree(2)}</div><div class='q gs_a'>{tree(4)}</div>tail</div> more{tree(1)}" for _ in range(300)]
+    cases += ["<div class=\"gs_a\">never <div>closed</div>", "<div class='gs_a'></div>x", "none", "<div class='gs_a'>"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
+    got = df.select("i", M.element_content(F.col("t"), M.Element("div", "gs_a")).alias("c")).collect()
+    for r in got:
+        wanted = sorted(Tree(cases[r.i], "div", "gs_a").found)
+        assert r.c == (wanted[0][1] if wanted else None), cases[r.i]
+
+
+def test_nested_fields(spark):
+    page = """<div class="gs_r"><h3 class="gs_rt">T</h3><div class="gs_a"><div>D Lee</div>, W - J, <div><div>2020</div></div> - Wiley</div>
+<div class="gs_rs">one <div>two <!-- </div></div> --></div> three</div><div class="gs_fl"><div>x</div><a href="/scholar?cites=1">Cited by 4</a></div></div>"""
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    (r,) = P.extract_records(df).collect()
+    assert (r.authors, r.year, r.journal, r.abstract, r.citations) == ("D Lee", 2020, "Wiley", "one two  three", 4)
