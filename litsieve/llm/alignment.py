@@ -20,6 +20,7 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -29,11 +30,11 @@ from litsieve.session import durable
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that make a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Groups of more links than this are counted by distinct ids before they are expanded.
 WIDE = 256
 #: Bytes that a worker's memory of units takes, about.
-MEMO_BYTES = 160_000_000
+MEMO_BYTES = 80_000_000
 _JOINED = 64
 _BLANK = 0x20
 # Bytes that surely begin a visible character; the lead bytes left out also begin
@@ -137,8 +138,9 @@ class Units:
     """Some distinct units, aligned.
 
     Per unit: ``good`` (both sides give it back), ``n_a``, ``n_b``, ``n_groups``,
-    ``n_links``, ``shown`` (its groups, every one ended by a semicolon), ``lines``: how
-    many of the link lines are its. Per link line: ``pair`` (a << 32 | b), ``times``.
+    ``n_links``, ``n_shown`` (bytes of ``shown`` that are its: its groups, every one ended
+    by a semicolon), ``lines``: how many of the link lines are its. Per link line: ``pair``
+    (a << 32 | b), ``times``.
     """
 
     def __init__(self, units: list[bytes], a: Side, b: Side):
@@ -202,42 +204,44 @@ class Units:
         tokens = np.zeros(n, np.int64)
         np.add.at(tokens, unit, in_a + in_b)
         cuts = np.concatenate([[0], stops + 1])[np.concatenate([[0], np.cumsum(tokens)])]
-        text = out.tobytes()
-        self.shown = [text[i:j] for i, j in pairwise(cuts.tolist())]
+        self.shown = out.tobytes()
+        self.n_shown = np.diff(cuts)
 
 
 class Memo:
     """Units met before, forgotten all at once when they take more than ``MEMO_BYTES``."""
 
-    ARRAYS = ("good", "n_a", "n_b", "n_groups", "n_links", "lines", "pair", "times")
+    ARRAYS = ("good", "n_a", "n_b", "n_groups", "n_links", "lines", "pair", "times", "n_shown")
 
     def __init__(self, a: Side, b: Side):
         self.sides = (a, b)
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.held = 0
+        self.units = pa.array([], pa.large_binary())
         self.known = Units([], *self.sides)
+        self.held = 0
 
-    def slots(self, units: list[bytes]) -> np.ndarray:
-        """Places of ``units`` in ``known``."""
+    def slots(self, units: pa.Array) -> np.ndarray:
+        """Places of distinct ``units`` in ``known``."""
         if self.held > MEMO_BYTES:
             self._forget()
-        got = list(map(self.slot.get, units))
-        missing = [i for i, s in enumerate(got) if s is None]
-        if missing:
-            new = [units[i] for i in missing]
-            more, old = Units(new, *self.sides), len(self.known.shown)
+        at = pc.index_in(units, value_set=self.units)
+        new = units.filter(at.is_null())
+        if len(new):
+            k, more = self.known, Units(new.to_pylist(), *self.sides)
             for name in self.ARRAYS:
-                setattr(self.known, name, np.append(getattr(self.known, name), getattr(more, name)))
-            self.known.shown += more.shown
-            self.slot.update(zip(new, range(old, old + len(new)), strict=True))
-            self.held += sum(map(len, new)) + sum(map(len, more.shown)) + 240 * len(new) + 16 * len(more.pair)
-            for i, s in zip(missing, range(old, old + len(new)), strict=True):
-                got[i] = s
-            self.line_at = np.cumsum(self.known.lines) - self.known.lines
-        return np.array(got, np.int64)
+                setattr(k, name, np.append(getattr(k, name), getattr(more, name)))
+            k.shown += more.shown
+            self.units = pa.concat_arrays([self.units, new])
+            self.held = self.units.nbytes + len(k.shown) + sum(getattr(k, name).nbytes for name in self.ARRAYS)
+            self.line_at, self.shown_at = np.cumsum(k.lines) - k.lines, np.cumsum(k.n_shown) - k.n_shown
+            at = pc.index_in(units, value_set=self.units)
+        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def shown(self, slots: np.ndarray) -> list[bytes]:
+        at, text = self.shown_at[slots], self.known.shown
+        return [text[i:j] for i, j in zip(at.tolist(), (at + self.known.n_shown[slots]).tolist(), strict=True)]
 
 
 @cache
@@ -245,7 +249,7 @@ def memo(path_a: str | None, path_b: str | None) -> Memo:
     return Memo(side_a(path_a), side_b(path_b))
 
 
-def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct units, each occurrence's unit, index of each text's first occurrence
     with one more at the end) of texts after a blank."""
     data = b"".join([b" " + t for t in texts])
@@ -262,7 +266,7 @@ def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     spans = pa.Array.from_buffers(
         pa.large_binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]
     ).dictionary_encode()
-    return spans.dictionary.to_pylist(), spans.indices.to_numpy(), np.searchsorted(start, np.append(opens, len(raw)))
+    return spans.dictionary, spans.indices.to_numpy(), np.searchsorted(start, np.append(opens, len(raw)))
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -280,10 +284,11 @@ def groups(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
         for batch in batches:
             texts, out = _texts(batch.column("text")), []
             units, words, first = split(texts)
-            at = known.slots(units)[words]
+            slot = known.slots(units)
+            shown, good = known.shown(slot), known.known.good[slot]
             for t, (i, j) in zip(texts, pairwise(first.tolist()), strict=True):
-                whole = b"".join(map(known.known.shown.__getitem__, at[i:j].tolist()))[:-1]
-                out.append(whole.decode() if t and known.known.good[at[i:j]].all() else "")
+                whole = b"".join(map(shown.__getitem__, words[i:j].tolist()))[:-1]
+                out.append(whole.decode() if t and good[words[i:j]].all() else "")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "groups"])
 
     return small_batches(docs.select("doc_id", "text"), 256).mapInArrow(run, "doc_id long, groups string")
@@ -305,7 +310,7 @@ def _chunk(texts: list[bytes], copies: np.ndarray, known: Memo) -> dict:
     good = u.good[slot]
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     bad = np.bincount(doc, ~good[words], len(texts)) > 0
-    shown, digests = [u.shown[i] for i in slot.tolist()], []
+    shown, digests = known.shown(slot), []
     listed = words.tolist()
     for skip, (s, e) in zip(bad.tolist(), pairwise(first.tolist()), strict=True):
         text = b"" if skip else b"".join([shown[w] for w in listed[s:e]])[:-1]

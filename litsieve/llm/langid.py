@@ -148,15 +148,16 @@ def has_letter() -> Column:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> DataFrame:
     """At most ``rows`` (lang, text, digest) rows, languages taking turns, the same on
     every run."""
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", "text").filter(has_letter())
+    known = docs.filter(F.col("lang").isNotNull() & ~held_out()).select("lang", "text").filter(has_letter())
     counts = (
         docs.filter(F.col("lang").isNotNull() & ~held_out()).groupBy("lang").count()
         .orderBy(F.desc("count"), "lang").limit(languages).collect()
     )
-    digest = F.xxhash64("text", "doc_id")
-    # A draw with some rows to spare, so that few texts are sorted.
+    digest = F.xxhash64("text")
+    # A draw with some rows to spare, so that few texts are sorted; copies count once.
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], min(1.0, 4 * per_language / r["count"])) for r in counts], F.lit(0.0))
     drawn = known.withColumn("digest", digest).filter(F.pmod("digest", F.lit(1 << 20)) < share * (1 << 20))
+    drawn = drawn.dropDuplicates(["lang", "digest", "text"])
     first = F.row_number().over(W.partitionBy("lang").orderBy("digest"))
     return (
         drawn.withColumn("turn", first).filter(F.col("turn") <= per_language)
