@@ -30,20 +30,20 @@ from litsieve.session import durable
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that make a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_500_000
 #: Groups of more links than this are counted by distinct ids before they are expanded.
 WIDE = 256
 #: Bytes that a worker's memory of units takes, about.
-MEMO_BYTES = 80_000_000
+MEMO_BYTES = 40_000_000
 _JOINED = 64
 _BLANK = 0x20
 # Bytes that surely begin a visible character; the lead bytes left out also begin
 # Unicode spaces, at which a text is simply not cut.
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[0x21:0x7F] = _VISIBLE[0xC3:0xE1] = _VISIBLE[0xE4:0xF5] = True
+VISIBLE = np.zeros(256, bool)
+VISIBLE[0x21:0x7F] = VISIBLE[0xC3:0xE1] = VISIBLE[0xE4:0xF5] = True
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All places of the stretches [start, start + size), one after another."""
     before = np.cumsum(size) - size
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
@@ -70,7 +70,7 @@ class Side:
         Units that may stand after one another are encoded joined, some dozens at a
         time, and told apart by the bytes of their ids.
         """
-        joint = [i for i, u in enumerate(units) if len(u) > 1 and _VISIBLE[u[1]] and u[-1] != _BLANK]
+        joint = [i for i, u in enumerate(units) if len(u) > 1 and VISIBLE[u[1]] and u[-1] != _BLANK]
         whole = [b"".join([units[i] for i in joint[k : k + _JOINED]]) for k in range(0, len(joint), _JOINED)]
         coded = list(chain.from_iterable(self.encode([w[1:].decode() for w in whole])))
         if self.bytes_of(coded) != b"".join(whole):
@@ -91,7 +91,7 @@ class Side:
         both = np.concatenate([ids, np.fromiter(chain.from_iterable(rest), np.int64)])
         start = np.zeros(len(units), np.int64)
         start[order] = np.cumsum(n[order]) - n[order]
-        return both[_ranges(start, n)], n, good
+        return both[ranges(start, n)], n, good
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -167,7 +167,7 @@ class Units:
     def _link(self, ids_a, ids_b, in_a, in_b, links, unit, n) -> None:
         at_a, at_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
         each = np.repeat(np.arange(len(links)), np.where(links <= WIDE, links, 0))
-        k = _ranges(np.zeros(len(links), np.int64), np.where(links <= WIDE, links, 0))
+        k = ranges(np.zeros(len(links), np.int64), np.where(links <= WIDE, links, 0))
         owner = [unit[each]]
         pairs = [ids_a[at_a[each] + k // in_b[each]] << 32 | ids_b[at_b[each] + k % in_b[each]]]
         times = [np.ones(len(each), np.int64)]
@@ -200,7 +200,7 @@ class Units:
         out[stops] = end
         shown = np.ones(len(out), bool)
         shown[stops] = False
-        out[shown] = digits[_ranges(start, size)]
+        out[shown] = digits[ranges(start, size)]
         tokens = np.zeros(n, np.int64)
         np.add.at(tokens, unit, in_a + in_b)
         cuts = np.concatenate([[0], stops + 1])[np.concatenate([[0], np.cumsum(tokens)])]
@@ -249,16 +249,16 @@ def memo(path_a: str | None, path_b: str | None) -> Memo:
     return Memo(side_a(path_a), side_b(path_b))
 
 
-def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def split(texts: list[bytes], lead: bytes = b" ") -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct units, each occurrence's unit, index of each text's first occurrence
-    with one more at the end) of texts after a blank."""
-    data = b"".join([b" " + t for t in texts])
+    with one more at the end) of texts after the byte ``lead``."""
+    data = b"".join([lead + t for t in texts])
     raw = np.frombuffer(data, np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     opens = np.cumsum(sizes) - sizes
     at = np.flatnonzero(raw == _BLANK)
     inner = at[(at > 0) & (at < len(raw) - 1)]
-    inner = inner[(raw[inner - 1] != _BLANK) & _VISIBLE[raw[inner + 1]]]
+    inner = inner[(raw[inner - 1] != _BLANK) & VISIBLE[raw[inner + 1]]]
     cut = np.zeros(len(raw), bool)
     cut[inner] = cut[opens] = True
     start = np.flatnonzero(cut)
@@ -325,10 +325,10 @@ def _chunk(texts: list[bytes], copies: np.ndarray, known: Memo) -> dict:
         return _per_text(text, times * per_unit[slot][unit], len(texts))
 
     lines = u.lines[slot]
-    line = _ranges(known.line_at[slot], lines)
+    line = ranges(known.line_at[slot], lines)
     pairs, link_pair = np.unique(u.pair[line], return_inverse=True)
     n_pairs = max(len(pairs), 1)
-    of_text = _ranges((np.cumsum(lines) - lines)[unit], lines[unit])
+    of_text = ranges((np.cumsum(lines) - lines)[unit], lines[unit])
     seen = np.sort(np.repeat(text * n_pairs, lines[unit]) + link_pair[of_text])
     seen = seen[np.diff(seen, prepend=-1) > 0]
     docs = np.bincount(seen % n_pairs, copies[seen // n_pairs], len(pairs)).astype(np.int64)
