@@ -7,13 +7,14 @@ Both vocabularies begin a new piece at a blank that no blank precedes and a visi
 character follows, so a text falls into units there, every unit's end is an end of a
 token on both sides, and a unit's groups are the same wherever it stands. A task
 therefore works on chunks of some megabytes of text and encodes each distinct unit of
-a chunk once; a chunk is written as one row that holds its units' id pairs and its
-texts' units. Counts of pairs come back per chunk, not per text.
+a chunk once; a chunk is written as one row that holds its id pairs and, packed, its
+units' links and its texts' units. Counts of pairs come back per chunk, not per text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain, pairwise
@@ -21,6 +22,7 @@ from itertools import chain, pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -30,7 +32,7 @@ from litsieve.session import durable
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that make a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 2_500_000
+CHUNK_BYTES = 3_000_000
 #: Groups of more links than this are counted by distinct ids before they are expanded.
 WIDE = 256
 #: Bytes that a worker's memory of units takes, about.
@@ -72,10 +74,15 @@ class Side:
         """
         joint = [i for i, u in enumerate(units) if len(u) > 1 and VISIBLE[u[1]] and u[-1] != _BLANK]
         whole = [b"".join([units[i] for i in joint[k : k + _JOINED]]) for k in range(0, len(joint), _JOINED)]
-        coded = list(chain.from_iterable(self.encode([w[1:].decode() for w in whole])))
-        if self.bytes_of(coded) != b"".join(whole):
-            joint, coded = [], []  # one of them isn't given back: each on its own
-        ids = np.array(coded, np.int64)
+        parts = [np.zeros(0, np.int32)]
+        for k in range(0, len(whole), _JOINED):  # some thousand units at a time
+            some = whole[k : k + _JOINED]
+            coded = list(chain.from_iterable(self.encode([w[1:].decode() for w in some])))
+            if self.bytes_of(coded) != b"".join(some):
+                joint, parts = [], parts[:1]  # one of them isn't given back: each on its own
+                break
+            parts.append(np.array(coded, np.int32))
+        ids = np.concatenate(parts).astype(np.int64)
         sizes = np.fromiter((len(units[i]) for i in joint), np.int64, len(joint))
         ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1
         n, good = np.zeros(len(units), np.int64), np.ones(len(units), bool)
@@ -294,11 +301,20 @@ def groups(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
     return small_batches(docs.select("doc_id", "text"), 256).mapInArrow(run, "doc_id long, groups string")
 
 
-CHUNKS = (
-    "chunk long, keys array<binary>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-    "digests array<string>, copies array<long>, pairs array<long>, docs array<long>, unit_links array<int>, "
-    "link_pairs array<int>, link_times array<long>, text_units array<int>, units array<int>, unit_times array<int>"
-)
+#: ``data``: the arrays of ``_chunk`` but for pairs and docs, packed; only tasks unpack them.
+CHUNKS = "chunk long, pairs array<long>, docs array<long>, data binary"
+
+
+def _packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays one after another, each in the fewest bytes that hold its numbers."""
+    out = io.BytesIO()
+    np.savez(out, **{name: x.astype(np.min_scalar_type(x.max(initial=0))) if x.dtype.kind == "i" else x for name, x in arrays.items()})
+    return zstandard.compress(out.getvalue(), 1)
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(zstandard.decompress(data))) as f:
+        return {name: f[name].astype(np.int64) if f[name].dtype.kind == "u" else f[name] for name in f.files}
 
 
 def _chunk(texts: list[bytes], copies: np.ndarray, known: Memo) -> dict:
@@ -333,9 +349,9 @@ def _chunk(texts: list[bytes], copies: np.ndarray, known: Memo) -> dict:
     seen = seen[np.diff(seen, prepend=-1) > 0]
     docs = np.bincount(seen % n_pairs, copies[seen // n_pairs], len(pairs)).astype(np.int64)
     return {
-        "keys": [hashlib.sha256(t).digest() for t in texts],
+        "keys": np.frombuffer(b"".join(hashlib.sha256(t).digest() for t in texts), "V32"),
         "n_a": summed(u.n_a), "n_b": summed(u.n_b), "n_groups": summed(u.n_groups), "n_links": summed(u.n_links),
-        "digests": digests, "copies": copies, "pairs": pairs, "docs": docs, "unit_links": lines,
+        "digests": np.array(digests, "U64"), "copies": copies, "pairs": pairs, "docs": docs, "unit_links": lines,
         "link_pairs": link_pair, "link_times": u.times[line],
         "text_units": np.bincount(text, minlength=len(texts)), "units": unit, "unit_times": times,
     }
@@ -351,9 +367,6 @@ def _per_text(text: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The distinct non-empty texts of ``docs``, aligned in chunks: a written table of
     ``CHUNKS``, one row per chunk."""
-    schema = docs.sparkSession.createDataFrame([], CHUNKS).schema
-    types = [(f.name, pa.list_(_ARROW[f.dataType.elementType.typeName()])) for f in schema.fields[1:]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = memo(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
@@ -363,8 +376,9 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
 
         def row() -> pa.RecordBatch:
             got = _chunk(held, np.array(copies, np.int64), known)
-            columns = [pa.array([got[name]], kind) for name, kind in types]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], schema.names)
+            lists = [pa.array([got.pop(name)], pa.list_(pa.int64())) for name in ("pairs", "docs")]
+            columns = [pa.array([number], pa.int64()), *lists, pa.array([_packed(got)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "pairs", "docs", "data"])
 
         for batch in batches:
             for t, n in zip(_texts(batch.column("text")), batch.column("copies").to_pylist(), strict=True):
@@ -381,9 +395,6 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
     return durable(small_batches(distinct).mapInArrow(run, CHUNKS), "aligned")
 
 
-_ARROW = {"binary": pa.binary(), "long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
-
-
 def pair_counts(chunks: DataFrame) -> DataFrame:
     """pair (a << 32 | b), docs: documents that hold the pair linked, best: whether no
     pair of the same a has more."""
@@ -399,29 +410,25 @@ TEXTS = (
 )
 
 
-def _list(column: pa.ListArray, i: int) -> np.ndarray:
-    return column[i].values.to_numpy(zero_copy_only=False)
-
-
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            get = {name: _list(batch.column(name), i) for name in batch.schema.names if name not in ("chunk", "keys", "digests")}
-            value = get["counts"]  # in the order of pairs: twice the documents, odd where best
-            line, times = get["link_pairs"], get["link_times"]
+            get = _unpacked(batch.column("data")[i].as_py())
+            # In the order of the chunk's pairs: twice the documents, odd where best.
+            value = batch.column("counts")[i].values.to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(get["unit_links"])])
             text = np.repeat(np.arange(len(get["copies"])), get["text_units"])
 
-            def summed(per_pair: np.ndarray) -> pa.Array:
-                running = np.concatenate([[0], np.cumsum(per_pair[line] * times)])
+            def summed(per_pair: np.ndarray) -> np.ndarray:
+                running = np.concatenate([[0], np.cumsum(per_pair[get["link_pairs"]] * get["link_times"])])
                 per_unit = running[ends[1:]] - running[ends[:-1]]
-                return pa.array(_per_text(text, per_unit[get["units"]] * get["unit_times"], len(get["copies"])))
+                return _per_text(text, per_unit[get["units"]] * get["unit_times"], len(get["copies"]))
 
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("keys")[i].values, pa.array(get["copies"]),
+                    pa.array([k.tobytes() for k in get["keys"]], pa.binary()), pa.array(get["copies"]),
                     *(pa.array(get[c]) for c in ("n_a", "n_b", "n_groups", "n_links")),
-                    summed(value & 1), summed(value >> 1), batch.column("digests")[i].values,
+                    pa.array(summed(value & 1)), pa.array(summed(value >> 1)), pa.array(get["digests"].tolist(), pa.string()),
                 ],
                 [x.split()[0] for x in TEXTS.split(", ")],
             )
@@ -444,7 +451,7 @@ def measures(docs: DataFrame, path_a: str | None = None, path_b: str | None = No
         .groupBy("chunk")
         .agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias("counts"))
     )
-    used = chunks.drop("pairs", "docs").join(answers, "chunk", "left").withColumn(
+    used = chunks.select("chunk", "data").join(answers, "chunk", "left").withColumn(
         "counts", F.coalesce("counts", F.array().cast("array<long>"))
     )
     per_text = durable(small_batches(used, 2).mapInArrow(_measured, TEXTS), "measured")
