@@ -32,11 +32,11 @@ from litsieve.session import durable
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that make a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_500_000
 #: Groups of more links than this are counted by distinct ids before they are expanded.
 WIDE = 256
 #: Bytes that a worker's memory of units takes, about.
-MEMO_BYTES = 40_000_000
+MEMO_BYTES = 20_000_000
 _JOINED = 64
 _BLANK = 0x20
 # Bytes that surely begin a visible character; the lead bytes left out also begin
