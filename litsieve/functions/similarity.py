@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 LETTERS = list(string.ascii_lowercase) + [" "]
 BITS = 32
 WORDS = (len(LETTERS) + 1) * BITS // 64
+# Words of the profile of adjacent letters.
+GRAM_WORDS = 8
 EPS = 1e-9
 
 
@@ -36,6 +38,22 @@ def char_profile(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("*", *counts).selectExpr(*rows.columns, *words)
 
 
+def gram_profile(rows: DataFrame) -> DataFrame:
+    """Add g0..: one bit per distinct pair of adjacent letters, by hash."""
+    starts = "if(length(norm) > 1, sequence(1, length(norm) - 1), cast(array() AS array<int>))"
+    bits = f"transform({starts}, i -> pmod(xxhash64(substring(norm, i, 2)), {64 * GRAM_WORDS}))"
+    return _bit_words(rows.withColumn("bits", F.array_distinct(F.expr(bits))), rows.columns, "g", GRAM_WORDS)
+
+
+def _bit_words(rows: DataFrame, kept: list[str], name: str, n: int) -> DataFrame:
+    words = [
+        "aggregate(bits, 0L, (acc, x) -> acc | "
+        f"if(x div 64 = {k}, shiftleft(1L, cast(x % 64 as int)), 0L)) AS {name}{k}"
+        for k in range(n)
+    ]
+    return rows.selectExpr(*kept, *words)
+
+
 def token_set(norm: Column) -> Column:
     return F.array_distinct(F.split(norm, " "))
 
@@ -43,17 +61,12 @@ def token_set(norm: Column) -> Column:
 def token_profile(rows: DataFrame) -> DataFrame:
     """Add p0..: one bit per distinct word, by hash."""
     bits = F.transform(token_set(F.col("norm")), lambda w: F.pmod(F.xxhash64(w), F.lit(64 * WORDS)))
-    words = [
-        "aggregate(bits, 0L, (acc, x) -> acc | "
-        f"if(x div 64 = {k}, shiftleft(1L, cast(x % 64 as int)), 0L)) AS p{k}"
-        for k in range(WORDS)
-    ]
-    return rows.withColumn("bits", bits).selectExpr(*rows.columns, *words)
+    return _bit_words(rows.withColumn("bits", bits), rows.columns, "p", WORDS)
 
 
-def bits_missing(a: str, b: str) -> str:
+def bits_missing(a: str, b: str, name: str = "p", n: int = WORDS) -> str:
     """Profile bits of side ``a`` that side ``b`` lacks, as SQL."""
-    return " + ".join(f"bit_count({a}_p{k} & ~{b}_p{k})" for k in range(WORDS))
+    return " + ".join(f"bit_count({a}_{name}{k} & ~{b}_{name}{k})" for k in range(n))
 
 
 @lru_cache(maxsize=4096)
@@ -119,6 +132,9 @@ class Measure:
     # parts a similar title can lack at most (SQL over len, size and parts)
     parts: Callable[[Column], Column] | None = None
     may_lack: str | None = None
+    # most distinct pairs of adjacent letters that a title of the first size has and a
+    # similar one of the second size lacks (SQL over the two sizes)
+    grams_lost: str | None = None
 
 
 # Letters from rare to common, recoded so that text order puts
@@ -159,9 +175,17 @@ def ratcliff(threshold: float, autojunk: bool = True) -> Measure:
     def need(sa: Column, sb: Column) -> Column:
         return F.ceil(F.lit(threshold) * (sa + sb) / 2 - EPS)
 
+    def screen(a: Column, b: Column) -> Column:
+        # What stands outside the common subsequence is deleted or inserted, so that
+        # many edits at most lead from one title to the other.
+        return _levenshtein_within(a, b, F.floor((1 - F.lit(threshold)) * (F.length(a) + F.length(b)) + EPS))
+
     udf = ratio_udf(threshold, autojunk)
+    # A deleted letter takes two pairs of adjacent letters along, an inserted one parts one
+    # pair; deletions and insertions differ by the sizes' difference.
+    lost = f"floor((3 * floor((1 - {threshold}) * ({{x}} + {{y}}) + {EPS}) + {{x}} - {{y}}) / 2)"
     measure = Measure(
-        F.length, char_profile, need, lambda a, b: F.lit(True), lambda a, b: udf(a, b), False
+        F.length, char_profile, need, screen, lambda a, b: udf(a, b), False, grams_lost=lost
     )
     q = gram_size(lambda q: (2 * q - 1) * threshold - 2 * (q - 1))
     if q is None:
@@ -194,7 +218,9 @@ def levenshtein(threshold: float) -> Measure:
     def need(sa: Column, sb: Column) -> Column:
         return F.greatest(sa, sb) - limit(sa, sb)
 
-    measure = Measure(F.length, char_profile, need, screen, score, True)
+    # An edit touches at most two pairs of adjacent letters.
+    lost = f"2 * floor((1 - {threshold}) * greatest({{x}}, {{y}}) + {EPS})"
+    measure = Measure(F.length, char_profile, need, screen, score, True, grams_lost=lost)
     q = gram_size(lambda q: 1 - q * (1 - threshold))
     if q is None:
         return measure

@@ -12,8 +12,9 @@ How it scales:
   common), hot parts cut into blocks; otherwise they meet in cells of the length
   band, every cell cut into blocks of bounded size, so that a length a third of
   the titles share is spread over many tasks. Both find the same pairs;
-* inside that join only pairs that pass the length band and the profile test
-  come out; the edit-distance test and the score run on those;
+* that join carries row ids and profiles, no texts; only pairs that pass the length
+  band and the profile tests come out and fetch their texts, on which the edit-distance
+  test and the score run;
 * when many rows resemble each other, the work goes in order-prefixes: settle a
   prefix, strike out everything its kept rows cover, go on with what is left. A
   large group of near copies then costs one comparison per copy, not one per
@@ -22,11 +23,13 @@ How it scales:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from litsieve.functions.similarity import MEASURES, WORDS, Measure, bits_missing
+from litsieve.functions.similarity import GRAM_WORDS, MEASURES, WORDS, Measure, bits_missing, gram_profile
 from litsieve.functions.text import normalise_title
 from litsieve.operators.skew import lookup_by_key
 from litsieve.session import durable
@@ -34,8 +37,14 @@ from litsieve.session import durable
 LENGTH_BAND = 20
 # Cells above this number are one cell, so that tables per cell stay tiny.
 MAX_CELL = 4095
-BLOCK_ROWS = 4096
-ROWS_PER_TASK = 256
+# Rows of a block: as many as give each core some pairs of blocks, between these.
+BLOCK_ROWS = (512, 32_768)
+# Rounds of decisions before components are walked through, and the edges of one that a
+# task may hold.
+ROUNDS = 3
+COMPONENT_EDGES = 2_000_000
+# Tasks of one comparison at most.
+MOST_TASKS = 20_000
 # More meetings per row than this make the shared-part route the cheaper one.
 MEETINGS_PER_ROW = 20_000
 # Rows of one part above which its group is cut.
@@ -57,21 +66,42 @@ def representatives(
         .agg(F.min("ord").alias("ord"), F.count("*").alias("n_rows"))
     )
     return (
-        measure.profile(titles)
+        gram_profile(measure.profile(titles))
         .withColumn("len", F.length("norm"))
         .withColumn("size", measure.size(F.col("norm")))
         .withColumn("cell", F.least(F.floor(F.col("len") / (band + 1)), F.lit(MAX_CELL)))
     )
 
 
-def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Blocks per cell. At most MAX_CELL + 1 pairs of numbers, so they are
-    counted once and put into the plans as a literal table."""
-    counted = rows.groupBy("cell").count().collect()
-    lines = ", ".join(f"({r['cell']}L, {-(-r['count'] // block_rows)}L)" for r in counted)
+def _cells(rows: DataFrame) -> dict[int, int]:
+    """Rows per cell, at most MAX_CELL + 1 pairs of numbers."""
+    return {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
+
+
+def _meetings(one: dict[int, int], two: dict[int, int]) -> int:
+    """Pairs of rows the length cells alone would bring together."""
+    return sum(n * two.get(c + d, 0) for c, n in one.items() for d in (-1, 0, 1))
+
+
+def _block_rows(spark: SparkSession, one: dict[int, int], two: dict[int, int]) -> int:
+    tasks = 16 * spark.sparkContext.defaultParallelism
+    least, most = BLOCK_ROWS
+    return min(max(int((_meetings(one, two) / tasks) ** 0.5), least), most)
+
+
+def _blocks(spark: SparkSession, cells: dict[int, int], block_rows: int) -> DataFrame:
+    """Blocks per cell, as a literal table in the plans."""
+    lines = ", ".join(f"({c}L, {-(-n // block_rows)}L)" for c, n in cells.items())
     if not lines:
-        return rows.sparkSession.sql("SELECT 0L AS cell, 0L AS blocks WHERE false")
-    return rows.sparkSession.sql(f"SELECT * FROM VALUES {lines} AS t(cell, blocks)")
+        return spark.sql("SELECT 0L AS cell, 0L AS blocks WHERE false")
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS t(cell, blocks)")
+
+
+def _tasks(one: dict[int, int], two: dict[int, int], block_rows: int) -> int:
+    """Pairs of blocks that meet."""
+    n = {c: -(-x // block_rows) for c, x in one.items()}
+    m = {c: -(-x // block_rows) for c, x in two.items()}
+    return max(1, min(MOST_TASKS, sum(x * m.get(c + d, 0) for c, x in n.items() for d in (-1, 0, 1))))
 
 
 def _fan_out(
@@ -96,14 +126,37 @@ def _fan_out(
     )
 
 
-NUMBERS = ["len", "size", *[f"p{k}" for k in range(WORDS)]]
+NUMBERS = ["len", "size", *[f"p{k}" for k in range(WORDS)], *[f"g{k}" for k in range(GRAM_WORDS)]]
 
 
-def _cheap_test(band: int, measure: Measure):
-    """Length band, then profile test, for sides l and r."""
+def _cheap_tests(band: int, measure: Measure) -> list[Column]:
+    """Length band, then profile tests, for sides l and r."""
     need = measure.need(F.col("l_size"), F.col("r_size"))
-    close = F.abs(F.col("l_len") - F.col("r_len")) <= band
-    return close, F.expr(bits_missing("l", "r")) <= F.col("l_size") - need
+    tests = [
+        F.abs(F.col("l_len") - F.col("r_len")) <= band,
+        F.expr(bits_missing("l", "r")) <= F.col("l_size") - need,
+    ]
+    for x, y in ("lr", "rl") if measure.grams_lost else ():
+        lost = measure.grams_lost.format(x=f"{x}_len", y=f"{y}_len")
+        tests.append(F.expr(f"{bits_missing(x, y, 'g', GRAM_WORDS)} <= {lost}"))
+    return tests
+
+
+def _in_turn(tests: list[Column]) -> Column:
+    """All tests hold. CASE keeps their order: the optimiser moves filters into the
+    join condition and would put the costly ones first."""
+    return reduce(lambda rest, t: F.when(~t, False).otherwise(rest), reversed(tests[:-1]), tests[-1])
+
+
+def _with_texts(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, measure: Measure) -> DataFrame:
+    """Similar pairs of the (lo, hi) that passed the cheap tests."""
+    texts = left.select("ord", "norm")
+    if right is not left:
+        texts = texts.union(right.select("ord", "norm"))
+    found = pairs.join(texts.select(F.col("ord").alias("lo"), F.col("norm").alias("a")), "lo").join(
+        texts.select(F.col("ord").alias("hi"), F.col("norm").alias("b")), "hi"
+    )
+    return _scored(found.filter(measure.screen(F.col("a"), F.col("b"))), threshold, measure)
 
 
 def _scored(pairs: DataFrame, threshold: float, measure: Measure) -> DataFrame:
@@ -113,16 +166,8 @@ def _scored(pairs: DataFrame, threshold: float, measure: Measure) -> DataFrame:
     return scored.select("lo", "hi", "similarity")
 
 
-def _similar(
-    left: DataFrame,
-    right: DataFrame,
-    self_join: bool,
-    threshold: float,
-    band: int,
-    measure: Measure,
-    n: int,
-) -> DataFrame:
-    """Similar pairs (lo, hi, similarity) of the rows that meet, lo before hi."""
+def _near(left: DataFrame, right: DataFrame, self_join: bool, band: int, measure: Measure, tasks: int) -> DataFrame:
+    """Pairs (lo, hi) of the rows that meet and pass the cheap tests, lo before hi."""
     # Columns known not to be null keep the generated test short enough for the
     # JIT compiler, which matters more than anything else here.
     at = ["k1", "k2", "k3", "k4"]
@@ -130,42 +175,25 @@ def _similar(
     def side(rows: DataFrame, name: str, places: list[str]) -> DataFrame:
         return rows.selectExpr(
             f"ord AS {name}_ord",
-            f"norm AS {name}_norm",
             *[f"coalesce({c}, 0) AS {name}_{c}" for c in NUMBERS],
             *[f"coalesce({c}, 0L) AS {k}" for c, k in zip(places, at)],
         )
 
     l = side(left, "l", ["cell", "block", "other_cell", "other_block"])
     r = side(right, "r", ["other_cell", "other_block", "cell", "block"])
-    forward = F.col("l_ord") < F.col("r_ord")
-    a = F.expr("if(l_ord < r_ord, l_norm, r_norm)")
-    b = F.expr("if(l_ord < r_ord, r_norm, l_norm)")
-
-    close, alike = _cheap_test(band, measure)
+    tests = _cheap_tests(band, measure)
     if self_join:
         same = (F.col("l.k1") == F.col("l.k3")) & (F.col("l.k2") == F.col("l.k4"))
-        close = close & (~same | forward)
-    # CASE keeps the order of the tests: the optimiser moves filters into the
-    # join condition and would put the costly ones first.
-    passes = F.when(~close, False).when(~alike, False).otherwise(measure.screen(a, b))
-
-    # A stated number of partitions, several per core: the work per byte is high
-    # and uneven here, so they must not be merged by size.
-    most = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(most, n // ROWS_PER_TASK))
+        tests[0] = tests[0] & (~same | (F.col("l_ord") < F.col("r_ord")))
+    # A stated number of partitions: the work per byte is high and uneven here, so
+    # they must not be merged by size.
     meet = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in at])
-    pairs = (
-        l.repartition(parts, *at)
+    return (
+        l.repartition(tasks, *at)
         .alias("l")
-        .join(r.repartition(parts, *at).alias("r"), meet & passes)
-        .select(
-            F.least("l_ord", "r_ord").alias("lo"),
-            F.greatest("l_ord", "r_ord").alias("hi"),
-            a.alias("a"),
-            b.alias("b"),
-        )
+        .join(r.repartition(tasks, *at).alias("r"), meet & _in_turn(tests))
+        .select(F.least("l_ord", "r_ord").alias("lo"), F.greatest("l_ord", "r_ord").alias("hi"))
     )
-    return _scored(pairs, threshold, measure)
 
 
 def _share_rows(rows: DataFrame, band: int, measure: Measure) -> DataFrame:
@@ -228,38 +256,24 @@ def _by_shared_part(
         "pmod(xxhash64(ord), coalesce(cuts, 1L)) AS other_cut",
         "explode(sequence(0L, coalesce(cuts, 1L) - 1)) AS cut",
     )
-    close, alike = _cheap_test(band, measure)
-    close = close & ~(F.col("l_poor") & F.col("r_poor"))
+    tests = _cheap_tests(band, measure)
+    tests[0] = tests[0] & ~(F.col("l_poor") & F.col("r_poor"))
     if self_join:
-        close = close & ((F.col("step") != 0) | (F.col("l_ord") < F.col("r_ord")))
+        tests[0] = tests[0] & ((F.col("step") != 0) | (F.col("l_ord") < F.col("r_ord")))
     meet = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("part", "at", "cut", "other_cut")])
     pairs = (
         l.alias("l")
-        .join(r.alias("r"), meet & F.when(~close, False).otherwise(alike))
+        .join(r.alias("r"), meet & _in_turn(tests))
         .select(F.least("l_ord", "r_ord").alias("lo"), F.greatest("l_ord", "r_ord").alias("hi"))
         .distinct()
     )
-    texts = left.select("ord", "norm")
-    if not self_join:
-        texts = texts.union(right.select("ord", "norm"))
-    pairs = pairs.join(texts.select(F.col("ord").alias("lo"), F.col("norm").alias("a")), "lo").join(
-        texts.select(F.col("ord").alias("hi"), F.col("norm").alias("b")), "hi"
-    )
-    return _scored(pairs.filter(measure.screen(F.col("a"), F.col("b"))), threshold, measure)
-
-
-def _meetings(left: DataFrame, right: DataFrame) -> int:
-    """Pairs of rows the length cells alone would bring together."""
-    one = {r["cell"]: r["count"] for r in left.groupBy("cell").count().collect()}
-    two = one
-    if right is not left:
-        two = {r["cell"]: r["count"] for r in right.groupBy("cell").count().collect()}
-    return sum(n * two.get(c + d, 0) for c, n in one.items() for d in (-1, 0, 1))
+    return _with_texts(pairs, left, right, threshold, measure)
 
 
 def _takes_parts(route: str, measure: Measure, left: DataFrame, right: DataFrame, n: int) -> bool:
     if route == "auto" and measure.parts is not None:
-        return _meetings(left, right) > MEETINGS_PER_ROW * n
+        one = _cells(left)
+        return _meetings(one, one if right is left else _cells(right)) > MEETINGS_PER_ROW * n
     return route == "parts" and measure.parts is not None
 
 
@@ -269,7 +283,7 @@ def edges_within(
     threshold: float,
     band: int,
     measure: Measure,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     route: str = "auto",
     hot_part: int = HOT_PART,
 ) -> DataFrame:
@@ -285,10 +299,14 @@ def edges_within(
         return shared.union(
             edges_within(poor, n, threshold, band, measure, block_rows, "blocks")
         )
-    blocks = _blocks(rows, block_rows)
-    left = _fan_out(rows, blocks, blocks, [0, 1], 1)
-    right = _fan_out(rows, blocks, blocks, [0, -1], -1)
-    return _similar(left, right, True, threshold, band, measure, n)
+    cells = _cells(rows)
+    size = block_rows or _block_rows(rows.sparkSession, cells, cells)
+    blocks = _blocks(rows.sparkSession, cells, size)
+    slim = rows.select("ord", "cell", *NUMBERS)
+    left = _fan_out(slim, blocks, blocks, [0, 1], 1)
+    right = _fan_out(slim, blocks, blocks, [0, -1], -1)
+    pairs = _near(left, right, True, band, measure, _tasks(cells, cells, size))
+    return _with_texts(pairs, rows, rows, threshold, measure)
 
 
 def edges_between(
@@ -298,7 +316,7 @@ def edges_between(
     threshold: float,
     band: int,
     measure: Measure,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     route: str = "auto",
     hot_part: int = HOT_PART,
 ) -> DataFrame:
@@ -311,26 +329,37 @@ def edges_between(
                 one.filter("poor"), two.filter("poor"), n, threshold, band, measure, block_rows, "blocks"
             )
         )
-    kept_blocks, rest_blocks = _blocks(kept, block_rows), _blocks(rest, block_rows)
-    left = _fan_out(kept, kept_blocks, rest_blocks, [-1, 0, 1], 0)
-    right = _fan_out(rest, rest_blocks, kept_blocks, [-1, 0, 1], 0)
-    return _similar(left, right, False, threshold, band, measure, n)
+    spark, one, two = kept.sparkSession, _cells(kept), _cells(rest)
+    size = block_rows or _block_rows(spark, one, two)
+    kept_blocks, rest_blocks = _blocks(spark, one, size), _blocks(spark, two, size)
+    left = _fan_out(kept.select("ord", "cell", *NUMBERS), kept_blocks, rest_blocks, [-1, 0, 1], 0)
+    right = _fan_out(rest.select("ord", "cell", *NUMBERS), rest_blocks, kept_blocks, [-1, 0, 1], 0)
+    pairs = _near(left, right, False, band, measure, _tasks(one, two, size))
+    return _with_texts(pairs, kept, rest, threshold, measure)
 
 
-def leaders(edges: DataFrame) -> DataFrame:
+def leaders(edges: DataFrame, component_edges: int = COMPONENT_EDGES) -> DataFrame:
     """Dropped rows with their leader: (hi, lo, similarity).
 
-    While some row both points and is pointed at: the rows nothing undecided
-    points at are kept, the rows they point at are dropped with all their
-    edges. Once no row does both, all pointing rows are kept. ``edges`` must be
-    durable. Rounds = longest chain of dependent decisions; stars need none.
+    While some row both points and is pointed at: the rows nothing undecided points at
+    are kept, the rows they point at are dropped with all their edges. Once no row does
+    both, all pointing rows are kept; stars need no round. What ``ROUNDS`` of them leave
+    open are long chains of dependent decisions: those go on by component, each one of
+    up to ``component_edges`` edges walked through in order by one task. Larger ones get
+    rounds until they are settled. ``edges`` must be durable.
     """
     edges = edges.filter("lo < hi")
-    live, dropped = edges.select("lo", "hi"), []
+    live, dropped, rounds = edges.select("lo", "hi"), [], 0
     while True:
         targets = live.selectExpr("hi AS lo")
         if live.join(targets, "lo", "left_semi").isEmpty():
             break
+        if rounds == ROUNDS:
+            walked, live = _walk_components(live, component_edges)
+            dropped.append(walked)
+            rounds += 1
+            continue
+        rounds += 1
         heads = live.select("lo").join(targets, "lo", "left_anti").distinct()
         gone = durable(live.join(heads, "lo", "left_semi").select("hi").distinct(), "dropped")
         dropped.append(gone.selectExpr("hi AS lo"))
@@ -342,6 +371,65 @@ def leaders(edges: DataFrame) -> DataFrame:
     return first_leader(edges)
 
 
+def _walk_components(live: DataFrame, component_edges: int) -> tuple[DataFrame, DataFrame]:
+    """(dropped rows of the components that fit into a task, edges of the others)."""
+    named = durable(live.join(components(live), F.col("lo") == F.col("node")).select("component", "lo", "hi"), "named")
+    # One line per component that is too large, at most edges / component_edges.
+    large = named.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > component_edges)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, row, gone = None, None, set()
+        for batch in batches:
+            out = []
+            for component, hi, lo in zip(*(batch.column(c).to_pylist() for c in ("component", "hi", "lo")), strict=True):
+                if component != now:
+                    now, gone = component, set()
+                # Rows come in order, so all earlier ones are settled.
+                if lo not in gone and hi not in gone:
+                    gone.add(hi)
+                    out.append(hi)
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.column("hi").type)], ["lo"])
+
+    small = named.join(large, "component", "left_anti").select("component", "hi", "lo")
+    kind = live.schema["hi"].dataType.simpleString()
+    dropped = small.repartition("component").sortWithinPartitions("component", "hi", "lo").mapInArrow(walk, f"lo {kind}")
+    rest = named.join(large, "component", "left_semi").select("lo", "hi")
+    return durable(dropped, "walked"), durable(rest, "live")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of ``edges`` (lo, hi): component is the least node.
+
+    Each node is told the least name among itself and its neighbours, then the name that
+    this one was told, and so on: names halve their distance to the least, so a chain
+    takes a number of written tables that grows with the logarithm of its length.
+    """
+    both = durable(edges.select("lo", "hi").unionByName(edges.selectExpr("hi AS lo", "lo AS hi")).distinct(), "both")
+    names = durable(both.groupBy(F.col("lo").alias("node")).agg(F.least(F.min("hi"), F.first("lo")).alias("component")), "names")
+    while True:
+        far = names.select(F.col("node").alias("_node"), F.col("component").alias("_far"))
+        # Least name next door, then that name's own.
+        near = (
+            both.join(far, F.col("hi") == F.col("_node")).groupBy(F.col("lo").alias("node")).agg(F.min("_far").alias("_near"))
+        )
+        better = names.join(near, "node").select("node", "component", F.least("component", "_near").alias("_least"))
+        # A node's old name hears of the better one too, so whole trees move.
+        told = durable(
+            better.select("node", F.col("_least").alias("component"))
+            .unionByName(better.select(F.col("component").alias("node"), F.col("_least").alias("component")))
+            .groupBy("node").agg(F.min("component").alias("component")),
+            "told",
+        )
+        far = told.select(F.col("node").alias("_node"), F.col("component").alias("_far"))
+        after = durable(
+            told.join(far, F.col("component") == F.col("_node")).select("node", F.least("component", "_far").alias("component")), "names"
+        )
+        moved = after.join(names.select("node", F.col("component").alias("_was")), "node").filter("component <> _was")
+        if moved.isEmpty():
+            return after
+        names = after
+
+
 def first_leader(edges: DataFrame) -> DataFrame:
     best = F.min_by("similarity", "lo")
     return edges.groupBy("hi").agg(F.min("lo").alias("lo"), best.alias("similarity"))
@@ -372,7 +460,7 @@ def settle(
     threshold: float,
     band: int,
     measure: Measure,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     probe_rows: int = PROBE_ROWS,
     edges_per_row: int = EDGES_PER_ROW,
     route: str = "auto",

@@ -219,3 +219,70 @@ def test_plan_has_no_nested_loop(spark):
     reps = durable(Z.representatives(rows, "title", "ord", measure, 20), "titles")
     plan = Z.edges_within(reps, 40, 0.85, 20, measure)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def greedy(edges: list[tuple]) -> dict[int, int]:
+    """Dropped rows and their leaders, one row after another."""
+    before, gone = {}, {}
+    for lo, hi in edges:
+        before.setdefault(hi, []).append(lo)
+    for hi in sorted(before):
+        kept = [lo for lo in before[hi] if lo not in gone]
+        if kept:
+            gone[hi] = min(kept)
+    return gone
+
+
+@pytest.mark.parametrize("component_edges", [2_000_000, 30])
+def test_leaders_of_any_graph(spark, component_edges):
+    rng = random.Random(component_edges)
+    edges = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(260)} | {(400 + i, 401 + i) for i in range(40)}
+    table = durable(spark.createDataFrame([(lo, hi, 0.9) for lo, hi in edges], "lo long, hi long, similarity double"), "edges")
+    got = {r.hi: r.lo for r in Z.leaders(table, component_edges).collect()}
+    assert got == greedy(list(edges))
+
+
+def test_long_chain_takes_few_tables(spark, monkeypatch):
+    n, written = 10_000, []
+    edges = durable(spark.range(n).selectExpr("id AS lo", "id + 1 AS hi", "0.9D AS similarity"), "chain")
+    monkeypatch.setattr(Z, "durable", lambda df, name: written.append(name) or durable(df, name))
+    got = Z.leaders(edges).collect()
+    assert sorted((r.hi, r.lo) for r in got) == [(i + 1, i) for i in range(0, n, 2)]
+    assert len(written) < 60
+
+
+@pytest.mark.parametrize("metric", ["ratcliff", "levenshtein"])
+def test_gram_bound_holds(spark, metric):
+    """No pair that reaches the threshold has more lost pairs of letters than the bound."""
+    rng = random.Random(6)
+    rows, pairs = [], []
+    for k in range(300):
+        a = "".join(rng.choices("abcde ", k=rng.randrange(1, 40))).strip() or "a"
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        rows += [(2 * k, a), (2 * k + 1, "".join(b).strip() or "b")]
+        pairs.append((2 * k, 2 * k + 1))
+    for threshold in (0.6, 0.85):
+        measure = MEASURES[metric](threshold)
+        df = spark.createDataFrame(rows, "ord long, norm string").withColumn("len", F.length("norm"))
+        df = Z.gram_profile(df.withColumn("size", F.col("len")))
+        l = df.select(*[F.col(c).alias(f"l_{c}") for c in df.columns])
+        r = df.select(*[F.col(c).alias(f"r_{c}") for c in df.columns])
+        lost = [measure.grams_lost.format(x=f"{x}_len", y=f"{y}_len") for x, y in ("lr", "rl")]
+        tests = [F.expr(f"{Z.bits_missing(x, y, 'g', Z.GRAM_WORDS)} <= {e}") for (x, y), e in zip(("lr", "rl"), lost)]
+        both = l.join(r, F.col("l_ord") + 1 == F.col("r_ord")).filter("l_ord % 2 = 0")
+        for x in both.select("l_norm", "r_norm", (tests[0] & tests[1]).alias("passes"), measure.screen(F.col("l_norm"), F.col("r_norm")).alias("s")).collect():
+            if score(metric, x.l_norm, x.r_norm) >= threshold:
+                assert x.passes and x.s, (x.l_norm, x.r_norm)
+
+
+def test_texts_stay_out_of_the_fan_out(spark):
+    rows = frame(spark, titles(3, 60))
+    measure = MEASURES["levenshtein"](0.85)
+    reps = durable(Z.representatives(rows, "title", "ord", measure, 20), "titles")
+    plan = Z.edges_within(reps, 60, 0.85, 20, measure, route="blocks")._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.split("\n"):
+        if "Generate" in line or "RepartitionByExpression" in line or "explode" in line:
+            assert "norm" not in line, line
