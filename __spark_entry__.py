@@ -126,6 +126,28 @@ def _accumulated(s: SparkSession, d: str) -> DataFrame:
     ).select("site", "page_id", "pos", "place")
 
 
+def _walks(s: SparkSession, d: str) -> DataFrame:
+    """Walks along each customer's result pages from the dearest order on."""
+    hops = P.follow_next(V.customer_result_pages(s, d), "lib.example")
+    return P.walk_pages(hops, V.customer_starts(s, d))
+
+
+def _walk_records(s: SparkSession, d: str) -> DataFrame:
+    records = P.extract_records(V.customer_result_pages(s, d))
+    return P.walk_records(durable(_walks(s, d), "walks"), records, 5)
+
+
+def _search_many(s: SparkSession, d: str) -> DataFrame:
+    articles = V.order_articles(s, d)
+    return Q.search_many(Q.term_index(articles), articles, V.segment_requests(s, d))
+
+
+def _word_tags(s: SparkSession, d: str) -> DataFrame:
+    """A tag for every distinct word of the documents, from a lexicon of part names."""
+    words = K.vocabulary(_texts(s, d), "text").select("word")
+    return K.tag_words(words, V.part_lexicon(s, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     extra = {**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}
     return _library_queries() | extra
@@ -197,6 +219,7 @@ def _library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "keyword_word_class": lambda s, d: V.part_lexicon(s, d).select(
             "token", "tag", tag_class(F.col("tag")).alias("word_class")
         ),
+        "keyword_word_tags": _word_tags,
         # extraction
         "page_blocks": lambda s, d: P.record_blocks(V.order_result_pages(s, d)).select(
             "page_id", "pos", F.length("block").alias("n_chars")
@@ -210,6 +233,11 @@ def _library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ).filter("error is not null").select("page_id", "pos", "authors", "year", "error"),
         "result_nested": lambda s, d: P.extract_records(V.nested_result_pages(s, d)).drop("page_url"),
         "result_next_page": lambda s, d: P.follow_next(V.order_result_pages(s, d), "lib.example"),
+        "page_walk": lambda s, d: P.walk_pages(
+            P.follow_next(V.order_result_pages(s, d), "lib.example"), V.segment_starts(s, d)
+        ),
+        "page_walk_cycles": _walks,
+        "page_walk_records": _walk_records,
         "page_links": lambda s, d: P.page_links(V.table(s, d, "pages", heavy=True)).drop("page_url"),
         "link_by_text": _link_by_text,
         "absolute_links": _absolute,
@@ -230,6 +258,7 @@ def _library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             V.order_articles(s, d), "order", sort_by="date", page=3
         ).select("ord", "title", "year"),
         "search_matches": lambda s, d: Q.match_articles(_doc_search(s, d), SEARCH).select("ord", "hits"),
+        "search_many": _search_many,
         "accumulate_pages": _accumulated,
         "select_order": lambda s, d: in_column_order(V.order_articles(s, d)),
         "year_as_text": lambda s, d: V.order_articles(s, d).select(
@@ -314,6 +343,67 @@ JAC_EDGES = """
     WHERE shared / (na + nb - shared)::DOUBLE >= 0.8::DOUBLE"""
 
 
+def _rat_edges(threshold: float) -> str:
+    """Pairs by matching blocks: the longest common block, the first in a, then in b, and so
+    on left and right of it. In a b of 200 characters and more, characters that make up more
+    than a hundredth of it begin no block, but lengthen one at both ends. The letters that
+    two titles share bound their score from above; pairs below that need no blocks."""
+    at, end = "greatest(0, alo - r.i, blo - r.j)", "least(r.n, ahi - r.i, bhi - r.j)"
+    counts = ", ".join(f"len(k) - len(replace(k, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz ")
+
+    def alike(x: str, y: str, n: str) -> str:
+        """Length of the common beginning of two strings of ``n`` characters; mostly short."""
+
+        def differ(size: str) -> str:
+            return f"list_position(list_transform(range(1, {size} + 1), lambda k: {x}[k] <> {y}[k]), true) - 1"
+
+        return f"""CASE WHEN lb < 200 THEN 0 WHEN {x} = {y} THEN {n}
+            WHEN left({x}, 32) <> left({y}, 32) THEN {differ(f"least(32, {n})")} ELSE {differ(n)} END"""
+
+    def blocks(windows: str) -> str:
+        return f"""
+            SELECT lo, hi, alo, ahi, blo, bhi, i - back AS i, j - back AS j, n + back + fore AS n FROM (
+                SELECT *, {alike("xa", "xb", "nx")} AS back, {alike("ya", "yb", "ny")} AS fore
+                FROM (SELECT *, reverse(substr(ka, i - nx + 1, nx)) AS xa, reverse(substr(kb, j - nx + 1, nx)) AS xb,
+                             substr(ka, i + n + 1, ny) AS ya, substr(kb, j + n + 1, ny) AS yb
+                      FROM (SELECT *, least(i - alo, j - blo) AS nx, least(ahi - i, bhi - j) - n AS ny
+                            FROM (SELECT *, coalesce(c.n, 0) AS n, coalesce(-c.i, alo) AS i, coalesce(-c.j, blo) AS j
+                                  FROM (SELECT *, list_max(list_filter(list_transform(core, lambda r:
+                                            {{'n': {end} - {at}, 'i': -(r.i + {at}), 'j': -(r.j + {at})}}), lambda c: c.n > 0)) AS c
+                                        FROM ({windows}) JOIN packed USING (lo, hi))))))"""
+
+    return f"""
+    WITH RECURSIVE p AS MATERIALIZED (SELECT ord, k, len, [{counts}] AS n FROM x),
+    cand AS MATERIALIZED (
+        SELECT lo, hi, ka, kb, la, lb FROM (
+            SELECT a.ord AS lo, b.ord AS hi, a.k AS ka, b.k AS kb, a.len AS la, b.len AS lb,
+                   list_sum(list_transform(list_zip(a.n, b.n), lambda z: least(z[1], z[2])))
+                   + least(a.len - list_sum(a.n), b.len - list_sum(b.n)) AS shared
+            FROM p a JOIN p b ON a.ord < b.ord AND b.len BETWEEN a.len - 20 AND a.len + 20)
+        WHERE 2 * shared >= {threshold}::DOUBLE * (la + lb) - 1e-9),
+    chars AS MATERIALIZED (
+        SELECT ord, ch, i, count(*) OVER (PARTITION BY ord, ch) AS often
+        FROM (SELECT ord, unnest(string_split(k, '')) AS ch, generate_subscripts(string_split(k, ''), 1) - 1 AS i FROM x)),
+    -- characters that may begin a block
+    plain AS MATERIALIZED (SELECT lo, hi, i, ch FROM cand JOIN chars ON ord = hi WHERE lb < 200 OR often <= lb // 100 + 1),
+    cells AS (SELECT lo, hi, a.i AS i, b.i AS j FROM plain b JOIN chars a ON a.ord = lo AND a.ch = b.ch),
+    packed AS MATERIALIZED (
+        SELECT lo, hi, ka, kb, lb, coalesce(runs, []) AS core FROM cand LEFT JOIN (
+            SELECT lo, hi, list({{'i': i, 'j': j, 'n': n}}) AS runs FROM (
+                SELECT lo, hi, min(i) AS i, min(j) AS j, count(*) AS n
+                FROM (SELECT *, i - row_number() OVER (PARTITION BY lo, hi, i - j ORDER BY i) AS island FROM cells)
+                GROUP BY lo, hi, i - j, island) GROUP BY lo, hi) USING (lo, hi)),
+    found AS (
+        {blocks("SELECT lo, hi, 0 AS alo, la AS ahi, 0 AS blo, lb AS bhi FROM cand")}
+        UNION ALL
+        {blocks('''SELECT lo, hi, v.alo, v.ahi, v.blo, v.bhi FROM (
+                SELECT lo, hi, unnest([{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j}, {'alo': i + n, 'ahi': ahi, 'blo': j + n, 'bhi': bhi}]) AS v
+                FROM found WHERE n > 0) WHERE v.alo < v.ahi AND v.blo < v.bhi''')})
+    SELECT lo, hi, similarity FROM (
+        SELECT lo, hi, 2.0::DOUBLE * sum(n) / any_value(la + lb) AS similarity FROM found JOIN cand USING (lo, hi) GROUP BY lo, hi)
+    WHERE similarity >= {threshold}::DOUBLE"""
+
+
 def _fuzzy(rows: str, edges: str, final: str) -> str:
     """Greedy keep-first over ``rows``; ``final`` reads t (rows) and matches."""
     return f"""
@@ -482,6 +572,20 @@ GRAPH = f"""
                WHERE rank <= {CAP})
 """
 
+# A walk carries the pages that it has been to.
+CUSTOMER_WALKS = """
+    WITH RECURSIVE o AS (
+        SELECT o_orderkey AS page, o_orderstatus, c_mktsegment, o_custkey,
+               lead(o_orderkey) OVER w AS following, first_value(o_orderkey) OVER w AS first
+        FROM orders JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    hops AS (SELECT page, CASE WHEN following IS NULL AND c_mktsegment = 'BUILDING' THEN first ELSE following END AS next FROM o),
+    walk AS (
+        SELECT arg_max(o_orderkey, {'p': o_totalprice, 'k': o_orderkey}) AS start, 0::BIGINT AS place, start AS page, [start] AS seen
+        FROM orders GROUP BY o_custkey
+        UNION ALL
+        SELECT w.start, w.place + 1, h.next, list_append(w.seen, h.next)
+        FROM walk w JOIN hops h ON h.page = w.page WHERE h.next IS NOT NULL AND NOT list_contains(w.seen, h.next))"""
+
 MARKS = f"""SELECT *, ord <> kept_ord AS is_duplicate FROM (
     SELECT *, min(ord) OVER (PARTITION BY title) AS kept_ord FROM ({TITLES}))"""
 
@@ -529,6 +633,18 @@ def _library_sql() -> dict[str, str]:
             TITLES, LEV_EDGES, "SELECT lo, hi, round(similarity, 6) AS similarity FROM edges"
         ),
         "fuzzy_pairs_jaccard": _fuzzy(TITLES, JAC_EDGES, PAIRS_SQL),
+        "fuzzy_pairs_ratcliff": _fuzzy(TITLES, _rat_edges(0.85), PAIRS_SQL),
+        "fuzzy_dedup_ratcliff": _fuzzy(
+            TITLES, _rat_edges(0.85), "SELECT ord, source_file, title FROM t WHERE ord NOT IN (SELECT member FROM matches)"
+        ),
+        "fuzzy_dedup_ratcliff_095": _fuzzy(
+            TITLES, _rat_edges(0.95), "SELECT ord, source_file, title FROM t WHERE ord NOT IN (SELECT member FROM matches)"
+        ),
+        "screening": _fuzzy(
+            SHELF_EXACT,
+            _rat_edges(0.85),
+            "SELECT file_rank, ord, source_file, title, url FROM t WHERE ord NOT IN (SELECT member FROM matches)",
+        ),
         "screening_lev": _fuzzy(
             SHELF_EXACT,
             LEV_EDGES,
@@ -546,6 +662,17 @@ def _library_sql() -> dict[str, str]:
                 JOIN ({LEXICON}) ON token = word AND tag IN ('NN', 'JJ')
                 WHERE length(word) > 2 AND word NOT IN ({STOPS}) GROUP BY word)
             ORDER BY freq DESC, seen LIMIT {TOP}""",
+        "keyword_word_tags": f"""
+            WITH words AS MATERIALIZED (SELECT DISTINCT word FROM ({_tokens(TEXTS, "text")}) WHERE length(word) > 2),
+            lex AS MATERIALIZED (SELECT DISTINCT token, tag FROM ({LEXICON}) WHERE token <> ''),
+            counted AS (SELECT right(token, n) AS suffix, tag, count(*) AS n
+                        FROM lex, (SELECT unnest(range(1, 6)) AS n) WHERE n <= length(token) GROUP BY 1, 2),
+            best AS (SELECT suffix, tag FROM counted QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY n DESC, tag) = 1),
+            learned AS (
+                SELECT word, arg_max(tag, length(suffix)) AS tag, arg_max(suffix, length(suffix)) AS suffix
+                FROM words, (SELECT unnest(range(1, 6)) AS n) JOIN best ON suffix = right(word, n) AND n <= length(word) GROUP BY word)
+            SELECT word, coalesce(k.tag, l.tag, 'none') AS tag, CASE WHEN k.tag IS NOT NULL THEN 'lexicon' ELSE l.suffix END AS "by"
+            FROM words LEFT JOIN (SELECT token AS word, min(tag) AS tag FROM lex GROUP BY 1) k USING (word) LEFT JOIN learned l USING (word)""",
         "keyword_word_class": f"""SELECT token, tag, CASE left(tag, 1) WHEN 'J' THEN 'a' WHEN 'V' THEN 'v' WHEN 'R' THEN 'r'
             ELSE 'n' END AS word_class FROM ({LEXICON})""",
         "page_blocks": f"""SELECT page_id, pos, length(block) + CASE WHEN starts_with(block, '>') AND pos = 1 THEN 7 ELSE 1 END AS n_chars
@@ -573,6 +700,16 @@ def _library_sql() -> dict[str, str]:
             WITH p AS (SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey)
             SELECT a.k AS page_id, '{V.SITE}/scholar?q=order&start=' || ((a.k + 1) * 10) AS next_url, b.k AS next_page_id
             FROM p a LEFT JOIN p b ON b.k = a.k + 1""",
+        "page_walk": """
+            WITH RECURSIVE o AS (SELECT o_orderkey AS page, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey),
+            walk AS (SELECT min(page) AS start, 0::BIGINT AS place, min(page) AS page FROM o GROUP BY c_mktsegment
+                     UNION ALL SELECT w.start, w.place + 1, o.page FROM walk w JOIN o ON o.page = w.page + 1)
+            SELECT * FROM walk""",
+        "page_walk_cycles": CUSTOMER_WALKS + " SELECT start, place, page FROM walk",
+        "page_walk_records": CUSTOMER_WALKS + """
+            , stops AS (SELECT start, min(place) AS stop FROM walk JOIN o USING (page) WHERE o_orderstatus = 'P' GROUP BY start)
+            SELECT start, page, 1 AS pos, (w.place + 1)::INTEGER AS place FROM walk w LEFT JOIN stops USING (start)
+            WHERE w.place < coalesce(stop, 5) AND w.place < 5""",
         "page_links": f"SELECT page_id, pos, href, text FROM ({LINKS})",
         "link_by_text": f"""
             SELECT page_id, coalesce(arg_min(href, pos) FILTER (WHERE regexp_matches(text, '(?i)^TH')),
@@ -606,6 +743,23 @@ def _library_sql() -> dict[str, str]:
         "search_page": f"""SELECT ord, title, year FROM ({ORDER_ARTICLES}) WHERE {_order_words("order")}
             ORDER BY year DESC NULLS LAST, ord LIMIT 10 OFFSET 30""",
         "search_matches": f"SELECT ord, hits FROM ({DOC_HITS})",
+        "search_many": f"""
+            WITH a AS MATERIALIZED (
+                SELECT *, string_split({_norm(chr(39).join(['title || ', ' ', ' || abstract']))}, ' ') AS words FROM ({ORDER_ARTICLES})),
+            r AS (
+                SELECT ascii(c_mktsegment) * 10 + k AS request, k, k * 25 AS most,
+                       list_distinct(string_split({_norm("'order ' || c_mktsegment || CASE WHEN k < 4 THEN ' ' || o_orderpriority ELSE '' END")}, ' ')) AS terms
+                FROM (SELECT DISTINCT c_mktsegment, o_orderpriority, left(o_orderpriority, 1)::INTEGER AS k
+                      FROM orders JOIN customer ON o_custkey = c_custkey)),
+            hit AS (
+                SELECT request, most, ord, list_sum(list_transform(terms, lambda t: len(list_filter(words, lambda w: w = t))))::BIGINT AS hits,
+                       CASE WHEN k % 2 = 0 THEN year END AS y, CASE WHEN k % 2 = 1 THEN citations END AS n, k
+                FROM r JOIN a ON list_has_all(words, terms)
+                WHERE (k <> 2 OR contains(lower(authors), 'customer#00000000')) AND (k <= 2 OR year >= 1995) AND (k <> 5 OR year <= 1997)),
+            ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY request ORDER BY y DESC NULLS LAST,
+                          CASE WHEN k % 2 = 1 THEN hits END DESC NULLS LAST, n DESC NULLS LAST, ord)::INTEGER AS place FROM hit)
+            SELECT request::BIGINT AS request, place, ord, hits FROM ranked WHERE place <= most""",
         "accumulate_pages": f"""
             WITH p AS (SELECT regexp_extract(url, '\\.([a-z]+)/', 1) AS site, page_id,
                               regexp_extract_all({NO_SCRIPT}, '(?i)<p\\b[^>]*>') AS r FROM pages),

@@ -1,8 +1,14 @@
-"""Result pages to typed article records."""
+"""Result pages to typed article records, and walks from page to page.
+
+A walk follows next-links from a start page until there is none, or until it meets a page
+that it has been to. All walks advance together, by doubling: the pages 1, 2, 4, .. hops
+ahead are known from the table before, so a walk of n pages takes log2(n) written tables.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +27,8 @@ from litsieve.functions.markup import (
     usable_href,
     without_scripts,
 )
+from litsieve.operators.search import accumulate_pages
+from litsieve.session import durable
 
 YEAR = r"\b(?:19|20)\d{2}\b"
 
@@ -152,3 +160,43 @@ def follow_next(pages: DataFrame, host: str, step: int = 10) -> DataFrame:
     linked = hops.filter(F.col("next_url").isNotNull()).join(targets, "next_url", "left")
     last = hops.filter(F.col("next_url").isNull()).withColumn("next_page_id", F.lit(None).cast("long"))
     return linked.select("page_id", "next_url", "next_page_id").unionByName(last)
+
+
+def walk_pages(hops: DataFrame, starts: DataFrame) -> DataFrame:
+    """Pages that a walk from each start comes to, in order: start, place (from 0), page.
+
+    ``hops``: page_id, next_page_id as ``follow_next`` gives them (rows without a next page
+    end a walk; of several next pages the least is taken). ``starts``: start, which need
+    not stand in ``hops``; repeated and null ones count once and not at all.
+    """
+    jump = hops.filter("next_page_id IS NOT NULL AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("at"))
+    jump = durable(jump.agg(F.min("next_page_id").alias("to")), "jump")
+    open_ = durable(
+        starts.filter("start IS NOT NULL").select("start", F.lit(0).cast("long").alias("place"), F.col("start").alias("page")).distinct(),
+        "walk",
+    )
+    ended, known = [], 1
+    while True:
+        # The first ``known`` places of the open walks, no page twice, are there.
+        ahead = open_.join(jump, open_["page"] == jump["at"]).select("start", (F.col("place") + known).alias("place"), F.col("to").alias("page"))
+        # One next page each: after the first page met again, only such pages follow.
+        longer = durable(
+            open_.unionByName(ahead).groupBy("start", "page").agg(F.min("place").alias("place")).select("start", "place", "page"), "walk"
+        )
+        known *= 2
+        on = longer.groupBy("start").agg(F.count("*").alias("n"))
+        ended.append(longer.join(on.filter(F.col("n") < known), "start", "left_semi"))
+        going = on.filter(F.col("n") == known)
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, ended)
+        open_ = durable(longer.join(going, "start", "left_semi"), "walk")
+        second = jump.select(F.col("at").alias("to"), F.col("to").alias("far"))
+        jump = durable(jump.join(second, "to").select("at", F.col("far").alias("to")), "jump")
+
+
+def walk_records(walks: DataFrame, records: DataFrame, max_results: int) -> DataFrame:
+    """Records along each walk, up to its first page without any and to ``max_results``:
+    start, page, pos, place (from 1). ``records``: page_id, pos."""
+    pages = walks.select("start", F.col("place").alias("step"), "page")
+    found = pages.join(records.select(F.col("page_id").alias("page"), "pos"), "page")
+    return accumulate_pages(pages, found, "start", "step", "pos", max_results).select("start", "page", "pos", "place")

@@ -69,6 +69,45 @@ def with_lexicon(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return words.join(tagged, "word").withColumn("lemma", F.coalesce("_lemma", "word")).drop("_lemma")
 
 
+#: Letters of the longest ending that tags are learned for.
+LONGEST_SUFFIX = 5
+
+
+def suffix_tags(lexicon: DataFrame, longest: int = LONGEST_SUFFIX) -> DataFrame:
+    """(suffix, tag, n, total): the most frequent tag of the lexicon's tokens that end in
+    the suffix, the least of several, and its share. As large as the lexicon."""
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(longest))), lambda n: F.right("token", n))
+    known = lexicon.filter("token <> '' AND tag IS NOT NULL").select("token", "tag").distinct()
+    counted = known.select("tag", F.explode(ends).alias("suffix")).groupBy("suffix", "tag").agg(F.count("*").alias("n"))
+    best = F.min_by("tag", F.struct(-F.col("n"), "tag"))
+    return counted.groupBy("suffix").agg(best.alias("tag"), F.max("n").alias("n"), F.sum("n").alias("total"))
+
+
+def tag_words(words: DataFrame, lexicon: DataFrame, longest: int = LONGEST_SUFFIX) -> DataFrame:
+    """``words`` (word, ..) with ``tag`` and ``by``: every word has a tag.
+
+    A word of the lexicon has its (least) tag, ``by`` is "lexicon"; any other has the tag
+    that the longest of its endings mostly has there, ``by`` is that ending; a word whose
+    last letter ends no token of the lexicon has the tag "none" and no ``by``. Meant for
+    distinct words: each is joined once per ending.
+    """
+    known = lexicon.filter("token <> ''").groupBy(F.col("token").alias("word")).agg(F.min("tag").alias("_tag"))
+    rows = words.join(known, "word", "left")
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(longest))), lambda n: F.right("word", n))
+    open_ = rows.filter("_tag IS NULL AND word <> ''").select("word").distinct()
+    learned = (
+        open_.select("word", F.explode(ends).alias("suffix"))
+        .join(suffix_tags(lexicon, longest).select("suffix", "tag"), "suffix")
+        .groupBy("word")
+        .agg(F.max_by(F.struct("tag", "suffix"), F.length("suffix")).alias("_learned"))
+    )
+    return rows.join(learned, "word", "left").select(
+        *words.columns,
+        F.coalesce("_tag", "_learned.tag", F.lit("none")).alias("tag"),
+        F.when(F.col("_tag").isNotNull(), "lexicon").otherwise(F.col("_learned.suffix")).alias("by"),
+    )
+
+
 def keyword_counts(
     df: DataFrame,
     column: str = "title",

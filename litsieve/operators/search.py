@@ -1,4 +1,9 @@
-"""Search over article records: terms, author, years, order, pages."""
+"""Search over article records: terms, author, years, order, pages; one or many at once.
+
+One search scans the articles. For many, ``term_index`` writes one line per word and
+article once, and ``search_many`` answers a whole table of requests by joining their terms
+to it: an article is found when as many of its words match as the request has terms.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ import regex as re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from litsieve.functions.text import normalise_title
+from litsieve.session import durable
 
 PAGE_SIZE = 10
 
@@ -84,6 +90,68 @@ def search(
     return top.offset(PAGE_SIZE * page).limit(PAGE_SIZE)
 
 
+def term_index(articles: DataFrame, columns: tuple[str, ...] = ("title", "abstract")) -> DataFrame:
+    """Written lines (term, ord, hits): how often an article holds a word.
+
+    Dealt out by ranges of (term, ord) and sorted, so a frequent word lies in several
+    files, and a filter on ``term`` skips the others by their ranges.
+    """
+    words = articles.select("ord", F.explode(F.split(F.trim(search_text(columns)), " ")).alias("term"))
+    lines = words.filter("term <> ''").groupBy("term", "ord").agg(F.count("*").alias("hits"))
+    return durable(lines.repartitionByRange("term", "ord").sortWithinPartitions("term", "ord"), "terms")
+
+
+REQUEST = "request long, query string, author string, year_start int, year_end int, sort_by string, max_results int"
+
+
+def search_many(index: DataFrame, articles: DataFrame, requests: DataFrame) -> DataFrame:
+    """request, place (from 1), ord, hits for every row of ``requests`` (``REQUEST``), each
+    as ``search`` answers it; ``articles`` has ord, authors, year, citations.
+
+    A request without terms finds all articles that pass its filters, as ``search`` does;
+    nulls in author, years, sort_by and max_results stand for no filter, relevance and 100.
+    """
+    asked = requests.select(
+        F.col("request").alias("_request"),
+        F.array_distinct(F.filter(F.split(normalise_title(F.col("query")), " "), lambda t: t != "")).alias("_terms"),
+        F.nullif(F.lower("author"), F.lit("")).alias("_author"),
+        F.nullif("year_start", F.lit(0)).alias("_from"), F.nullif("year_end", F.lit(0)).alias("_to"),
+        (F.coalesce("sort_by", F.lit("")) == "date").alias("_by_date"), F.coalesce("max_results", F.lit(100)).alias("_most"),
+    )
+    terms = asked.select("_request", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
+    found = (
+        terms.join(index, "term")
+        .groupBy("_request", "ord")
+        .agg(F.count("*").alias("_held"), F.first("_n").alias("_n"), F.sum("hits").alias("hits"))
+        .filter("_held = _n")
+        .select("_request", "ord", "hits")
+    )
+    details = articles.select("ord", "authors", "year", "citations")
+    # Requests without terms meet every article once; they are told apart before the join.
+    bare = asked.filter("size(_terms) = 0").withColumn("_all", F.lit(1))
+    every = details.withColumn("_all", F.lit(1)).join(F.broadcast(bare), "_all").select(
+        "_request", "ord", F.lit(0).cast("long").alias("hits")
+    ) if not bare.isEmpty() else None
+    hits = found if every is None else found.unionByName(every)
+    passing = (
+        hits.join(details, "ord")
+        .join(asked.drop("_terms"), "_request")
+        .filter(F.col("_author").isNull() | F.contains(F.lower("authors"), F.col("_author")))
+        .filter(F.col("_from").isNull() | (F.col("year") >= F.col("_from")))
+        .filter(F.col("_to").isNull() | (F.col("year") <= F.col("_to")))
+    )
+    by = [
+        F.when(F.col("_by_date"), F.col("year")).desc_nulls_last(), F.when(~F.col("_by_date"), F.col("hits")).desc_nulls_last(),
+        F.when(~F.col("_by_date"), F.col("citations")).desc_nulls_last(), F.col("ord").asc(),
+    ]
+    # One number; a literal limit lets each task keep no more rows of a request.
+    most = requests.agg(F.max(F.coalesce("max_results", F.lit(100)))).first()[0] or 0
+    ranked = passing.withColumn("place", F.row_number().over(Window.partitionBy("_request").orderBy(*by)))
+    return ranked.filter(F.col("place") <= most).filter(F.col("place") <= F.col("_most")).select(
+        F.col("_request").alias("request"), "place", "ord", "hits"
+    )
+
+
 def accumulate_pages(
     pages: DataFrame, records: DataFrame, run: str, page: str, pos: str, max_results: int
 ) -> DataFrame:

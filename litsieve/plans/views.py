@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from litsieve.operators.extract import ARTICLE_PAGE, extract_records
 from litsieve.session import spread
@@ -135,6 +135,22 @@ def order_result_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def segment_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """One search request per market segment and order priority that occur together."""
+    o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
+    pairs = o.join(c, o.o_custkey == c.c_custkey).select("c_mktsegment", "o_orderpriority").distinct()
+    rank = F.substring("o_orderpriority", 1, 1).cast("int")
+    return pairs.select(
+        (F.ascii("c_mktsegment").cast("long") * 10 + rank).alias("request"),
+        F.concat_ws(" ", F.lit("Order"), "c_mktsegment", F.when(rank < 4, F.col("o_orderpriority"))).alias("query"),
+        F.when(rank == 2, "customer#00000000").alias("author"),
+        F.when(rank > 2, 1995).alias("year_start"),
+        F.when(rank == 5, 1997).alias("year_end"),
+        F.when(rank % 2 == 0, "date").otherwise("relevance").alias("sort_by"),
+        (rank * 25).alias("max_results"),
+    )
+
+
 def nested_result_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One result page per order whose byline, abstract and footer hold divs of their
     own, some of them never closed, empty, or inside a comment."""
@@ -158,6 +174,44 @@ def nested_result_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def customer_result_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Result pages of each customer's orders, one order a page. A page names the next
+    page's number; the last one of a customer in the building segment names the first
+    page again, the last one of any other none. Pages of pending orders show no record."""
+    o = table(spark, folder, "orders", heavy=True)
+    c = table(spark, folder, "customer")
+    # A customer's own orders.
+    mine = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    at = F.row_number().over(mine) - 1
+    rows = o.join(c, o.o_custkey == c.c_custkey).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "c_mktsegment", at.alias("at"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n")
+    )
+
+    def url(place: Column) -> Column:
+        return F.concat(F.lit("/scholar?q="), F.col("o_custkey").cast("string"), F.lit("&start="), (place * 10).cast("string"))
+
+    more = F.when(F.col("at") + 1 < F.col("n"), url(F.col("at") + 1)).when(F.col("c_mktsegment") == "BUILDING", url(F.lit(0)))
+    link = F.concat(F.lit('<a href="'), F.replace(more, F.lit("&"), F.lit("&amp;")), F.lit('">'), (F.col("at") + 2).cast("string"), F.lit("</a>"))
+    record = F.concat(F.lit('<div class="gs_r"><h3 class="gs_rt">Order '), F.col("o_orderkey").cast("string"), F.lit("</h3></div>"))
+    return rows.select(
+        F.col("o_orderkey").alias("page_id"),
+        F.concat(F.lit(SITE), url(F.col("at"))).alias("url"),
+        F.concat(F.when(F.col("o_orderstatus") != "P", record).otherwise("no results"), F.coalesce(link, F.lit(""))).alias("html"),
+    )
+
+
+def segment_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """The first order of each market segment."""
+    o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy("c_mktsegment").agg(F.min("o_orderkey").alias("start")).select("start")
+
+
+def customer_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """The dearest order of each customer."""
+    o = table(spark, folder, "orders")
+    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("start")).select("start")
+
+
 def bylines(spark: SparkSession, folder: str) -> DataFrame:
     """Author lines of several shapes, by order priority."""
     o = table(spark, folder, "orders")

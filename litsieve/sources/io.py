@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import csv
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from litsieve.operators.dedup import drop_duplicates
 from litsieve.schema import ARTICLE_SCHEMA, in_column_order
@@ -142,29 +143,52 @@ def write_articles(
     The article columns come first, in their order, then all others;
     ``article_columns_only`` drops those. A target that is, holds, or lies inside a
     file that ``df`` is made from, or one of ``inputs``, is refused. An existing folder
-    is replaced, but not by a frame without rows.
+    is replaced, but not by a frame without rows: the rows are written next to it and
+    counted on the way, so the plan runs once.
     """
+    return counted_write(df, path, fmt, inputs, partition_by, article_columns_only) > 0
+
+
+def counted_write(
+    df: DataFrame,
+    path: str,
+    fmt: str = "csv",
+    inputs: Sequence[str] = (),
+    partition_by: str | None = None,
+    article_columns_only: bool = False,
+) -> int:
+    """``write_articles``, giving the number of rows written."""
     target = plain_path(path).rstrip("/")
     for source in sources_of(df) | {plain_path(p).rstrip("/") for p in inputs}:
         if f"{source}/".startswith(f"{target}/") or f"{target}/".startswith(f"{source}/"):
             raise ValueError(f"{path} overlaps the input {source}; write to another path")
-    if df.isEmpty():
-        return False
     first = in_column_order(df).columns
     others = [c for c in df.columns if c not in first]
     if article_columns_only:
         others = [c for c in others if c == partition_by]
-    writer = df.select(*first, *others).write.mode("overwrite")
+    seen = Observation()
+    writer = df.select(*first, *others).observe(seen, F.count(F.lit(1)).alias("rows")).write
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     kind = fmt.lower()
     if kind == "csv":
-        writer.csv(path, header=True, escape='"')
+        writer.csv(aside, header=True, escape='"')
     elif kind == "parquet":
-        writer.parquet(path)
+        writer.parquet(aside)
     else:
-        writer.json(path, ignoreNullFields=False)
-    return True
+        writer.json(aside, ignoreNullFields=False)
+    rows = seen.get["rows"]
+    spark = df.sparkSession
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, path))
+    files = new.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not rows:
+        files.delete(new, True)
+        return 0
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{aside} could not be moved to {path}")
+    return rows
 
 
 def result_name(stem: str, stage: str) -> str:

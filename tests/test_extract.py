@@ -153,3 +153,33 @@ def test_nested_fields(spark):
     df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
     (r,) = P.extract_records(df).collect()
     assert (r.authors, r.year, r.journal, r.abstract, r.citations) == ("D Lee", 2020, "Wiley", "one two  three", 4)
+
+
+def plain_walk(hops: dict[int, int], start: int) -> list[int]:
+    seen = [start]
+    while (page := hops.get(seen[-1])) is not None and page not in seen:
+        seen.append(page)
+    return seen
+
+
+def test_walks_against_following(spark):
+    rng = random.Random(2)
+    hops = {i: rng.randrange(60) for i in range(60) if i % 7}  # merging, with cycles and ends
+    hops |= {i: i + 1 for i in range(100, 1300)} | {2000: 2000, 2001: 2002, 2002: 2001, 3000: 9999}
+    starts = [*range(60), 100, 101, 700, 1300, 2000, 2001, 3000, 77777, 5, None]
+    pages = spark.createDataFrame([*hops.items(), (4000, None), (None, 3)], "page_id long, next_page_id long").repartition(5)
+    got = {}
+    for r in P.walk_pages(pages, spark.createDataFrame([(x,) for x in starts], "start long")).collect():
+        got.setdefault(r.start, []).append((r.place, r.page))
+    wanted = {x: list(enumerate(plain_walk(hops, x))) for x in starts if x is not None}
+    assert {k: sorted(v) for k, v in got.items()} == wanted
+    none = spark.createDataFrame([], "page_id long, next_page_id long")
+    assert P.walk_pages(none, none.select(F.col("page_id").alias("start"))).collect() == []
+
+
+def test_records_along_a_walk(spark):
+    walks = spark.createDataFrame([(9, 0, 9), (9, 1, 3), (9, 2, 5), (9, 3, 1), (7, 0, 7)], "start long, place long, page long")
+    records = spark.createDataFrame([(9, 1), (9, 2), (3, 1), (3, 4), (1, 1)], "page_id long, pos int")
+    got = sorted(map(tuple, P.walk_records(walks, records, 3).collect()))
+    assert got == [(9, 3, 1, 3), (9, 9, 1, 1), (9, 9, 2, 2)]
+    assert len(P.walk_records(walks, records, 9).collect()) == 4  # page 5 is empty, page 1 lies behind it

@@ -114,6 +114,27 @@ def test_write_keeps_all_columns(spark, files, tmp_path):
     assert spark.read.parquet(str(tmp_path / "few")).columns == COLUMN_ORDER
 
 
+def test_writes_count_in_one_pass(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    df = spark.range(10, numPartitions=2).selectExpr("concat('t', id) AS title").mapInArrow(seen, "title string")
+    path = str(tmp_path / "out")
+    for fmt in ("csv", "json", "parquet"):
+        runs.value = 0
+        assert io.counted_write(df, path, fmt) == 10 and runs.value == 10
+    assert spark.read.parquet(path).count() == 10
+    assert io.counted_write(df.filter("title = 'x'"), path) == 0  # what is there stays
+    assert spark.read.parquet(path).count() == 10 and os.listdir(tmp_path) == ["out"]
+    more = df.limit(3).withColumn("n", F.length("title"))
+    assert io.counted_write(more, path, "parquet", partition_by="n") == 3
+    assert spark.read.parquet(path).count() == 3
+
+
 def test_write_never_touches_an_input(spark, files, tmp_path):
     rows, _ = io.read_articles(spark, files[:2])
     for target in (files[0], str(tmp_path), f"{files[1]}/x", f"file:{tmp_path}/"):

@@ -61,3 +61,23 @@ def test_tag_class_and_empty(spark):
     df = spark.createDataFrame([("JJR",), ("VBD",), ("NNS",), ("RB",), ("XX",)], "t string")
     assert [r.c for r in df.select(tag_class(F.col("t")).alias("c")).collect()] == ["a", "v", "n", "r", "n"]
     assert K.top_keywords(frame(spark).filter("false")).count() == 0
+
+
+def test_every_word_gets_a_tag(spark):
+    lexicon = [("running", "VBG"), ("eating", "VBG"), ("king", "NN"), ("ring", "NN"), ("thing", "NN"), ("red", "JJ"), ("red", "NN"), (None, "X"), ("", "Y"), ("zed", None)]
+    words = ["running", "going", "bring", "red", "bed", "xyz", "g", "", None, "being"]
+    lex = spark.createDataFrame([(t, g, t) for t, g in lexicon], "token string, tag string, lemma string")
+    rows = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, n int")
+    got = {r.n: (r.tag, r.by) for r in K.tag_words(rows, lex).collect()}
+
+    def brute(word):
+        known = [g for t, g in lexicon if t and t == word and g]
+        if known:
+            return min(known), "lexicon"
+        for n in range(min(5, len(word or "")), 0, -1):
+            tags = Counter(g for t, g in set(lexicon) if t and g and t.endswith(word[-n:]) and len(t) >= n)
+            if tags:
+                return min(tags, key=lambda g: (-tags[g], g)), word[-n:]
+        return "none", None
+
+    assert got == {i: brute(w) for i, w in enumerate(words)}

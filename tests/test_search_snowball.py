@@ -1,3 +1,5 @@
+import random
+
 from litsieve.operators import search as Q
 from litsieve.operators import snowball as G
 
@@ -76,3 +78,27 @@ def test_seeds_by_best_score(spark):
     seeds = spark.createDataFrame([("Facilitating DESIGN by analogy",), ("Facilitating design by analogies",), ("Unlike all",), (None,)], "title string")
     got = {r.seed_title: (r.seed, round(r.similarity, 2)) for r in G.resolve_seeds_by_score(seeds, articles).collect()}
     assert got == {"Facilitating DESIGN by analogy": (3, 1.0), "Facilitating design by analogies": (7, 0.98)}
+
+
+def test_many_searches_are_the_single_ones(spark):
+    rng = random.Random(3)
+    names = ["red", "blue", "Green", "été", "x_1", "data-driven"]
+    rows = [
+        (i, " ".join(rng.choices(names, k=4)), rng.choice([None, " ".join(rng.choices(names, k=3))]), rng.choice(["A Lee", "b lee", None]),
+         rng.choice([None, 1990, 2000, 2010]), rng.choice([None, 0, 5, 9]))
+        for i in range(200)
+    ]
+    articles = spark.createDataFrame(rows, "ord long, title string, abstract string, authors string, year int, citations int")
+    asked = [
+        (1, "red blue", None, None, None, None, None), (2, "RED, red!", "LEE", 1995, None, "date", 7), (3, "été", "", 0, 2005, "relevance", 500),
+        (4, "nothing", None, None, None, None, 5), (5, "", "a", 2000, 2010, "date", 9), (6, "data driven", None, None, None, "date", 0),
+        (7, None, None, None, None, None, 3),
+    ]
+    got = {}
+    index = Q.term_index(articles)
+    for r in Q.search_many(index, articles, spark.createDataFrame(asked, Q.REQUEST)).orderBy("request", "place").collect():
+        got.setdefault(r.request, []).append((r.ord, r.hits))
+    for request, query, author, start, end, by, most in asked:
+        one = Q.search(articles, query or "", author, start, end, by or "relevance", 100 if most is None else most).collect()
+        assert got.get(request, []) == [(r.ord, r.hits) for r in one], request
+    assert Q.search_many(index, articles, spark.createDataFrame([], Q.REQUEST)).collect() == []
