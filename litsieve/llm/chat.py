@@ -18,13 +18,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from litsieve.llm.common import read, small_batches
 from litsieve.session import durable
 
-START, END = "<|im_start|>", "<|im_end|>"
+START, END, LINE = "<|im_start|>", "<|im_end|>", "<|n|>"
 ANEW = ("open", "edit", "regenerate", "delete")
 
 
@@ -37,6 +37,16 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
+def escaped_role(role: Column) -> Column:
+    """A role in one line. ``<|`` never remains in escaped text, so ``LINE`` can stand for
+    the line feeds."""
+    return F.replace(escaped(role), F.lit("\n"), F.lit(LINE))
+
+
+def unescaped_role(role: Column) -> Column:
+    return unescaped(F.replace(role, F.lit(LINE), F.lit("\n")))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, msg, turn (0 and up), role, text.
 
@@ -91,7 +101,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One formatted line per turn, to be read in the order of ``turn``: conv_id,
     turn, formatted, loss_start, loss_end (code points; equal where nothing counts)."""
-    head = F.concat(F.lit(START), escaped(F.col("role")), F.lit("\n"))
+    head = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"))
     body = escaped(F.col("text"))
     counts = F.col("role").isin(*learn)
     return messages.select(
@@ -105,16 +115,14 @@ def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Data
 def read_back(formatted: DataFrame) -> DataFrame:
     """Turns from formatted lines alone: conv_id, turn, role, text, loss, n_chars.
 
-    The role ends at the first line feed that the template set; a role with line
-    feeds of its own would move it, so such roles are refused by the template's
-    users (roles are a short fixed list)."""
+    The role ends at the first line feed; those of its own are escaped."""
     inner = F.col("formatted").substr(
         F.lit(len(START) + 1), F.length("formatted") - len(START) - len(END) - 1
     )
     role_chars = F.locate("\n", inner) - 1
     return formatted.select(
         "conv_id", "turn",
-        unescaped(inner.substr(F.lit(1), role_chars)).alias("role"),
+        unescaped_role(inner.substr(F.lit(1), role_chars)).alias("role"),
         unescaped(inner.substr(role_chars + 2, F.length(inner))).alias("text"),
         unescaped(
             F.col("formatted").substr(F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
@@ -128,15 +136,13 @@ DIGESTS = (
 )
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by conversation and turn; one conversation's sums are open."""
     now, state = None, None
     for batch in batches:
         out = []
-        for conv, role, text, loss, n in zip(
-            batch["conv_id"].astype("object"), batch["role"], batch["text"], batch["loss"], batch["n_chars"], strict=True
-        ):
-            conv = None if pd.isna(conv) else int(conv)
+        columns = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "loss", "n_chars"))
+        for conv, role, text, loss, n in zip(*columns, strict=True):
             if state is None or conv != now:
                 if state:
                     out.append(_closed(now, state))
@@ -155,15 +161,21 @@ def _closed(conv: int | None, s: list) -> tuple:
     return conv, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [x.split()[0] for x in DIGESTS.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+_KINDS = {"long": pa.int64(), "string": pa.string()}
+
+
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split() for x in DIGESTS.split(", ")]
+    columns = [[r[i] for r in rows] for i in range(len(fields))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields]
+    )
 
 
 def digests(turns: DataFrame) -> DataFrame:
     """One line per conversation with digests of what ``read_back`` gave."""
     rows = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    return small_batches(rows).mapInPandas(_digest, DIGESTS)
+    return small_batches(rows).mapInArrow(_digest, DIGESTS)
 
 
 def as_events(turns: DataFrame, piece: int = 256) -> DataFrame:
@@ -171,23 +183,25 @@ def as_events(turns: DataFrame, piece: int = 256) -> DataFrame:
     deltas of ``piece`` code points. Every row is a message of its own: rows of one turn,
     or of none, stand in the order of role and a digest of the text, equal rows follow
     each other."""
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / piece)).cast("int")
     rows = turns.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
     # Equal rows are counted and dealt out again, so no key brings unequal ones together.
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").cast("int").alias("_n"))
-    return rows.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).select(
+    # Cut once; the whole text does not go along with its pieces.
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    cut = rows.select(
+        "conv_id", "turn", "role", "_n", F.xxhash64("text").alias("digest"), F.concat(F.array(F.lit("")), pieces).alias("_pieces")
+    )
+    return cut.select(
+        "conv_id", "turn", "role", "digest", "_n", F.posexplode("_pieces").alias("_k", "text")
+    ).select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).select(
         "conv_id",
-        F.struct("turn", F.col("role").alias("by"), F.xxhash64("text").alias("digest"), "_i").alias("msg"),
-        "role",
-        "text",
-        F.explode(F.sequence(F.lit(0), n)).alias("_k"),
+        F.struct("turn", F.col("role").alias("by"), "digest", "_i").alias("msg"),
+        "role", "text", "_k",
     ).select(
         "conv_id", "msg", "role",
         F.struct("msg", "_k").alias("seq"),
         F.when(F.col("_k") == 0, "open").otherwise("delta").alias("kind"),
-        F.when(F.col("_k") == 0, "")
-        .otherwise(F.col("text").substr((F.col("_k") - 1) * piece + 1, F.lit(piece)))
-        .alias("text"),
+        "text",
     )
 
 
@@ -211,6 +225,6 @@ SQL = rf"""
            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
            sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
            sum(length('{START}') + length('{END}') + 2
-               + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'))
+               + length(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '{LINE}'))
                + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT AS formatted_chars
     FROM t GROUP BY conv_id"""

@@ -142,30 +142,38 @@ def held_out_rows(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on ``sample_rows`` label rows at most, the same on every run; rows held out
-    are never read. Half of them give the trusted positives (quality 1), the other
-    half is the mixture, whose labels are dropped here."""
-    digest = F.xxhash64("doc_id", F.lit("pu"))
-    chosen = (
+    """Fit on ``sample_rows`` documents at most, the same on every run; rows held out are
+    never read. Half of them are trusted positives (quality 1); the other half is the
+    mixture, drawn from all documents whether labelled or not. An id counts once, with
+    the text of the least digest, so no id can bring in more than one row."""
+    half = sample_rows // 2
+    draw = F.xxhash64("doc_id", F.lit("pu"))
+    usable = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~held_out_rows())
+    trusted = (
         labels.filter(F.col("doc_id").isNotNull() & ~held_out_rows())
-        .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .withColumn("half", F.pmod(digest, F.lit(2)))
-        .orderBy(digest).limit(sample_rows)
-        .filter((F.col("half") == 0) | (F.col("quality") == 1))
-        .select(F.col("doc_id").alias("_id"), (F.col("half") == 1).alias("trusted"))
+        .groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1")
+        .filter(F.pmod(draw, F.lit(2)) == 1).orderBy(draw).limit(half)
+        .select(F.col("doc_id").alias("_id"), F.lit(True).alias("trusted"))
     )
+    mixture = (
+        usable.select("doc_id").distinct().filter(F.pmod(draw, F.lit(2)) == 0).orderBy(draw).limit(half)
+        .select(F.col("doc_id").alias("_id"), F.lit(False).alias("trusted"))
+    )
+    chosen = F.broadcast(trusted.unionByName(mixture))  # ``sample_rows`` numbers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"trusted": b["trusted"], "x": list(features(list(b["text"])))})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("trusted", "text")
+    rows = usable.join(chosen, F.col("doc_id") == F.col("_id")).groupBy("_id").agg(
+        F.first("trusted").alias("trusted"), F.min_by("text", F.xxhash64("text")).alias("text")
+    ).select("trusted", "text")
     got = small_batches(rows).mapInPandas(run, "trusted boolean, x array<float>").toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
-    trusted = got.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
+    trusted_rows = got.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
     # The order rows arrive in must not matter.
     order = np.lexsort(x.T[::-1])
-    return fit(x[order[trusted[order]]], x[order[~trusted[order]]])
+    return fit(x[order[trusted_rows[order]]], x[order[~trusted_rows[order]]])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -198,6 +206,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts, row by row: null texts are judged as empty
+    ones, rows of one id each by its own text."""
     model = train(docs, read(spark, sf_dir, "labels"))
     return score(docs, model).filter("predicted = 1").select(*docs.columns)

@@ -23,6 +23,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many ``_`` as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     """``df`` as it is, with Arrow batches of ``rows`` rows at most.
 

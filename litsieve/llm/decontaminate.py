@@ -2,12 +2,10 @@
 
 Texts are compared in a plain form: ASCII and Latin-1 letters in lower case, every
 run of other ASCII characters one blank. Benchmark items are cut into units of at
-most ``unit`` bytes that overlap by half, so a leak of a part of a long item counts if
-it holds a unit but for its edits: with 160 bytes and 12 edits, a verbatim part is sure
-to be found from 227 bytes on, a shorter one only where it covers a unit well enough.
-A unit of m bytes may differ from the document by ``e = rate * m`` edits. Items whose
-plain form has under ``LEAST`` bytes are found where it stands whole and without edits,
-between blanks.
+most ``unit`` bytes that overlap by half; a unit of m bytes may differ from the document
+by ``e = rate * m`` edits. Besides, ``PART`` successive words of an item count as they are,
+so a verbatim part of an item is found from that many words on. Items whose plain form
+has under ``LEAST`` bytes are found where it stands whole and without edits, between blanks.
 
 * q-gram lemma: a region within e edits shares at least ``m - q + 1 - q * e`` q-grams
   with the unit, on diagonals (document position minus unit position) that lie in a
@@ -16,8 +14,8 @@ between blanks.
 * Bands with that many are verified by an alignment that is confined to the band
   and may begin and end anywhere in the document.
 
-The benchmark is the stated query set. It is worked off in blocks of bounded size,
-each broadcast to the tasks, and every block meets all documents.
+The benchmark is the stated query set. It is worked off in blocks of bounded size, each
+broadcast to the tasks; ``PASS_BLOCKS`` of them meet the documents in one pass.
 """
 
 from __future__ import annotations
@@ -26,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from litsieve.llm.common import chunks, mixed, prefix_hash, read, small_batches, span_hash
@@ -36,7 +34,11 @@ RATE = 0.08
 UNIT = 160
 #: Shorter plain forms are searched as they are, without edits.
 LEAST = 40
+#: Successive words of an item that count without edits.
+PART = 13
 BLOCK_UNITS = 20_000
+#: Blocks that a task holds at once.
+PASS_BLOCKS = 3
 FILTER_BITS = 22
 #: Added to diagonals, so that none is negative.
 SHIFT = 4 * UNIT
@@ -91,9 +93,13 @@ class Block:
     place: np.ndarray
     filter: np.ndarray
     short: dict[int, tuple[np.ndarray, dict[bytes, list[int]]]]  # by length: sorted hashes, items of each form
+    part_hashes: np.ndarray  # sorted, of PART successive words
+    parts: dict[bytes, list[int]]
 
     @staticmethod
-    def of(units: list[tuple[int, bytes]], rate: float, short: list[tuple[int, bytes]] = ()) -> Block:
+    def of(
+        units: list[tuple[int, bytes]], rate: float, short: list[tuple[int, bytes]] = (), whole: list[tuple[int, bytes]] = ()
+    ) -> Block:
         size = np.array([len(u) for _, u in units], np.int64)
         budget = np.minimum(np.floor(rate * size), (size - Q) // Q).astype(np.int64)
         text = np.zeros((len(units), size.max(initial=0)), np.uint8)
@@ -111,10 +117,23 @@ class Block:
         marks[slots(distinct)] = True
         return Block(
             np.array([i for i, _ in units]), size, budget, text, distinct, np.append(first, len(g)),
-            np.concatenate(unit)[order], np.concatenate(place)[order], marks, _by_length(short),
+            np.concatenate(unit)[order], np.concatenate(place)[order], marks, _by_length(short), *_parts(whole),
         )
 
 
+def _parts(whole: list[tuple[int, bytes]]) -> tuple[np.ndarray, dict[bytes, list[int]]]:
+    out: dict[bytes, list[int]] = {}
+    for item, p in whole:
+        words = p.split(b" ")
+        for i in range(len(words) - PART + 1):
+            items = out.setdefault(b" ".join(words[i : i + PART]), [])
+            if item not in items[-1:]:
+                items.append(item)
+    at = np.cumsum([0, *map(len, out)])
+    hashes = span_hash(prefix_hash(np.frombuffer(b"".join(out), np.uint8)), at[:-1], at[1:])
+    return np.sort(hashes), out
+
+
 def _by_length(short: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray, dict[bytes, list[int]]]]:
     forms: dict[int, dict[bytes, list[int]]] = {}
     for item, p in short:
@@ -184,6 +203,35 @@ def short_hits(data: np.ndarray, block: Block) -> Iterator[tuple[int, int, int]]
                 yield item, p, p + n
 
 
+def part_hits(data: np.ndarray, block: Block) -> Iterator[tuple[int, int, int]]:
+    """(item, begin, end) of the stretches of ``data`` whose every PART words stand in one
+    item; those that touch are one."""
+    if not block.parts:
+        return
+    gap = (data == 0x20) | (data == 0xFF)
+    edge = np.diff(np.concatenate([[True], gap]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    text = np.searchsorted(np.flatnonzero(data == 0xFF), starts)
+    n = len(starts) - PART + 1
+    if n <= 0:
+        return
+    one = text[:n] == text[PART - 1 :]
+    hashes = span_hash(prefix_hash(data), starts[:n], ends[PART - 1 :])
+    where = np.searchsorted(block.part_hashes, hashes)
+    where[where == len(block.part_hashes)] = 0
+    open_: dict[int, tuple[int, int, int]] = {}  # item: first window, last window, text
+    for w in np.flatnonzero(one & (block.part_hashes[where] == hashes)).tolist():
+        form = data[starts[w] : ends[w + PART - 1]].tobytes()
+        for item in block.parts.get(form, ()):
+            first, last, doc = open_.get(item, (w, w, text[w]))
+            if doc != text[w] or w > last + 1:
+                yield item, int(starts[first]), int(ends[last + PART - 1])
+                first = w
+            open_[item] = (first, w, text[w])
+    for item, (first, last, _) in open_.items():
+        yield item, int(starts[first]), int(ends[last + PART - 1])
+
+
 def find(texts: list[str | None], block: Block) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of all leaks; offsets in code points."""
     for at, part in chunks(texts):
@@ -191,7 +239,7 @@ def find(texts: list[str | None], block: Block) -> Iterator[tuple[int, int, int,
         data, origin = plain(joined)
         ends = np.flatnonzero(data == 0xFF)
         starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in part])])
-        for item, begin, stop in short_hits(data, block):
+        for item, begin, stop in (*short_hits(data, block), *part_hits(data, block)):
             doc = int(np.searchsorted(ends, stop - 1))
             a, b = (int(origin[x]) - starts[doc] for x in (begin, stop - 1))
             yield (
@@ -239,25 +287,40 @@ def blocks_of(benchmark: DataFrame, rate: float, block_units: int) -> Iterator[B
     """Blocks of about ``block_units`` units; one block of items is on the driver at a time."""
     held: list[tuple[int, bytes]] = []
     short: list[tuple[int, bytes]] = []
+    whole: list[tuple[int, bytes]] = []
     for row in benchmark.select("item_id", "text").dropDuplicates().toLocalIterator():
         held += units_of(row["item_id"], row["text"])
         p = plain_form(row["text"])
         if 0 < len(p) < LEAST:
             short.append((row["item_id"], p))
+        elif p:
+            whole.append((row["item_id"], p))
         if len(held) + len(short) >= block_units:
-            yield Block.of(held, rate, short)
-            held, short = [], []
+            yield Block.of(held, rate, short, whole)
+            held, short, whole = [], [], []
     if held or short:
-        yield Block.of(held, rate, short)
+        yield Block.of(held, rate, short, whole)
+
+
+def passes_of(spark: SparkSession, benchmark: DataFrame, rate: float, block_units: int) -> Iterator[list]:
+    """Broadcast blocks, PASS_BLOCKS at a time."""
+    held = []
+    for block in blocks_of(benchmark, rate, block_units):
+        held.append(spark.sparkContext.broadcast(block))
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 LEAKS = "doc_id long, item_id long, start long, end long, edits int"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_units: int = BLOCK_UNITS) -> DataFrame:
-    """Places where a document has a benchmark unit within its edit budget: doc_id,
-    item_id, start, end (code points), edits. Overlapping units of one item give a row
-    each, repeated rows of documents likewise.
+    """Places where a document has a benchmark unit within its edit budget, or PART words
+    of an item: doc_id, item_id, start, end (code points), edits. Overlapping units of one
+    item give a row each, repeated rows of documents likewise, whatever their ids.
 
     Null texts are empty; items whose plain form is under 40 bytes are found where it
     stands whole, without edits; those without a letter or digit have none. Empty tables
@@ -265,19 +328,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_units
     """
     spark = docs.sparkSession
     found = spark.createDataFrame([], LEAKS)
-    for block in blocks_of(benchmark, rate, block_units):
-        shared = spark.sparkContext.broadcast(block)
+    for held in passes_of(spark, benchmark, rate, block_units):
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids = b["doc_id"].to_numpy()
-                rows = [(ids[i], *rest) for i, *rest in find(list(b["text"]), shared.value)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"]).drop_duplicates()
-
-        found = found.unionByName(small_batches(docs.select("doc_id", "text")).mapInPandas(run, LEAKS))
+                texts = b.column("text").to_pylist()
+                rows = sorted({r for block in held for r in find(texts, block.value)}, key=repr)
+                at, item, start, end, edits = (list(c) for c in zip(*rows, strict=True)) if rows else ([],) * 5
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(item, pa.int64()),
+                        pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32()),
+                    ],
+                    ["doc_id", "item_id", "start", "end", "edits"],
+                )
+
+        found = found.unionByName(small_batches(docs.select("doc_id", "text")).mapInArrow(run, LEAKS))
     return found
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_units: int = BLOCK_UNITS) -> DataFrame:
+    """The rows of ``docs`` that no leak was found in, with all their columns.
+
+    Each row is judged by its own text, so null and repeated ids are no matter; null
+    texts stay; without a benchmark all rows do.
+    """
+    for held in passes_of(docs.sparkSession, benchmark, rate, block_units):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                texts = b.column("text").to_pylist()
+                for block in held:
+                    keep[np.array([r[0] for r in find(texts, block.value)], np.int64)] = False
+                yield b.filter(pa.array(keep))
+
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
+    return docs
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document and item: number of places, least edits, first start, last end."""
     found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -288,6 +377,5 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a leak."""
-    bad = leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents without a leak, row by row: see ``without_leaks``."""
+    return without_leaks(docs, read(spark, sf_dir, "benchmark"))

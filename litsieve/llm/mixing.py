@@ -4,8 +4,8 @@ A source's budget of words is met in two steps: as many whole epochs as fit, the
 a weighted sample without replacement for the rest. The sample follows Efraimidis
 and Spirakis: each document draws an exponential key divided by its quality weight,
 documents are taken in the order of the keys, and a prefix sum over their sizes
-says where the budget ends. The draw is a digest of the document's id, so that
-every run, and every retried task, takes the same documents.
+says where the budget ends. The draw is a digest of the document's id (of its text,
+where it has none), so that every run, and every retried task, takes the same documents.
 
 A prefix sum over a source that holds a third of all rows doesn't fit into one
 task. The keys are cut into ``bins`` ranges first; sums per range say in which
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from litsieve.llm.common import read, word_count
+from litsieve.llm.common import read, unused, word_count
 from litsieve.session import durable
 
 BINS = 4096
@@ -79,10 +79,13 @@ def by_code_point(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     return sizes.withColumn("weight", F.get(table, (place % len(weights)).cast("int")))
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", bins: int = BINS) -> DataFrame:
+def mix(
+    docs: DataFrame, targets: DataFrame, seed: str = "mix", bins: int = BINS, mark: str = "doc_id"
+) -> DataFrame:
     """How many words of each document the mix takes.
 
-    ``docs``: doc_id, source, size, quality (above 0), and what else is to be kept.
+    ``docs``: doc_id, source, size, quality (above 0), ``mark``, of which the draw is made,
+    and what else is to be kept.
     ``targets``: source, source_size, target. Adds ``source_size``, ``target`` and
     ``taken``: whole epochs times size, plus the size of a document the sample
     takes; the document at which the budget ends is taken in part, from its start,
@@ -91,7 +94,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: str = "mix", bins: int = BINS
     and rows with equal keys are told apart by size. Columns whose names begin with
     ``_mix`` are overwritten.
     """
-    keyed = docs.withColumn("_mix_key", draw(F.col("doc_id"), F.col("quality"), seed))
+    keyed = docs.withColumn("_mix_key", draw(F.col(mark), F.col("quality"), seed))
     keyed = keyed.withColumn(
         "_mix_bin", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("_mix_key"))) * bins)).cast("int")
     )
@@ -138,12 +141,14 @@ def quality_weight(text: Column) -> Column:
     return F.lit(0.5) + F.coalesce(F.try_divide(kept, F.length(text)), F.lit(0.0))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and quality of documents, written once."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size, quality and mark of documents, written once, with the columns
+    ``more``. The mark tells documents apart: the id, else a digest of the text."""
+    mark = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("none"))
     return durable(
         docs.select(
             "doc_id", "source", word_count(F.col("text")).alias("size"),
-            quality_weight(F.col("text")).alias("quality"),
+            quality_weight(F.col("text")).alias("quality"), mark.alias("mark"), *more,
         ),
         "sized",
     )
@@ -151,7 +156,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(sizes: DataFrame) -> DataFrame:
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return mix(sizes, source_targets(by_code_point(totals)))
+    return mix(sizes, source_targets(by_code_point(totals)), mark="mark").drop("mark")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,23 +167,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix: one row per time a document is taken, the last one cut
-    to the words the budget leaves. Columns as in ``docs``. Rows that share an id and
-    a size are taken alike."""
-    takes = mixed_documents(sized(docs)).filter("taken > 0").groupBy(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size")
-    ).agg(F.max("taken").alias("_taken"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (word_count(F.col("text")) == F.col("_size"))
-    rows = docs.join(takes, same).withColumn(
-        "_words", F.explode(F.expr(
-            "transform(sequence(0, cast(ceil(_taken / _size) as int) - 1), i -> least(_size, _taken - i * _size))"
-        ))
+    """Documents of the mix: one row per time a document is taken, the last one cut to the
+    words the budget leaves. Columns as in ``docs``. Every row is a document of its own,
+    also those without an id or with a repeated one; null sources form a source; rows
+    without words are not taken."""
+    row, taker, size, taken, n = (unused(docs, f"_mix_{x}") for x in ("row", "taker", "size", "taken", "words"))
+    rows = durable(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    takes = mixed_documents(sized(rows, row)).filter("taken > 0").select(
+        F.col(row).alias(taker), F.col("size").alias(size), F.col("taken").alias(taken)
     )
+    spans = f"transform(sequence(0, cast(ceil({taken} / {size}) as int) - 1), i -> least({size}, {taken} - i * {size}))"
+    out = rows.join(takes, F.col(row) == F.col(taker)).withColumn(n, F.explode(F.expr(spans)))
     pieces = F.regexp_extract_all("text", F.lit(rf"({WORD_AND_GAP})"), F.lit(1))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
-    return rows.withColumn(
-        "text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
-    ).select(*docs.columns)
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col(n).cast("int")), "")
+    return out.withColumn("text", F.when(F.col(n) < F.col(size), cut).otherwise(F.col("text"))).select(*docs.columns)
 
 
 #: Leading white space belongs to the first word.

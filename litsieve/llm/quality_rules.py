@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from litsieve.llm.common import Words, chunks, cover, mixed, read, run_hash, small_batches
@@ -156,8 +157,10 @@ def cascade_order(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: i
                 rows.append((k, time.perf_counter() - began, bad))
             yield pd.DataFrame(rows, columns=["rule", "s", "bad"])
 
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample_rows).distinct()
-    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+    chosen = docs.select(F.xxhash64("doc_id").alias("_draw")).orderBy("_draw").limit(sample_rows).distinct()
+    drawn = docs.select(F.xxhash64("doc_id").alias("_draw"), "text")
+    # An id may stand in any number of rows.
+    sample = drawn.join(F.broadcast(chosen), "_draw", "left_semi").select("text").limit(sample_rows)
     found = (
         small_batches(sample).mapInPandas(trial, "rule int, s double, bad long")
         .groupBy("rule").agg(F.sum("s").alias("s"), F.sum("bad").alias("bad")).collect()
@@ -175,24 +178,27 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, order: Sequence[
     """
     chosen = list(order or cascade_order(docs, rules))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            texts = [x or "" for x in batch["text"]]
+            texts = [x or "" for x in batch.column("text").to_pylist()]
             m = measured(texts)
-            bad = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+            bad = ((m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])).to_numpy()
             ok = np.flatnonzero(~bad)
             first = np.full(len(texts), -1)
             first[ok] = cascade([texts[i] for i in ok], m.iloc[ok].reset_index(drop=True), chosen)
-            m.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            m["base_failed"] = bad
-            m["kept"] = ~bad & (first < 0)
-            m["failed_rule"] = [chosen[k].name if k >= 0 else None for k in first]
-            yield m
+            failed = [chosen[k].name if k >= 0 else None for k in first]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), *(pa.array(m[c].to_numpy(np.int64)) for c in m.columns),
+                    pa.array(bad), pa.array(~bad & (first < 0)), pa.array(failed, pa.string()),
+                ],
+                ["doc_id", *m.columns, "base_failed", "kept", "failed_rule"],
+            )
 
     schema = f"doc_id long, {MEASURES}, base_failed boolean, kept boolean, failed_rule string"
-    return small_batches(docs.select("doc_id", "text")).mapInPandas(judge, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(judge, schema)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

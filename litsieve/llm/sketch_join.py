@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from litsieve.llm.common import Words, chunks, mixed, read, run_hash, small_batches
+from litsieve.llm.common import Words, chunks, mixed, read, run_hash, small_batches, unused
 from litsieve.llm.components import components
 from litsieve.session import durable
 
@@ -569,6 +569,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profile, named, _ = clusters(docs)
     kept = named.groupBy("component").agg(F.min("least").alias("first")).select("first.doc_id", "first.digest")
     empty = profile.filter("n_shingles = 0").select("doc_id", "digest").distinct()
-    stay = kept.unionByName(empty).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest(F.col("text")) == F.col("_digest"))
+    id_, digest_ = unused(docs, "_id"), unused(docs, "_digest")
+    stay = kept.unionByName(empty).select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (digest(F.col("text")) == F.col(digest_))
     return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
