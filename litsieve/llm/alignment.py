@@ -233,18 +233,19 @@ class Memo:
         """Places of distinct ``units`` in ``known``."""
         if self.held > MEMO_BYTES:
             self._forget()
-        at = pc.index_in(units, value_set=self.units)
-        new = units.filter(at.is_null())
-        if len(new):
+        found = pc.index_in(units, value_set=self.units)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            new = units.filter(found.is_null())
             k, more = self.known, Units(new.to_pylist(), *self.sides)
+            at[at < 0] = np.arange(len(k.lines), len(k.lines) + len(new))
             for name in self.ARRAYS:
                 setattr(k, name, np.append(getattr(k, name), getattr(more, name)))
             k.shown += more.shown
             self.units = pa.concat_arrays([self.units, new])
             self.held = self.units.nbytes + len(k.shown) + sum(getattr(k, name).nbytes for name in self.ARRAYS)
             self.line_at, self.shown_at = np.cumsum(k.lines) - k.lines, np.cumsum(k.n_shown) - k.n_shown
-            at = pc.index_in(units, value_set=self.units)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return at
 
     def shown(self, slots: np.ndarray) -> list[bytes]:
         at, text = self.shown_at[slots], self.known.shown

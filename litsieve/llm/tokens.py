@@ -27,7 +27,7 @@ from litsieve.session import durable, scratch_path
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Bytes of text that are encoded at once, and bytes of units that a worker remembers.
-CHUNK_BYTES, MEMO_BYTES = 4_000_000, 60_000_000
+CHUNK_BYTES, MEMO_BYTES = 6_000_000, 60_000_000
 #: Units that are encoded joined.
 JOINED = 64
 #: Stands before a text's first unit, which no blank leads.
@@ -91,16 +91,17 @@ class Pieces:
         """Places of distinct ``units`` among those remembered."""
         if self.units.nbytes + 16 * len(self.start) + 4 * len(self.ids) > MEMO_BYTES:
             self._forget()
-        at = pc.index_in(units, value_set=self.units)
-        new = units.filter(at.is_null())
-        if len(new):
+        found = pc.index_in(units, value_set=self.units)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            new = units.filter(found.is_null())
             ids, size = self._encoded(new.to_pylist())
+            at[at < 0] = np.arange(len(self.start), len(self.start) + len(new))
             self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
             self.size = np.append(self.size, size)
             self.ids = np.append(self.ids, ids.astype(np.int32))
             self.units = pa.concat_arrays([self.units, new])
-            at = pc.index_in(units, value_set=self.units)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return at
 
     def _encoded(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids per unit)."""
