@@ -25,6 +25,10 @@ BITS = 32
 WORDS = (len(LETTERS) + 1) * BITS // 64
 # Words of the profile of adjacent letters.
 GRAM_WORDS = 8
+# Titles above this length are compared by their distinct grams of LONG_GRAM letters where
+# a similar title must share enough of them, and have no edit bound before the ratio.
+LONG_TITLE = 100
+LONG_GRAM = 4  # two pairs of letters
 EPS = 1e-9
 
 
@@ -40,9 +44,24 @@ def char_profile(rows: DataFrame) -> DataFrame:
 
 def gram_profile(rows: DataFrame) -> DataFrame:
     """Add g0..: one bit per distinct pair of adjacent letters, by hash."""
-    starts = "if(length(norm) > 1, sequence(1, length(norm) - 1), cast(array() AS array<int>))"
-    bits = f"transform({starts}, i -> pmod(xxhash64(substring(norm, i, 2)), {64 * GRAM_WORDS}))"
-    return _bit_words(rows.withColumn("bits", F.array_distinct(F.expr(bits))), rows.columns, "g", GRAM_WORDS)
+    bits = F.transform(
+        adjacent(F.split("norm", ""), 1, lambda x, y: F.xxhash64(x, y)), lambda h: F.pmod(h, F.lit(64 * GRAM_WORDS))
+    )
+    return _bit_words(rows.withColumn("bits", F.array_distinct(bits)), rows.columns, "g", GRAM_WORDS)
+
+
+def adjacent(items: Column, gap: int, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` of every element and the one ``gap`` places on. The array is an argument, not
+    part of the lambda, so it is made once per row; substrings would count from the start."""
+    n = F.greatest(F.size(items) - gap, F.lit(0))
+    return F.zip_with(F.slice(items, F.lit(1), n), F.slice(items, F.lit(1 + gap), n), join)
+
+
+def long_grams(norm: Column) -> Column:
+    """Hashes of a long title's distinct grams of LONG_GRAM letters; null for a short one."""
+    pairs = adjacent(F.split(norm, ""), 1, lambda x, y: F.concat(x, y))
+    grams = F.transform(adjacent(pairs, 2, lambda x, y: F.concat(x, y)), lambda g: F.hash(g))
+    return F.when(F.length(norm) > LONG_TITLE, F.array_distinct(grams))
 
 
 def _bit_words(rows: DataFrame, kept: list[str], name: str, n: int) -> DataFrame:
@@ -135,6 +154,8 @@ class Measure:
     # most distinct pairs of adjacent letters that a title of the first size has and a
     # similar one of the second size lacks (SQL over the two sizes)
     grams_lost: str | None = None
+    # the same for long titles' grams of LONG_GRAM letters, where it says something
+    long_lost: str | None = None
 
 
 # Letters from rare to common, recoded so that text order puts
@@ -177,15 +198,22 @@ def ratcliff(threshold: float, autojunk: bool = True) -> Measure:
 
     def screen(a: Column, b: Column) -> Column:
         # What stands outside the common subsequence is deleted or inserted, so that
-        # many edits at most lead from one title to the other.
-        return _levenshtein_within(a, b, F.floor((1 - F.lit(threshold)) * (F.length(a) + F.length(b)) + EPS))
+        # many edits at most lead from one title to the other. The subsequence itself is
+        # the cheaper test of long titles; the score begins with it.
+        within = _levenshtein_within(a, b, F.floor((1 - F.lit(threshold)) * (F.length(a) + F.length(b)) + EPS))
+        return F.when(F.length(a) > LONG_TITLE, True).otherwise(within)
 
     udf = ratio_udf(threshold, autojunk)
     # A deleted letter takes two pairs of adjacent letters along, an inserted one parts one
     # pair; deletions and insertions differ by the sizes' difference.
-    lost = f"floor((3 * floor((1 - {threshold}) * ({{x}} + {{y}}) + {EPS}) + {{x}} - {{y}}) / 2)"
+    edits = f"floor((1 - {threshold}) * ({{x}} + {{y}}) + {EPS})"
+
+    def lost(q: int) -> str:
+        return f"floor(({2 * q - 1} * {edits} + {{x}} - {{y}}) / 2)"
+
+    long_lost = lost(LONG_GRAM) if (2 * LONG_GRAM - 1) * (1 - threshold) <= 0.75 else None
     measure = Measure(
-        F.length, char_profile, need, screen, lambda a, b: udf(a, b), False, grams_lost=lost
+        F.length, char_profile, need, screen, lambda a, b: udf(a, b), False, grams_lost=lost(2), long_lost=long_lost
     )
     q = gram_size(lambda q: (2 * q - 1) * threshold - 2 * (q - 1))
     if q is None:
@@ -219,8 +247,11 @@ def levenshtein(threshold: float) -> Measure:
         return F.greatest(sa, sb) - limit(sa, sb)
 
     # An edit touches at most two pairs of adjacent letters.
-    lost = f"2 * floor((1 - {threshold}) * greatest({{x}}, {{y}}) + {EPS})"
-    measure = Measure(F.length, char_profile, need, screen, score, True, grams_lost=lost)
+    edits = f"floor((1 - {threshold}) * greatest({{x}}, {{y}}) + {EPS})"
+    long_lost = f"{LONG_GRAM} * {edits}" if LONG_GRAM * (1 - threshold) <= 0.75 else None
+    measure = Measure(
+        F.length, char_profile, need, screen, score, True, grams_lost=f"2 * {edits}", long_lost=long_lost
+    )
     q = gram_size(lambda q: 1 - q * (1 - threshold))
     if q is None:
         return measure

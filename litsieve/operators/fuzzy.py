@@ -29,7 +29,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from litsieve.functions.similarity import GRAM_WORDS, MEASURES, WORDS, Measure, bits_missing, gram_profile
+from litsieve.functions.similarity import GRAM_WORDS, MEASURES, WORDS, Measure, bits_missing, gram_profile, long_grams
 from litsieve.functions.text import normalise_title
 from litsieve.operators.skew import lookup_by_key
 from litsieve.session import durable
@@ -65,8 +65,11 @@ def representatives(
         .groupBy("norm")
         .agg(F.min("ord").alias("ord"), F.count("*").alias("n_rows"))
     )
+    # Profiles take far longer than their bytes suggest, so partitions must not be merged by size.
+    titles = titles.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "norm")
     return (
         gram_profile(measure.profile(titles))
+        .withColumn("grams", long_grams(F.col("norm")) if measure.long_lost else F.lit(None).cast("array<int>"))
         .withColumn("len", F.length("norm"))
         .withColumn("size", measure.size(F.col("norm")))
         .withColumn("cell", F.least(F.floor(F.col("len") / (band + 1)), F.lit(MAX_CELL)))
@@ -150,13 +153,20 @@ def _in_turn(tests: list[Column]) -> Column:
 
 def _with_texts(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, measure: Measure) -> DataFrame:
     """Similar pairs of the (lo, hi) that passed the cheap tests."""
-    texts = left.select("ord", "norm")
+    texts = left.select("ord", "norm", "grams")
     if right is not left:
-        texts = texts.union(right.select("ord", "norm"))
-    found = pairs.join(texts.select(F.col("ord").alias("lo"), F.col("norm").alias("a")), "lo").join(
-        texts.select(F.col("ord").alias("hi"), F.col("norm").alias("b")), "hi"
-    )
-    return _scored(found.filter(measure.screen(F.col("a"), F.col("b"))), threshold, measure)
+        texts = texts.union(right.select("ord", "norm", "grams"))
+
+    def side(key: str, name: str) -> DataFrame:
+        return texts.select(F.col("ord").alias(key), F.col("norm").alias(name), F.col("grams").alias(f"{name}_grams"))
+
+    found = pairs.join(side("lo", "a"), "lo").join(side("hi", "b"), "hi")
+    tests = [measure.screen(F.col("a"), F.col("b"))]
+    if measure.long_lost:
+        bound = F.expr(measure.long_lost.format(x="length(a)", y="length(b)"))
+        lost = F.size(F.array_except("a_grams", "b_grams"))
+        tests.insert(0, F.coalesce(lost <= bound, F.lit(True)))  # short titles have none
+    return _scored(found.filter(_in_turn(tests)), threshold, measure)
 
 
 def _scored(pairs: DataFrame, threshold: float, measure: Measure) -> DataFrame:
@@ -508,11 +518,12 @@ def fuzzy_matches(
     metric: str = "ratcliff",
     autojunk: bool = True,
     hot_rows: int | None = None,
+    numbered: bool = False,
     **sizes,
 ) -> DataFrame:
     """Rows to drop: (member, leader, similarity), by value of ``order``, which must
-    tell rows apart (a repeated value raises)."""
-    repeated = df.groupBy(order).agg(F.count("*").alias("n")).filter("n > 1").head(1)
+    tell rows apart (a repeated value raises; ``numbered`` says that it surely does)."""
+    repeated = None if numbered else df.groupBy(order).agg(F.count("*").alias("n")).filter("n > 1").head(1)
     if repeated:
         raise ValueError(f"{order} = {repeated[0][0]} stands in more than one row")
     options = {"autojunk": autojunk} if metric == "ratcliff" else {}

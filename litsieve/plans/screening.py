@@ -27,7 +27,7 @@ def screen(
         *exact.columns, F.struct("file_rank", F.col(order).alias("in_frame")).alias("_place")
     ).repartitionByRange("_place").sortWithinPartitions("_place")
     ranked = durable(placed.withColumn("_rank", F.monotonically_increasing_id()), "ranked")
-    return fuzzy_dedup(ranked, key, "_rank", threshold=threshold, **options).select(exact.columns)
+    return fuzzy_dedup(ranked, key, "_rank", threshold=threshold, numbered=True, **options).select(exact.columns)
 
 
 def fuzzy_report(df: DataFrame, key: str = "title", order: str = "ord", **options) -> DataFrame:
