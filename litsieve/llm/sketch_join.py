@@ -354,7 +354,8 @@ def rarest_pieces(large: DataFrame, texts: DataFrame) -> DataFrame:
                     )
 
     # Dealt anew, as the work per text is much more than the join's.
-    dealt = texts.join(large, "node").select("node", "text").repartition("node")
+    # Written, for ranges of nodes are drawn from it: they deal out as many texts to every task.
+    dealt = durable(texts.join(large, "node").select("node", "text"), "large").repartitionByRange("node")
     rows = small_batches(dealt).mapInArrow(
         run, "node long, lower boolean, need long, sig long"
     )
