@@ -235,7 +235,7 @@ def test_repair_of_odd_rows(spark):
         (None, 0, "user", "A."), (None, 1, "assistant", "B."), (2, None, None, None), (3, 2**60, "system", "S."),
     ]
     got = {r["conv_id"]: tuple(r)[1:-1] for r in repair.repair(spark.createDataFrame(rows, CONVERSATION)).collect()}
-    assert got[1] == (0, 1, 1, 0, 3, 5, "KDDR") or got[1][:4] == (0, 1, 1, 0)
+    assert got[1][:6] == (0, 1, 1, 0, 3, 5) and got[1][6] in ("KDDR", "KDRD")  # the last two share a turn
     assert got[None] == (0, 0, 0, 0, 0, 0, "KK")
     assert got[2] == (0, 1, 0, 0, 0, 2, "D")
     assert got[3] == (0, 0, 0, 0, 0, 2, "D")
@@ -254,7 +254,8 @@ def test_damage_by_remainder(spark):
         k = zlib.crc32(f"{c}:{t}".encode()) % 20
         row = ("user" if k == 4 else "assistant", {1: "", 2: "Ab c"}.get(k, "Ab. c!"))
         assert got[c, t] == [row] * {0: 0, 3: 2}.get(k, 1)
-    assert got[None, None] == ([(" ", " ")] if zlib.crc32(b" : ") % 20 not in (0, 1, 3, 4) else got[None, None])
+    k = zlib.crc32(b" : ") % 20
+    assert got[None, None] == [("user" if k == 4 else " ", "" if k == 1 else " ")] * {0: 0, 3: 2}.get(k, 1)
 
 
 @pytest.mark.parametrize("mod", [repair.Audits.MOD, 1, 7])
