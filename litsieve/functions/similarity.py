@@ -169,12 +169,11 @@ def grams(q: int) -> Callable[[Column], Column]:
 
     def of(norm: Column) -> Column:
         chars = F.split(F.translate(norm, RARE_FIRST, RECODED), "")
-        starts = F.when(
-            F.length(norm) >= q, F.sequence(F.lit(1), F.length(norm) - (q - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(
-            F.transform(starts, lambda i: F.array_join(F.slice(chars, i, q), ""))
-        )
+        out = chars
+        for k in range(1, q):  # each pass makes the grams one letter longer
+            n = F.greatest(F.size(chars) - k, F.lit(0))
+            out = F.zip_with(F.slice(out, F.lit(1), n), F.slice(chars, F.lit(1 + k), n), lambda x, y: F.concat(x, y))
+        return F.array_distinct(out)
 
     return of
 

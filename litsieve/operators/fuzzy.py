@@ -129,17 +129,18 @@ def _fan_out(
     )
 
 
-NUMBERS = ["len", "size", *[f"p{k}" for k in range(WORDS)], *[f"g{k}" for k in range(GRAM_WORDS)]]
+LETTERS = ["len", "size", *[f"p{k}" for k in range(WORDS)]]
+NUMBERS = [*LETTERS, *[f"g{k}" for k in range(GRAM_WORDS)]]
 
 
-def _cheap_tests(band: int, measure: Measure) -> list[Column]:
+def _cheap_tests(band: int, measure: Measure, grams: bool = True) -> list[Column]:
     """Length band, then profile tests, for sides l and r."""
     need = measure.need(F.col("l_size"), F.col("r_size"))
     tests = [
         F.abs(F.col("l_len") - F.col("r_len")) <= band,
         F.expr(bits_missing("l", "r")) <= F.col("l_size") - need,
     ]
-    for x, y in ("lr", "rl") if measure.grams_lost else ():
+    for x, y in ("lr", "rl") if grams and measure.grams_lost else ():
         lost = measure.grams_lost.format(x=f"{x}_len", y=f"{y}_len")
         tests.append(F.expr(f"{bits_missing(x, y, 'g', GRAM_WORDS)} <= {lost}"))
     return tests
@@ -234,11 +235,12 @@ def _by_shared_part(
 ) -> DataFrame:
     """Similar pairs of which at least one title is not poor.
 
-    Rows meet on (length cell, shared part). A group above ``hot_rows`` rows is
+    A title has many parts, so each copy carries the letter profile only; titles that
+    share a part have letters in common anyway. Rows meet on (length cell, shared part). A group above ``hot_rows`` rows is
     cut into blocks on both sides, and every pair of blocks is a group of its own.
     """
-    l = left.select("ord", "poor", "cell", *NUMBERS, F.explode("keys").alias("part"))
-    r = right.select("ord", "poor", "cell", *NUMBERS, F.explode("keys").alias("part"))
+    l = left.select("ord", "poor", "cell", *LETTERS, F.explode("keys").alias("part"))
+    r = right.select("ord", "poor", "cell", *LETTERS, F.explode("keys").alias("part"))
     groups = l.select("cell", "part")
     if not self_join:
         groups = groups.union(r.select("cell", "part"))
@@ -254,7 +256,7 @@ def _by_shared_part(
         .selectExpr(
             "ord AS l_ord", "poor AS l_poor", "part", "cell",
             "pmod(xxhash64(ord), coalesce(cuts, 1L)) AS cut", "coalesce(cuts, 1L) AS cuts",
-            *[f"coalesce({c}, 0) AS l_{c}" for c in NUMBERS],
+            *[f"coalesce({c}, 0) AS l_{c}" for c in LETTERS],
             f"explode(array({steps})) AS step",
         )
         .withColumn("at", F.expr("cell + step"))
@@ -262,11 +264,11 @@ def _by_shared_part(
     )
     r = r.join(hot, "part", "left").selectExpr(
         "ord AS r_ord", "poor AS r_poor", "part", "cell AS at",
-        *[f"coalesce({c}, 0) AS r_{c}" for c in NUMBERS],
+        *[f"coalesce({c}, 0) AS r_{c}" for c in LETTERS],
         "pmod(xxhash64(ord), coalesce(cuts, 1L)) AS other_cut",
         "explode(sequence(0L, coalesce(cuts, 1L) - 1)) AS cut",
     )
-    tests = _cheap_tests(band, measure)
+    tests = _cheap_tests(band, measure, grams=False)
     tests[0] = tests[0] & ~(F.col("l_poor") & F.col("r_poor"))
     if self_join:
         tests[0] = tests[0] & ((F.col("step") != 0) | (F.col("l_ord") < F.col("r_ord")))
