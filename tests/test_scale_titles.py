@@ -3,6 +3,8 @@ import random
 import pytest
 
 from litsieve.functions import similarity as S
+from litsieve.operators import fuzzy as Z
+from litsieve.session import durable
 
 
 def test_runs_that_stand_twice_count_twice():
@@ -31,3 +33,17 @@ def test_subsequences_side_by_side(monkeypatch, cells):
         need = [rng.choice([0.5, 0.8, 0.9]) * (len(a) + len(b)) / 2 for a, b in zip(first, second)]
         want = [S.common_subsequence(a, b, x) >= x for a, b, x in zip(first, second, need)]
         assert S.subsequences_reach(first, second, need).tolist() == want
+
+
+def test_stated_blocks_copy_no_row_without_bound(spark, monkeypatch):
+    rng = random.Random(6)
+    titles = ["".join(rng.choices("abcdefgh ", k=40)).strip() for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(titles)), "ord long, title string")
+    measure = S.MEASURES["levenshtein"](0.85)
+    reps = durable(Z.representatives(rows, "title", "ord", measure, 20), "titles")
+    sides = []
+    monkeypatch.setattr(Z, "_near", lambda left, right, *rest: sides.extend([left, right]))
+    Z.edges_within(reps, 1500, 0.85, 20, measure, block_rows=4)
+    Z.edges_between(reps.filter("ord < 700"), reps.filter("ord >= 700"), 1500, 0.85, 20, measure, block_rows=4)
+    copies = [x.count() for x in sides]
+    assert sum(copies[:2]) <= 18 * 1500 and sum(copies[2:]) <= 18 * 1500
