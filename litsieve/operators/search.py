@@ -2,7 +2,8 @@
 
 One search scans the articles. For many, ``term_index`` writes one line per word and
 article once, and ``search_many`` answers a whole table of requests by joining their terms
-to it: an article is found when as many of its words match as the request has terms.
+to it: an article is found when as many of its words match as the request has terms. Only an
+article that holds a request's rarest term is compared with the request.
 """
 
 from __future__ import annotations
@@ -111,31 +112,25 @@ def search_many(index: DataFrame, articles: DataFrame, requests: DataFrame) -> D
     A request without terms finds all articles that pass its filters, as ``search`` does;
     nulls in author, years, sort_by and max_results stand for no filter, relevance and 100.
     """
-    asked = requests.select(
+    requests = requests.select(
         F.col("request").alias("_request"),
         F.array_distinct(F.filter(F.split(normalise_title(F.col("query")), " "), lambda t: t != "")).alias("_terms"),
         F.nullif(F.lower("author"), F.lit("")).alias("_author"),
         F.nullif("year_start", F.lit(0)).alias("_from"), F.nullif("year_end", F.lit(0)).alias("_to"),
         (F.coalesce("sort_by", F.lit("")) == "date").alias("_by_date"), F.coalesce("max_results", F.lit(100)).alias("_most"),
     )
-    terms = asked.select("_request", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
-    found = (
-        terms.join(index, "term")
-        .groupBy("_request", "ord")
-        .agg(F.count("*").alias("_held"), F.first("_n").alias("_n"), F.sum("hits").alias("hits"))
-        .filter("_held = _n")
-        .select("_request", "ord", "hits")
-    )
+    # Written, so that joins know how small it is.
+    asked = durable(requests, "asked")
     details = articles.select("ord", "authors", "year", "citations")
+    found = _holding(index, asked, details)
     # Requests without terms meet every article once; they are told apart before the join.
     bare = asked.filter("size(_terms) = 0").withColumn("_all", F.lit(1))
     every = details.withColumn("_all", F.lit(1)).join(F.broadcast(bare), "_all").select(
         "_request", "ord", F.lit(0).cast("long").alias("hits")
-    ) if not bare.isEmpty() else None
+    ).join(details, "ord") if not bare.isEmpty() else None
     hits = found if every is None else found.unionByName(every)
     passing = (
-        hits.join(details, "ord")
-        .join(asked.drop("_terms"), "_request")
+        hits.join(asked.drop("_terms"), "_request")
         .filter(F.col("_author").isNull() | F.contains(F.lower("authors"), F.col("_author")))
         .filter(F.col("_from").isNull() | (F.col("year") >= F.col("_from")))
         .filter(F.col("_to").isNull() | (F.col("year") <= F.col("_to")))
@@ -145,13 +140,44 @@ def search_many(index: DataFrame, articles: DataFrame, requests: DataFrame) -> D
         F.when(~F.col("_by_date"), F.col("citations")).desc_nulls_last(), F.col("ord").asc(),
     ]
     # One number; a literal limit lets each task keep no more rows of a request.
-    most = requests.agg(F.max(F.coalesce("max_results", F.lit(100)))).first()[0] or 0
+    most = asked.agg(F.max("_most")).first()[0] or 0
     ranked = passing.withColumn("place", F.row_number().over(Window.partitionBy("_request").orderBy(*by)))
     return ranked.filter(F.col("place") <= most).filter(F.col("place") <= F.col("_most")).select(
         F.col("_request").alias("request"), "place", "ord", "hits"
     )
 
 
+def _holding(index: DataFrame, asked: DataFrame, details: DataFrame) -> DataFrame:
+    """(_request, hits, and the details) of the articles that hold all terms of a request.
+
+    Each article's asked terms come together once, next to its details. A request looks at
+    the articles of its rarest term alone, never at all lines of a word that most hold.
+    """
+    terms = asked.filter("_request IS NOT NULL").select("_request", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
+    lines = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_lines"))
+    by_lines = F.array_sort(F.collect_list(F.struct(F.coalesce("_lines", F.lit(0)).alias("n"), "term")))
+    # Of all but ``_n - 1`` of a request's terms, an article with ``_n`` of them holds one.
+    wanted = durable(
+        terms.join(lines, "term", "left").groupBy("_request").agg(F.first("_n").alias("_n"), by_lines["term"].alias("_all"))
+        .withColumn("_rare", F.array_distinct(F.slice("_all", F.lit(1), F.size("_all") - F.col("_n") + 1))),
+        "wanted",
+    )
+    rare = wanted.select(F.explode("_rare").alias("term")).distinct().withColumn("rare", F.lit(True))
+    known = durable(terms.select("term").distinct().join(rare, "term", "left"), "asked-terms")
+    held = index.join(known, "term").groupBy("ord").agg(F.collect_list(F.struct("term", "hits", "rare")).alias("_has"))
+    meet = (
+        held.join(details, "ord")
+        .withColumn("_at", F.explode(F.expr("filter(_has, x -> x.rare).term")))
+        .join(wanted.withColumn("_at", F.explode("_rare")), "_at")
+        # A request's first rare term that the article holds, so that they meet once.
+        .filter("element_at(filter(_rare, t -> exists(_has, x -> x.term = t)), 1) = _at")
+        .withColumn("_found", F.expr("flatten(transform(_all, t -> filter(_has, x -> x.term = t)))"))
+        .filter("size(_found) = _n")
+    )
+    hits = F.expr("aggregate(_found, 0L, (n, x) -> n + x.hits)")
+    return meet.select("_request", "ord", hits.alias("hits"), *[c for c in details.columns if c != "ord"])
+
+
 def accumulate_pages(
     pages: DataFrame, records: DataFrame, run: str, page: str, pos: str, max_results: int
 ) -> DataFrame:
