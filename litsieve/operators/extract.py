@@ -184,12 +184,16 @@ def walk_pages(hops: DataFrame, starts: DataFrame) -> DataFrame:
             open_.unionByName(ahead).groupBy("start", "page").agg(F.min("place").alias("place")).select("start", "place", "page"), "walk"
         )
         known *= 2
-        on = longer.groupBy("start").agg(F.count("*").alias("n"))
-        ended.append(longer.join(on.filter(F.col("n") < known), "start", "left_semi"))
-        going = on.filter(F.col("n") == known)
+        on = durable(longer.groupBy("start").agg(F.count("*").alias("n")), "lengths")
+        going, done = on.filter(F.col("n") == known), on.filter(F.col("n") < known)
+        # The pages of a walk are parted from the others only where some walks end and some go on.
         if going.isEmpty():
-            return reduce(DataFrame.unionByName, ended)
-        open_ = durable(longer.join(going, "start", "left_semi"), "walk")
+            return reduce(DataFrame.unionByName, [*ended, longer])
+        if done.isEmpty():
+            open_ = longer
+        else:
+            ended.append(longer.join(done, "start", "left_semi"))
+            open_ = durable(longer.join(going, "start", "left_semi"), "walk")
         second = jump.select(F.col("at").alias("to"), F.col("to").alias("far"))
         jump = durable(jump.join(second, "to").select("at", F.col("far").alias("to")), "jump")
 
