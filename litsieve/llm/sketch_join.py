@@ -366,6 +366,12 @@ def rarest_pieces(large: DataFrame, texts: DataFrame) -> DataFrame:
     return durable(shown.select("sig", "node").distinct().join(large, "node"), "rare_members")
 
 
+def bits_apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many bits each row of the one side differs in from each row of the other one. Of
+    signed numbers the bits of their absolute values would be counted."""
+    return np.bitwise_count((left[:, None, :] ^ right[None]).view(np.uint64)).sum(2)
+
+
 def mixed_group_pairs(
     meets: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, block: int = BLOCK
 ) -> DataFrame | None:
@@ -420,7 +426,7 @@ def mixed_group_pairs(
                     for side in (left, right)
                 )
                 limit = most_apart(l["n_shingles"][:, None], r["n_shingles"][None])
-                apart = np.bitwise_count(l["bits"][:, None, :] ^ r["bits"][None]).sum(2)
+                apart = bits_apart(l["bits"], r["bits"])
                 ok = (l["c"][:, None] != r["c"][None]) & (apart <= limit)
                 ok &= np.abs(l["n_shingles"][:, None] - r["n_shingles"][None]) <= limit
                 x, y = np.nonzero(ok)
