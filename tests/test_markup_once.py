@@ -1,0 +1,12 @@
+from pyspark.sql import functions as F
+
+from litsieve.functions.markup import Element, element_content
+
+
+def test_each_step_of_an_element_is_worked_out_once(spark):
+    html = '<div class="a">x <div>in</div> y</div> z'
+    pages = spark.createDataFrame([(html,), ("<p>none</p>",), (None,), ('<div class="a">open <!-- </div> -->end',)], "html string")
+    found = pages.select(element_content(F.col("html"), Element("div", "a")).alias("c"))
+    assert sorted(map(str, (r.c for r in found.collect()))) == ["None", "None", "open end", "x <div>in</div> y"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<!--") == 1 and plan.count("class=") <= 2
